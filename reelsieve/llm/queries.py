@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reelsieve.llm import topn
+from reelsieve.llm import bpe, mixing, topn
 from reelsieve.session import table
 
 
@@ -23,5 +24,31 @@ ranked AS (SELECT video_id, scene_id, candidate_id,
 SELECT video_id, scene_id, candidate_id FROM ranked WHERE r <= 3
 """
 
-QUERIES = {"p4_found": p4_found}
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents"), "doc_id", "text", counts_only=True, carry=["source"])
+
+
+def p7_tokens_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each source and language."""
+    counted = bpe.encode(table(spark, d, "documents"), "doc_id", "text", counts_only=True, carry=["source", "lang"])
+    return counted.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents drawn, each with its number of copies."""
+    return mixing.draw(_counted(spark, d), table(spark, d, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """The shares really reached."""
+    docs, targets = _counted(spark, d).persist(), table(spark, d, "mix_targets")
+    return mixing.report(docs, targets, mixing.draw(docs, targets))
+
+
+QUERIES = {"p4_found": p4_found, "p7_ids": p7_ids, "p7_tokens_by_source": p7_tokens_by_source, "p8_mix": p8_mix, "p8_report": p8_report}
 SQL = {"p4_found": P4_SQL}
