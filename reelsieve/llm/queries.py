@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelsieve.llm import bpe, mixing, topn
+from reelsieve.llm import bpe, mixing, spans, topn
 from reelsieve.session import table
 
 
@@ -50,5 +50,17 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(docs, targets, mixing.draw(docs, targets))
 
 
-QUERIES = {"p4_found": p4_found, "p7_ids": p7_ids, "p7_tokens_by_source": p7_tokens_by_source, "p8_mix": p8_mix, "p8_report": p8_report}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = spans.shared_pairs(table(spark, d, "documents"), "doc_id", "text")
+    return pairs.select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document also stands elsewhere."""
+    found = spans.coverage(table(spark, d, "documents"), "doc_id", "text")
+    share = F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(0.0)
+    return found.select(F.col("doc").alias("doc_id"), "n_chars", "shared_chars", "n_spans", share.alias("share"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_shared": p9_shared, "p4_found": p4_found, "p7_ids": p7_ids, "p7_tokens_by_source": p7_tokens_by_source, "p8_mix": p8_mix, "p8_report": p8_report}
 SQL = {"p4_found": P4_SQL}
