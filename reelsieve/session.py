@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -54,3 +55,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def clustered(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows with equal keys in one partition, next to each other, for operators that walk over groups.
+
+    It partitions by a hash of the keys of its own: Spark drops a repartition by the keys themselves
+    where it takes its input to be partitioned so already, which adaptive execution may undo later
+    because a Python operator declares no requirement.
+    """
+    return df.repartition(F.xxhash64(F.lit(17), *keys)).sortWithinPartitions(*keys)
