@@ -18,11 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelsieve.session import clustered
+
 LENGTH = 200
 GRAM = 100
 #: An odd number with a spread of bits, the base of the rolling hash modulo 2**64.
@@ -149,19 +150,24 @@ def _contexts(length: int, gram: int):
     return run
 
 
-def window_hashes(roll: Rolling, rows: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, doc, place) of every window of ``length`` characters that holds the row's anchor."""
-    keys, owners, places = [], [], []
-    for doc, place, lead, context in zip(rows["doc"], rows["place"], rows["lead"], rows["context"]):
-        w = roll.stretches(roll.prefix(code_points(context)), length)[: lead + 1]
-        keys.append(w)
-        owners.append(np.full(len(w), doc, np.int64))
-        places.append(np.arange(len(w)) + (place - lead))
-    return tuple(np.concatenate(x) for x in (keys, owners, places))
+def window_hashes(roll: Rolling, rows: list[pa.RecordBatch], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, doc, place) of every window of ``length`` characters that holds a row's anchor.
+
+    All contexts are hashed as one text; a row's windows begin at most ``lead`` after its context does.
+    """
+    get = lambda name: np.concatenate([b.column(name).to_numpy(zero_copy_only=False) for b in rows])
+    doc, place, lead = get("doc"), get("place"), get("lead").astype(np.int64)
+    texts = [t for b in rows for t in b.column("context").to_pylist()]
+    size = np.array([len(t) for t in texts], np.int64)
+    start = np.cumsum(size) - size
+    count = np.maximum(0, np.minimum(lead + 1, size - length + 1))
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    hashes = roll.stretches(roll.prefix(code_points("".join(texts))), length)
+    return hashes[at + np.repeat(start, count)], np.repeat(doc, count), at + np.repeat(place - lead, count)
 
 
-def parse(key: np.ndarray, owner: np.ndarray, place: np.ndarray, length: int) -> pd.DataFrame | None:
-    """Factors of one anchor's occurrences: (kind, id, doc, start, stop).
+def parse(key: np.ndarray, owner: np.ndarray, place: np.ndarray, length: int) -> pa.RecordBatch | None:
+    """Factors of the occurrences of whole anchors: (kind, id, doc, start, stop).
 
     ``set`` rows: documents that have a window in common; equal sets have equal ids, whichever
     anchor they come from. ``span`` rows: the factors, maximal runs of windows that another document
@@ -176,43 +182,70 @@ def parse(key: np.ndarray, owner: np.ndarray, place: np.ndarray, length: int) ->
     shared = docs[group] > 1
     if not shared.any():
         return None
+    kinds = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
     once = first & shared
     g, o = group[once], owner[once]
+    once_docs = o
     ends = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
     ids = np.add.reduceat(mix(o.astype(np.uint64)), ends) ^ mix(np.diff(np.r_[ends, len(g)]).astype(np.uint64))
     _, take = np.unique(ids, return_index=True)
     keep = np.isin(g, g[ends][take])
     row_id = np.repeat(ids, np.diff(np.r_[ends, len(g)]))
-    sets = pd.DataFrame({"kind": "set", "id": row_id[keep].view(np.int64), "doc": o[keep], "start": 0, "stop": 0})
+    n_sets = int(keep.sum())
     # factors: runs of consecutive places within a document
     order = np.lexsort((place[shared], owner[shared]))
     o, p = owner[shared][order], place[shared][order]
     new = np.r_[True, (o[1:] != o[:-1]) | (p[1:] > p[:-1] + 1)]
     head = np.flatnonzero(new)
     tail = np.r_[head[1:], len(p)] - 1
-    spans = pd.DataFrame({"kind": "span", "id": 0, "doc": o[head], "start": p[head], "stop": p[tail] + length})
-    return pd.concat([sets, spans], ignore_index=True)
+    zero = np.zeros(n_sets, np.int64)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(["set"] * n_sets + ["span"] * len(head)),
+            pa.array(np.r_[row_id[keep].view(np.int64), np.zeros(len(head), np.int64)]),
+            pa.array(np.r_[once_docs[keep], o[head]]),
+            pa.array(np.r_[zero, p[head]]),
+            pa.array(np.r_[zero, p[tail] + length]),
+        ],
+        schema=kinds,
+    )
+
+
+#: Occurrences parsed at once; whole anchors only, so a larger anchor makes a larger batch.
+PARSE_ROWS = 5_000
 
 
 def _factors(length: int):
-    """The factors of each anchor hash; its rows follow each other, the partition is sorted by it."""
+    """Factors of all anchors of a partition; an anchor's rows follow each other in it."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        roll, rest = Rolling(), None
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roll = Rolling()
+        held: list[pa.RecordBatch] = []
+        rows = 0
 
-        def found(rows: pd.DataFrame) -> pd.DataFrame | None:
-            return parse(*window_hashes(roll, rows, length), length) if len(rows) > 1 else None
+        def finish(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if parts and (found := parse(*window_hashes(roll, parts, length), length)) is not None:
+                yield found
 
-        for p in batches:
-            p = p if rest is None else pd.concat([rest, p], ignore_index=True)
-            h = p["h"].to_numpy()
-            cuts = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1]
-            out = [x for a, b in zip(cuts[:-1], cuts[1:]) if (x := found(p.iloc[a:b])) is not None]
-            rest = p.iloc[cuts[-1] :]
-            if out:
-                yield pd.concat(out, ignore_index=True)
-        if rest is not None and (x := found(rest)) is not None:
-            yield x
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column("h").to_numpy()
+            if rows >= PARSE_ROWS and held[-1].column("h")[-1].as_py() != h[0]:
+                yield from finish(held)
+                held, rows = [], 0
+            cuts = np.flatnonzero(h[1:] != h[:-1]) + 1
+            at = 0
+            while at < batch.num_rows:
+                later = cuts[cuts >= max(at + 1, at + PARSE_ROWS - rows)]
+                end = int(later[0]) if len(later) else batch.num_rows
+                held.append(batch.slice(at, end - at))
+                rows += end - at
+                if len(later):
+                    yield from finish(held)
+                    held, rows = [], 0
+                at = end
+        yield from finish(held)
 
     return run
 
@@ -220,12 +253,12 @@ def _factors(length: int):
 def _windows(length: int):
     """(window, doc, place) rows of hot anchors, for the way without groups."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Rolling()
-        for p in batches:
-            for i in range(0, len(p), 2000):
-                key, owner, place = window_hashes(roll, p.iloc[i : i + 2000], length)
-                yield pd.DataFrame({"id": key.view(np.int64), "doc": owner, "place": place})
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                key, owner, place = window_hashes(roll, [batch.slice(i, 2000)], length)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner), pa.array(place)], names=["id", "doc", "place"])
 
     return run
 
@@ -252,8 +285,8 @@ def factors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_rows: i
     wanted = anchors.withColumns({"least": F.min("doc").over(by_hash), "most": F.max("doc").over(by_hash), "n": F.count("*").over(by_hash)})
     wanted = wanted.where("least < most").groupBy("doc").agg(F.collect_list(F.struct("h", "place", "n")).alias("wanted"))
     context = texts.join(wanted, "doc").mapInArrow(_contexts(length, gram), "h bigint, n bigint, doc bigint, place bigint, lead int, context string")
-    cool = context.where(F.col("n") <= hot_rows).drop("n").repartition("h").sortWithinPartitions("h").mapInPandas(_factors(length), FACTOR)
-    hot = context.where(F.col("n") > hot_rows).drop("n", "h").mapInPandas(_windows(length), "id bigint, doc bigint, place bigint")
+    cool = clustered(context.where(F.col("n") <= hot_rows).drop("n"), "h").mapInArrow(_factors(length), FACTOR)
+    hot = context.where(F.col("n") > hot_rows).drop("n", "h").mapInArrow(_windows(length), "id bigint, doc bigint, place bigint")
     both = hot.groupBy("id").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("id")
     hot = hot.join(both, "id").select(F.explode(F.array(F.struct(F.lit("set").alias("kind"), "id", "doc", F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("stop")), F.struct(F.lit("span").alias("kind"), F.lit(0).cast("bigint").alias("id"), "doc", F.col("place").alias("start"), (F.col("place") + length).alias("stop")))).alias("x")).select("x.*")
     return cool.unionByName(hot).distinct()
