@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelsieve.llm import bpe, mixing, spans, topn
+from reelsieve.llm import bpe, clusters, mixing, spans, topn
 from reelsieve.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = clusters.linkage(table(spark, d, "frame_candidates").select("candidate_id", "embedding"), "candidate_id", "embedding")
+    whole = found.where("all_alike AND NOT alike_outside AND id <> cluster_id")
+    return whole.select(F.col("cluster_id").alias("first_candidate_id"), F.col("id").alias("candidate_id"))
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Each clustered candidate with its new cluster, the cluster's size and its most typical members."""
+    found = clusters.clusters(table(spark, d, "frame_candidates").select("candidate_id", "embedding"), "candidate_id", "embedding")
+    return found.select(F.col("id").alias("candidate_id"), "cluster_id", "cluster_size", F.round("typicality", 6).alias("typicality"), "is_representative")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "frame_candidates").select("candidate_id", "video_id", "scene_id", "ts", "importance_score", "ingested_at")
     rows = topn.latest(rows, "candidate_id", "ingested_at").drop("ingested_at")
@@ -62,5 +74,5 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "n_chars", "shared_chars", "n_spans", share.alias("share"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_shared": p9_shared, "p4_found": p4_found, "p7_ids": p7_ids, "p7_tokens_by_source": p7_tokens_by_source, "p8_mix": p8_mix, "p8_report": p8_report}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p9_found": p9_found, "p9_shared": p9_shared, "p4_found": p4_found, "p7_ids": p7_ids, "p7_tokens_by_source": p7_tokens_by_source, "p8_mix": p8_mix, "p8_report": p8_report}
 SQL = {"p4_found": P4_SQL}
