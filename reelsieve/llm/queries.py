@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelsieve.llm import bpe, clusters, mixing, spans, topn
+from reelsieve.llm import bpe, canonical, clusters, mixing, spans, topn
 from reelsieve.session import table
 
 
@@ -37,6 +37,25 @@ SELECT video_id, scene_id, candidate_id FROM ranked WHERE r <= 3
 """
 
 
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "ablation_metrics").select("metric_id", F.col("extraction_data.brand.brand_name_text").alias("brand"), F.col("extraction_data.product.industry").alias("industry"))
+    both = F.array(*[F.struct(F.lit(c).alias("list_name"), F.col(c).alias("value")) for c in ("brand", "industry")])
+    return t.select("metric_id", F.inline(both)).where(F.regexp_replace("value", r"(?U)\s+", "") != "")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    typed = _typed(spark, d)
+    mapped = canonical.map_values(typed, table(spark, d, "canonical_entries"))
+    return typed.join(mapped, ["list_name", "value"]).select("metric_id", F.col("list_name").alias("field_name"), "entry_id").distinct()
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values that name no entry, and how often they were typed."""
+    typed = _typed(spark, d)
+    mapped = canonical.map_values(typed, table(spark, d, "canonical_entries"))
+    return typed.join(mapped.where("entry_id = 0"), ["list_name", "value"]).groupBy(F.col("list_name").alias("field_name"), "value").agg(F.count_distinct("metric_id").alias("n_metrics"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -74,5 +93,5 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "n_chars", "shared_chars", "n_spans", share.alias("share"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p9_found": p9_found, "p9_shared": p9_shared, "p4_found": p4_found, "p7_ids": p7_ids, "p7_tokens_by_source": p7_tokens_by_source, "p8_mix": p8_mix, "p8_report": p8_report}
+QUERIES = {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p1_found": p1_found, "p1_clusters": p1_clusters, "p9_found": p9_found, "p9_shared": p9_shared, "p4_found": p4_found, "p7_ids": p7_ids, "p7_tokens_by_source": p7_tokens_by_source, "p8_mix": p8_mix, "p8_report": p8_report}
 SQL = {"p4_found": P4_SQL}
