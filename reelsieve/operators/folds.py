@@ -1,0 +1,41 @@
+"""Order-dependent selections of one group as array folds: no Python, one shuffle by the group's key.
+
+A fold keeps an array of the elements kept so far. It is sequential by definition, so a group must
+fit one task; groups are one entity's sequence (a video), not a value that grows with the corpus.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+Pair = Callable[[Column, Column], Column]
+
+
+def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], fields: Sequence[str], name: str = "xs") -> DataFrame:
+    """One row a group: its rows' ``fields`` as an array in the given order (ties by the fields themselves)."""
+    packed = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *[F.col(f) for f in fields])
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(packed)).alias(name))
+
+
+def keep_unlike(xs: Column, alike: Pair) -> Column:
+    """Greedy deduplication: an element is kept unless it is like any kept one; the first always is."""
+    return F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, 1, 1), lambda k, x: F.when(F.exists(k, lambda y: alike(y, x)), k).otherwise(F.concat(k, F.array(x))))
+
+
+def keep_changed(xs: Column, changed: Pair) -> Column:
+    """An element is kept if it differs enough from the last kept one; the first always is."""
+    return F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, 1, 1), lambda k, x: F.when(changed(F.element_at(k, -1), x), F.concat(k, F.array(x))).otherwise(k))
+
+
+def keep_best(xs: Column, most: Column | int, suppressed: Pair) -> Column:
+    """Non-maximum suppression over elements in descending score: stops at ``most`` kept."""
+    limit = F.lit(most) if isinstance(most, int) else most
+    none = F.slice(xs, 1, 0)
+    return F.aggregate(xs, none, lambda k, x: F.when((F.size(k) >= limit) | F.exists(k, lambda y: suppressed(y, x)), k).otherwise(F.concat(k, F.array(x))))
+
+
+def unpack(df: DataFrame, keys: Sequence[str], kept: Column, fields: Sequence[str]) -> DataFrame:
+    return df.select(*keys, F.explode(kept).alias("x")).select(*keys, *[F.col(f"x.{f}").alias(f) for f in fields])
