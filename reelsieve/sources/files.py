@@ -19,9 +19,9 @@ EXTENSIONS = (".mp4", ".mov", ".avi", ".mkv", ".webm", ".m4v")
 def find_files(spark: SparkSession, folder: str, extensions: Sequence[str] = EXTENSIONS, recursive: bool = False, most: int | None = None) -> DataFrame:
     """(path, name, length, modificationTime) of files with one of the extensions, in any case, by path.
 
-    Contents aren't read: the column isn't selected. ``most`` is the caller's limit, a feature.
+    Contents aren't read: the column isn't selected. Files of no length aren't listed, as Spark's scan
+    leaves them out. ``most`` is the caller's limit, a feature.
     """
-    # a listing without any file with content is an error of the source; an empty folder gives no row
     t = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path", "length", "modificationTime")
     t = t.withColumn("name", F.element_at(F.split("path", "/"), -1))
     t = t.where(F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1)).isin(*[e.lower() for e in extensions])).select("path", "name", "length", "modificationTime")
@@ -186,7 +186,7 @@ def write_results(df: DataFrame, path: str, kind: str = "parquet", by: str | Non
     """Results as parquet, json or csv, optionally a folder for each value of a column."""
     w = df.write.mode(mode)
     w = w.partitionBy(by) if by else w
-    (w.option("header", True) if kind == "csv" else w).format(kind).save(path)
+    (w.option("header", True).option("escape", '"') if kind == "csv" else w).format(kind).save(path)
 
 
 def union_columns(parts: Sequence[DataFrame]) -> DataFrame:
