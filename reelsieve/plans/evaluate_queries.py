@@ -240,7 +240,7 @@ def c6_key_phrases(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.first_keyword(F.col("text"), taxonomy.KEYWORDS).alias("keyword"))
 
 
-@query("""SELECT DISTINCT metric_id, lower(trim(x)) = '' OR contains(lower(trim(y)), lower(trim(x))) OR contains(lower(trim(x)), lower(trim(y))) AS matches
+@query("""SELECT DISTINCT metric_id, contains(lower(trim(y)), lower(trim(x))) OR contains(lower(trim(x)), lower(trim(y))) AS matches
     FROM (SELECT metric_id, extraction_data.brand.brand_name_text AS x, extraction_data.product.product_name AS y FROM ablation_metrics)""")
 def f_names_match(spark: SparkSession, d: str) -> DataFrame:
     """Whether either of two names holds the other; three-valued."""
