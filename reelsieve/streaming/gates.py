@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def gated(stream: DataFrame, key: str, row: str, at: str, signal: str, least_gap: float, threshold: float, idle_ms: int = 3_600_000) -> DataFrame:
+def gated(stream: DataFrame, key: str, row: str, at: str, signal: str, least_gap: float, threshold: float, idle_ms: int | None = None) -> DataFrame:
     """(key, row, at): the first frame, then those far enough from the last kept one whose change passes.
 
-    State of a key: time of the last kept frame and the last signal, two numbers; it is dropped when the
-    key has been idle. Rows of a key arrive in order between batches and are sorted within one.
+    State of a key: time of the last kept frame and the last signal, two numbers. With ``idle_ms`` it is
+    dropped when the key has been idle so long; such a stream goes on making batches, so it must be
+    started on a processing-time trigger, not run to its end. Rows of a key arrive in order between batches and are sorted within one.
     """
     kind = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
 
@@ -32,11 +33,12 @@ def gated(stream: DataFrame, key: str, row: str, at: str, signal: str, least_gap
                 last = t
             signal_before = v
         state.update((float(last), float(signal_before)))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(kept, columns=[key, row, at])
 
     return stream.select(key, row, at, signal).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind[key]}, {row} {kind[row]}, {at} double", "last double, signal double", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, f"{key} {kind[key]}, {row} {kind[row]}, {at} double", "last double, signal double", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
