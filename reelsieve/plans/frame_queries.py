@@ -374,4 +374,20 @@ def b3_histogram_change(spark: SparkSession, d: str) -> DataFrame:
     return h.select("video", "day", F.round(X.chi_square(F.col("p"), F.col("hist")), 6).alias("change"))
 
 
+
+@query(f"""{REC}, o1 AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY t, frame) AS rn FROM f),
+    r1 AS (SELECT video, frame, t, value, rn, value AS last, true AS kept FROM o1 WHERE rn = 1 UNION ALL SELECT o1.video, o1.frame, o1.t, o1.value, o1.rn, CASE WHEN abs(o1.value - r1.last) > 10 THEN o1.value ELSE r1.last END, abs(o1.value - r1.last) > 10 FROM r1 JOIN o1 ON o1.video = r1.video AND o1.rn = r1.rn + 1),
+    k1 AS (SELECT video, frame, t, value FROM r1 WHERE kept), o2 AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY t, frame) AS rn FROM k1),
+    r2 AS (SELECT video, frame, t, value, rn, value AS last, true AS kept FROM o2 WHERE rn = 1 UNION ALL SELECT o2.video, o2.frame, o2.t, o2.value, o2.rn, CASE WHEN abs(o2.value - r2.last) > 20 THEN o2.value ELSE r2.last END, abs(o2.value - r2.last) > 20 FROM r2 JOIN o2 ON o2.video = r2.video AND o2.rn = r2.rn + 1),
+    k2 AS (SELECT video, frame, t, value FROM r2 WHERE kept), o3 AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY t, frame) AS rn FROM k2),
+    r3 AS (SELECT video, frame, t, value, rn, value AS last, true AS kept FROM o3 WHERE rn = 1 UNION ALL SELECT o3.video, o3.frame, o3.t, o3.value, o3.rn, CASE WHEN abs(o3.value - r3.last) > 30 THEN o3.value ELSE r3.last END, abs(o3.value - r3.last) > 30 FROM r3 JOIN o3 ON o3.video = r3.video AND o3.rn = r3.rn + 1),
+    k3 AS (SELECT video, frame, t, value FROM r3 WHERE kept) SELECT video, frame FROM k3""")
+def e22_change_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Three keep-if-changed stages, each over what the one before kept; one shuffle for all."""
+    g = folds.ordered(frames(spark, d), ["video"], [F.col("t")], ["frame", "value"])
+    for threshold in (10, 20, 30):
+        g = g.withColumn("xs", folds.keep_changed(F.col("xs"), lambda y, x, m=threshold: F.abs(y["value"] - x["value"]) > m))
+    return folds.unpack(g, ["video"], F.col("xs"), ["frame"])
+
+
 QUERIES, SQL = query.queries, query.sql

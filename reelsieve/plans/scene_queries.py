@@ -116,4 +116,21 @@ def d1_d2_d5_selection_metrics(spark: SparkSession, d: str) -> DataFrame:
     return g.select("video_id", "total", "final", F.round(X.reduction_rate(total, final), 6).alias("reduction_rate"), F.round(total / final, 2).alias("compression"), (F.floor((final * 11475 + 50) / 100) / F.lit(10000.0)).alias("cost"))
 
 
+
+_BUDGETED = f"{_SELECT}, z AS (SELECT video_id, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY imp DESC, ts, candidate_id) AS q FROM r WHERE kept) WHERE q <= least(greatest(5, floor(dur * 0.25)), 25))"
+
+
+@query(f"{_BUDGETED} SELECT m AS method, video_id, count(*) AS n FROM z, (VALUES ('hib_pipeline'), ('static_pipeline')) x(m) GROUP BY ALL")
+def e32_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Both pipeline variants: without a configuration their overrides have no effect, so they select alike."""
+    z = select_frames(candidates(spark, d).where("scene_id IS NOT NULL")).groupBy("video_id").agg(F.count("*").alias("n"))
+    return z.select(F.explode(F.array(F.lit("hib_pipeline"), F.lit("static_pipeline"))).alias("method"), "video_id", "n")
+
+
+@query("WITH c1 AS (SELECT DISTINCT candidate_id, video_id, ts FROM frame_candidates WHERE video_id IS NOT NULL AND ts IS NOT NULL) SELECT video_id, ts, min(candidate_id) AS candidate_id FROM c1 GROUP BY ALL")
+def d18_first_at_each_time(spark: SparkSession, d: str) -> DataFrame:
+    """Of rows with the same time the first counts: an aggregate, so it combines before the shuffle."""
+    return _points(spark, d).groupBy("video_id", "ts").agg(F.min("candidate_id").alias("candidate_id"))
+
+
 QUERIES, SQL = query.queries, query.sql
