@@ -3,7 +3,7 @@
 1. Sparse graph. Every vector is sent to the cells of the few random directions (pivots) it is nearest
    to; within a cell, blocks of rows are compared with blocks of rows and each row is linked to the
    least row of its cell it is connected to by pairs at or above the threshold. That is one link a row
-   and cell, never all pairs.
+   and cell (a row and pair of blocks, where a cell is cut into blocks), never all pairs.
 2. Components of that graph. Average linkage at a threshold never merges across them: an average of
    pairs at or above it needs one pair that is.
 3. Linkage. Within each component all mutual best pairs of clusters merge in parallel, round after
@@ -29,7 +29,7 @@ THRESHOLD = 0.85
 PROBES = 5
 #: Vectors a cell should hold on average, per probe.
 CELL_ROWS = 400
-#: Most pivots; beyond about 3 million vectors cells grow and are cut into blocks.
+#: Most pivots; beyond about 3 million vectors cells grow, and above BLOCK_ROWS they are cut into blocks.
 MOST_PIVOTS = 8192
 #: Rows of a block: a cell or component above it is cut into several.
 BLOCK_ROWS = 16_384
@@ -81,6 +81,41 @@ def _cells(count: int, width: int, seed: int, probes: int):
     return run
 
 
+#: Rows sent on at once where a row of a cut cell is repeated for each pair of its block.
+SENT_ROWS = 65_536
+
+
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each id (the finalizer of splitmix64)."""
+    x = ids.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _paired_cells(count: int, width: int, seed: int, probes: int, blocks: np.ndarray):
+    """(cell, i, j, lower, id, rounded vector): each row of a cell once for every pair of its block with a block.
+
+    ``blocks`` holds the number of blocks of each cell; ``lower``: the row's block is i. A cell of one
+    block has the pair (0, 0) only.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _cells(count, width, seed, probes)(batches):
+            of = blocks[batch.column(0).to_numpy()]
+            mine = (_mixed(batch.column(1).to_numpy()) % of.astype(np.uint64)).astype(np.int64)
+            step = max(1, SENT_ROWS // int(of.max(initial=1)))
+            for a in range(0, len(of), step):
+                n, m = of[a : a + step], mine[a : a + step]
+                take = np.repeat(np.arange(len(n)), n)
+                other = np.arange(len(take)) - np.repeat(np.cumsum(n) - n, n)
+                part, m = batch.slice(a, step).take(pa.array(take)), m[take]
+                i, j = np.minimum(m, other).astype(np.int32), np.maximum(m, other).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(i), pa.array(j), pa.array(m <= other), part.column(1), part.column(2)], names=["cell", "i", "j", "lower", "id", "v"])
+
+    return run
+
+
 def links_within(ids: np.ndarray, u: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(id, least id of its connected group), for ids that have a pair at or above the threshold.
 
@@ -119,6 +154,40 @@ def links_within(ids: np.ndarray, u: np.ndarray, threshold: float) -> tuple[np.n
     return ids[linked], ids[parent[linked]]
 
 
+def links_across(ids: np.ndarray, u: np.ndarray, lower: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """As links_within, by the pairs of a row of one block (``lower``) and one of another only."""
+    n = len(ids)
+    label = np.arange(n)
+    x, y = np.flatnonzero(lower), np.flatnonzero(~lower)
+    other, b, step = u[y].T, 0, 8
+    while b < len(x):
+        # few rows first: they unite the groups of a dense cell, so that the rest touches few of them
+        rows = x[b : b + step]
+        b, step = b + step, min(2 * step, 256)
+        r, c = np.nonzero(u[rows] @ other >= threshold)
+        if not len(r):
+            continue
+        pair = np.unique(label[rows[r]] * n + label[y[c]])
+        parent = {}
+
+        def root(i: int) -> int:
+            while (up := parent.get(i, i)) != i:
+                parent[i] = parent.get(up, up)
+                i = up
+            return i
+
+        for p, q in zip((pair // n).tolist(), (pair % n).tolist()):
+            p, q = root(p), root(q)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+        if parent:
+            to = np.arange(n)
+            to[list(parent)] = [root(i) for i in list(parent)]
+            label = to[label]
+    linked = ids[label] != ids
+    return ids[linked], ids[label[linked]]
+
+
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
     """Runs of rows with equal first ``keys`` columns; the partition is sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -145,14 +214,17 @@ def _joined(held: list[pa.RecordBatch], i: int) -> pa.Array:
 
 def _link_cells(width: int, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in sorted_groups(batches, 2):
-            ids = _joined(held, 2).to_numpy(zero_copy_only=False)
+        for held in sorted_groups(batches, 3):
+            ids = _joined(held, 4).to_numpy(zero_copy_only=False)
             if len(ids) < 2:
                 continue
-            u = np.frombuffer(b"".join(_joined(held, 3).to_pylist()), np.int8).reshape(-1, width).astype(np.float32)
+            u = np.frombuffer(b"".join(_joined(held, 5).to_pylist()), np.int8).reshape(-1, width).astype(np.float32)
             u /= np.linalg.norm(u, axis=1, keepdims=True)
             order = np.argsort(ids, kind="stable")
-            a, b = links_within(ids[order], u[order], threshold - ROUNDED)
+            if held[0].column(1)[0] == held[0].column(2)[0]:
+                a, b = links_within(ids[order], u[order], threshold - ROUNDED)
+            else:
+                a, b = links_across(ids[order], u[order], _joined(held, 3).to_numpy(zero_copy_only=False)[order], threshold - ROUNDED)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), held[0].column(0)[0].as_py(), np.int32)), pa.array(a), pa.array(b)], names=["cell", "a", "b"])
 
@@ -415,27 +487,18 @@ def pivot_count(rows: int) -> int:
 def sparse_links(df: DataFrame, id_column: str, vector_column: str, threshold: float = THRESHOLD, width: int = 64, seed: int = 7, probes: int = PROBES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b) with a > b: links that connect, cell by cell, what is connected by alike pairs.
 
-    A cell with more rows than ``block_rows`` is cut into blocks by a hash; blocks of such a cell are
-    connected through the least rows of their groups, which go through the same comparison once more.
+    A cell with more rows than ``block_rows`` is cut into blocks by a hash; every block of such a cell
+    is compared with every other and with itself, each pair in a group of its own.
     """
     rows = df.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{vector_column}`").alias("v"))
     count = pivot_count(df.count())
-    cells = rows.mapInArrow(_cells(count, width, seed, probes), "cell int, id bigint, v binary")
     # one aggregate row a cell: at most MOST_PIVOTS of them
     sizes = rows.mapInArrow(_cells_only(count, width, seed, probes), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    hot = {r["cell"]: -(-r["n"] // block_rows) for r in sizes.where(F.col("n") > block_rows).collect()}
-    blocks = F.lit(1)
-    for cell, n in hot.items():
-        blocks = F.when(F.col("cell") == cell, n).otherwise(blocks)
-    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    keys = ["cell", "block"]
-    link = lambda c: clustered(c, *keys).mapInArrow(_link_cells(width, threshold), "cell int, a bigint, b bigint")
-    links = link(cells.select("cell", block.alias("block"), "id", "v"))
-    if hot:
-        # the heads of a cut cell: rows that no link of that cell leads away from
-        links = cut(links)
-        heads = cells.where(F.col("cell").isin(*hot)).join(links.select("cell", F.col("a").alias("id")), ["cell", "id"], "left_anti")
-        links = links.unionByName(link(heads.select("cell", F.lit(0).alias("block"), "id", "v")))
+    blocks = np.ones(count, np.int64)
+    for r in sizes.where(F.col("n") > block_rows).collect():
+        blocks[r["cell"]] = -(-r["n"] // block_rows)
+    cells = rows.mapInArrow(_paired_cells(count, width, seed, probes, blocks), "cell int, i int, j int, lower boolean, id bigint, v binary")
+    links = clustered(cells, "cell", "i", "j").mapInArrow(_link_cells(width, threshold), "cell int, a bigint, b bigint")
     return links.select("a", "b").distinct()
 
 

@@ -81,6 +81,50 @@ def test_recall_of_links(spark):
     assert len(want) > 300 and len(got & want) / len(want) >= 0.99 and len(got - want) <= 0.01 * len(want)
 
 
+def _chain(n=60, seed=1):
+    """Rows of which each is alike to the one before and the one after only; ids in random order."""
+    x = np.zeros((n, 64))
+    x[0, 0] = 1
+    for k in range(1, n):
+        x[k] = x[k - 1] * math.cos(math.radians(25))
+        x[k, k] = math.sin(math.radians(25))
+    s = x @ x.T >= 0.85
+    assert (s == (abs(np.subtract.outer(np.arange(n), np.arange(n))) <= 1)).all()
+    ids = np.random.default_rng(seed).permutation(n).tolist()
+    return [(i, v.tolist()) for i, v in zip(ids, x)]
+
+
+def test_chains_run_through_blocks(spark):
+    rows = _chain()
+    t = spark.createDataFrame(rows, "id bigint, v array<double>")
+    # 8 pivots, all probed: every cell holds all rows and is cut alike
+    links = {(r.a, r.b) for r in clusters.sparse_links(t, "id", "v", probes=8, block_rows=20).collect()}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    seen, todo = {0}, [0]
+    while todo:
+        new = near.get(todo.pop(), set()) - seen
+        seen |= new
+        todo += new
+    assert seen == set(range(len(rows)))
+
+
+def test_links_across_are_brute_force():
+    rng = np.random.default_rng(2)
+    for threshold in (-1.0, 0.7, 0.9, 1.1):
+        u = rng.standard_normal((300, 4))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        lower = rng.random(300) < 0.4
+        label = np.arange(300)
+        near = (u @ u.T >= threshold) & (lower[:, None] != lower[None, :])
+        while (low := np.where(near, label[None, :], 300).min(axis=1, initial=300)).tolist() and (np.minimum(low, label) != label).any():
+            label = np.minimum(low, label)
+        a, b = clusters.links_across(np.arange(300), u, lower, threshold)
+        assert dict(zip(a.tolist(), b.tolist())) == {i: int(x) for i, x in enumerate(label) if i != x}
+
+
 # ---- 4 top N
 
 
