@@ -347,8 +347,19 @@ def _unit(width: int):
     return run
 
 
+def _least_of_each(width: int):
+    """The row with the least vector of each id, as in _link_components; an id's rows follow each other."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in sorted_groups(batches, 2):
+            rows = pa.concat_batches(held)
+            yield rows.slice(int(np.lexsort(_unpack(rows.column(2), width).T[::-1])[0]), 1)
+
+    return run
+
+
 def _merge_blocks(width: int, threshold: float):
-    """(id, cluster) of the clusters of one block of a component, merged among themselves."""
+    """(id, cluster) of the clusters of one whole component, merged to the end."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in sorted_groups(batches, 2):
@@ -421,11 +432,11 @@ STATE = "component bigint, id bigint, total binary, size double"
 def _giant_components(members: DataFrame, width: int, threshold: float, block_rows: int) -> DataFrame:
     """Linkage of components too large for one task; ``members``: (component, id, v).
 
-    First the clusters of each block of a component merge among themselves, with other blocks in every
-    round, which shrinks dense components fast; then whole rounds of mutual best partners, found over
-    all pairs of blocks, until none is left at or above the threshold.
+    Rounds of mutual best partners, found over all pairs of blocks of a component, as link_rounds has
+    them, until none is left at or above the threshold or all components fit a block; these end in one
+    task each, as sums and sizes are all that a round needs.
     """
-    units = cut(members.mapInArrow(_unit(width), STATE).dropDuplicates(["id"]))
+    units = cut(clustered(members.mapInArrow(_unit(width), STATE), "component", "id").mapInArrow(_least_of_each(width), STATE))
     state, of = units, units.select("component", "id", F.col("id").alias("cluster"))
 
     def apply(step: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -434,33 +445,29 @@ def _giant_components(members: DataFrame, width: int, threshold: float, block_ro
         moved = cut(of.withColumnRenamed("cluster", "old").join(step.withColumnRenamed("id", "old"), "old").select("component", "id", "cluster"))
         return merged, moved
 
-    before, still, turn = None, 0, 0
     while True:
-        counts = state.groupBy("component").agg(F.count("*").alias("n"))
-        blocks = counts.select("component", F.ceil(F.col("n") / block_rows).alias("blocks"))
-        n, most = counts.agg(F.sum("n"), F.max("n")).first()
-        still = still + 1 if n == before else 0
-        whole = (most or 0) <= block_rows
-        if not n or still >= 2:
+        counts = cut(state.groupBy("component").agg(F.count("*").alias("n")))
+        if (counts.agg(F.max("n")).first()[0] or 0) <= block_rows:
             break
-        before = n
-        turn += 1
-        placed = state.join(blocks, "component").select("component", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("blocks")).cast("bigint").alias("block"), "id", "total", "size")
-        step = cut(clustered(placed, "component", "block").mapInArrow(_merge_blocks(width, threshold), "id bigint, cluster bigint"))
-        state, of = apply(step)
-        if whole:
-            break
-    while n and not whole:
+        blocks = counts.select("component", F.ceil(F.col("n") / block_rows).alias("blocks"))
         pairs = _block_pairs(state, "component", blocks).select("component", "i", "j", "id", "total", "size")
         best = clustered(pairs, "component", "i", "j").mapInArrow(_best_partners(width, threshold), "id bigint, partner bigint, score double")
-        best = cut(best.groupBy("id").agg(F.max_by("partner", F.struct("score", -F.col("partner"))).alias("partner")))
+        best = best.groupBy("id").agg(F.max(F.struct("score", (-F.col("partner")).alias("less"))).alias("b")).select("id", (-F.col("b.less")).alias("partner"), F.col("b.score").alias("score"))
+        best = cut(best.join(state.select("id", "component"), "id"))
         back = best.select(F.col("id").alias("partner"), F.col("partner").alias("id"))
-        mutual = best.join(back, ["id", "partner"]).where("id > partner")
-        step = cut(state.select("id").join(mutual, "id", "left").select("id", F.coalesce("partner", "id").alias("cluster")))
-        if step.where("id <> cluster").isEmpty():
+        mutual = best.join(back, ["id", "partner"]).where("id > partner").select("component", "id", "partner")
+        # ties can close a ring of best partners; the first pair of a component without a mutual one merges then
+        ring = best.join(mutual, "component", "left_anti").groupBy("component").agg(F.max(F.struct("score", (-F.col("id")).alias("less"), "partner")).alias("b"))
+        ring = ring.select("component", F.greatest(-F.col("b.less"), "b.partner").alias("id"), F.least(-F.col("b.less"), "b.partner").alias("partner"))
+        merge = cut(mutual.unionByName(ring))
+        if merge.isEmpty():
             break
-        state, of = apply(step)
-        blocks = state.groupBy("component").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+        state, of = apply(cut(state.select("id").join(merge.select("id", "partner"), "id", "left").select("id", F.coalesce("partner", "id").alias("cluster"))))
+    fits = counts.where(F.col("n") <= block_rows).select("component", F.lit(0).alias("block"))
+    placed = state.join(fits, "component").select("component", "block", "id", "total", "size")
+    step = clustered(placed, "component", "block").mapInArrow(_merge_blocks(width, threshold), "id bigint, cluster bigint")
+    rest = state.join(fits, "component", "left_anti").select("id", F.col("id").alias("cluster"))
+    state, of = apply(cut(step.unionAll(rest)))
 
     rows = units.join(of.select("id", "cluster"), "id").select("component", "id", "total", "cluster")
     sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))

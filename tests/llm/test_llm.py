@@ -125,6 +125,19 @@ def test_links_across_are_brute_force():
         assert dict(zip(a.tolist(), b.tolist())) == {i: int(x) for i, x in enumerate(label) if i != x}
 
 
+def test_large_components_get_the_linkage_of_small_ones(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(2):
+        c = rng.standard_normal(64)
+        rows += [(c / np.linalg.norm(c) + 0.054 * rng.standard_normal(64)).tolist() for _ in range(40)]
+    rows = [(int(i), v) for i, v in zip(rng.permutation(80), rows)]
+    again = [(i, (np.array(v) + 0.01 * rng.standard_normal(64)).tolist()) for i, v in rows[:20]]  # other vectors of some ids
+    t = spark.createDataFrame(rows + again, "id bigint, v array<double>")
+    whole, cut = ({tuple(r) for r in clusters.linkage(t, "id", "v", component_rows=n).collect()} for n in (8192, 24))
+    assert 10 < len({r[1] for r in whole}) < len(whole) and cut == whole
+
+
 # ---- 4 top N
 
 
