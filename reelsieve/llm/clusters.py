@@ -6,9 +6,17 @@
    and cell (a row and pair of blocks, where a cell is cut into blocks), never all pairs.
 2. Components of that graph. Average linkage at a threshold never merges across them: an average of
    pairs at or above it needs one pair that is.
-3. Linkage. Within each component all mutual best pairs of clusters merge in parallel, round after
-   round, until none is at or above the threshold. The average cosine of two clusters of unit vectors
-   is the product of their mean vectors, so a round needs sums and sizes only.
+3. Linkage. Equal vectors are one weighted row from the start (their cosine is the largest there is, so
+   they merge first). Then all mutual best pairs of clusters merge in parallel, round after round, until
+   none is at or above the threshold. The average cosine of two clusters of unit vectors is the product
+   of their mean vectors, so a round needs sums and sizes only. Each cluster keeps its best partner from
+   round to round: an average to a merged cluster is never above the larger of its two parts', so only
+   new clusters and those whose partner was merged look for one again, and a cluster that has no
+   partner at the threshold is finished. Equal averages are ordered by a hash of the pair, the same from
+   both sides, so ties merge in parallel too.
+
+A component whose members all lie within half the threshold's angle of their mean is one cluster
+without a round: any two of them are within the whole angle.
 """
 
 from __future__ import annotations
@@ -31,6 +39,8 @@ PROBES = 5
 CELL_ROWS = 400
 #: Most pivots; beyond about 3 million vectors cells grow, and above BLOCK_ROWS they are cut into blocks.
 MOST_PIVOTS = 8192
+#: Rows from which the sizes of cells are estimated.
+SAMPLE_ROWS = 100_000
 #: Rows of a block: a cell or component above it is cut into several.
 BLOCK_ROWS = 16_384
 STEP = 1024
@@ -231,58 +241,84 @@ def _link_cells(width: int, threshold: float):
     return run
 
 
-def link_rounds(total: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
-    """The cluster (place of its first member) of each of some clusters, given by sums and sizes.
+def _pair_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair of ids, the same from both sides: the order among equal averages."""
+    x, y = _mixed(a), _mixed(b)
+    return _mixed((x ^ y) + x * y)
 
-    Each round every cluster names its best partner by average cosine (of equals the first), and all
-    pairs that name each other merge; it ends when no named pair is at or above the threshold.
+
+def best_of(mean: np.ndarray, ids: np.ndarray, rows: np.ndarray, others: np.ndarray, other_ids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the best other cluster or -1, average cosine) of some clusters, those below the threshold having none.
+
+    ``rows`` are places in ``mean`` and ``ids``; ``others`` are the mean vectors to choose from, with
+    their ids. A cluster is never its own partner.
     """
+    best, score = np.full(len(rows), -1), np.full(len(rows), -np.inf)
+    step = max(16, 4_000_000 // max(1, len(others)))
+    for b in range(0, len(rows), step):
+        at = rows[b : b + step]
+        s = np.round(mean[at] @ others.T, 12)
+        s[ids[at][:, None] == other_ids[None, :]] = -np.inf
+        top = s.max(axis=1)
+        choice = s.argmax(axis=1)
+        for i in np.flatnonzero(((s == top[:, None]).sum(axis=1) > 1) & (top >= threshold - 1e-12)):
+            tied = np.flatnonzero(s[i] == top[i])
+            choice[i] = tied[_pair_order(np.full(len(tied), ids[at[i]]), other_ids[tied]).argmin()]
+        ok = top >= threshold - 1e-12
+        best[b : b + step], score[b : b + step] = np.where(ok, choice, -1), np.where(ok, top, -np.inf)
+    return best, score
+
+
+def link_rounds(total: np.ndarray, size: np.ndarray, threshold: float, ids: np.ndarray | None = None) -> np.ndarray:
+    """The cluster (place of its first member) of each of some clusters, given by sums and sizes."""
     n = len(size)
-    label = np.arange(n)
-    alive = np.arange(n)
+    ids = np.arange(n) if ids is None else ids
+    label, best = np.arange(n), np.full(n, -1)
     total, size = total.astype(np.float64).copy(), size.astype(np.float64).copy()
+    mean = total / size[:, None]
+    alive = stale = np.arange(n)
     while len(alive) > 1:
-        mean = total[alive] / size[alive, None]
-        best = np.empty(len(alive), np.int64)
-        score = np.empty(len(alive))
-        step = max(16, 4_000_000 // len(alive))
-        for b in range(0, len(alive), step):
-            s = np.round(mean[b : b + step] @ mean.T, 12)
-            s[np.arange(len(s)), np.arange(b, b + len(s))] = -np.inf
-            best[b : b + step] = s.argmax(axis=1)
-            score[b : b + step] = s.max(axis=1)
-        me = np.arange(len(alive))
-        merge = (best[best] == me) & (me < best) & (score >= threshold - 1e-12)
-        if not merge.any():
-            # ties can close a ring of best partners; its first pair merges then
-            if not (score >= threshold - 1e-12).any():
+        found, _ = best_of(mean, ids, stale, mean[alive], ids[alive], threshold)
+        best[stale] = np.where(found >= 0, alive[found], -1)
+        alive = alive[best[alive] >= 0]
+        if not len(alive):
+            break
+        merge = alive[(best[best[alive]] == alive) & (alive < best[alive])]
+        if not len(merge):
+            # a kept partner can tie with a new cluster; looked up afresh, the first of all pairs is mutual
+            if len(stale) == len(alive):
                 break
-            i = int(np.lexsort((me, -score))[0])
-            lo, hi = sorted((i, int(best[i])))
-            pairs = [(lo, hi)]
-        else:
-            pairs = list(zip(me[merge].tolist(), best[merge].tolist()))
-        gone = []
-        for i, j in pairs:
-            p, q = alive[i], alive[j]
-            total[p] += total[q]
-            size[p] += size[q]
-            label[q] = p
-            gone.append(j)
-        alive = np.delete(alive, gone)
+            stale = alive
+            continue
+        gone = best[merge]
+        np.add.at(total, merge, total[gone])
+        np.add.at(size, merge, size[gone])
+        mean[merge] = total[merge] / size[merge, None]
+        label[gone] = merge
+        ended = np.zeros(n, bool)
+        ended[gone] = True
+        alive = alive[~ended[alive]]
+        changed = ended
+        changed[merge] = True
+        stale = alive[changed[alive] | changed[best[alive]]]
     while (up := label[label]).tobytes() != label.tobytes():
         label = up
     return label
 
 
+def half_angle(threshold: float) -> float:
+    """The cosine of half the threshold's angle, a little above it for rounding."""
+    return math.sqrt((1 + threshold) / 2) + 1e-9
+
+
 RESULT = "id bigint, cluster_id bigint, typicality double, all_alike boolean, alike_outside boolean"
 
 
-def judge(ids: np.ndarray, u: np.ndarray, label: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(typicality, all alike within, alike to one outside) of each row, from every pair, in blocks."""
-    n = len(ids)
+def judge(u: np.ndarray, count: np.ndarray, label: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(typicality, all alike within, alike to one outside) of each different vector, pair by pair in blocks."""
+    n = len(u)
     total = np.zeros_like(u)
-    np.add.at(total, label, u)
+    np.add.at(total, label, u * count[:, None])
     norm = np.linalg.norm(total[label], axis=1)
     typical = np.einsum("ij,ij->i", u, total[label]) / np.where(norm > 0, norm, 1)
     least, most = np.ones(n), np.full(n, -1.0)
@@ -298,6 +334,25 @@ def judge(ids: np.ndarray, u: np.ndarray, label: np.ndarray, threshold: float) -
     return typical, inside[label], outside[label]
 
 
+def link_component(ids: np.ndarray, u: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cluster, typicality, all alike within, alike to one outside) of one component's rows in order of id."""
+    n = len(ids)
+    mean = u.sum(axis=0)
+    to_mean = u @ (mean / max(np.linalg.norm(mean), 1e-300))
+    if to_mean.min() >= half_angle(threshold):
+        return np.zeros(n, np.int64), to_mean, np.ones(n, bool), np.zeros(n, bool)
+    one, first, of, count = np.unique(np.round(u, 12), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    # equal vectors as one row of that size, in order of the least id
+    order = np.argsort(first)
+    one, first, count, of = one[order], first[order], count[order].astype(np.float64), np.argsort(order)[of.ravel()]
+    if len(one) <= 2048 and (one @ one.T).min() >= threshold - 1e-9:
+        # every pair is alike, so every average is: linkage ends in one cluster
+        return np.zeros(n, np.int64), to_mean, np.ones(n, bool), np.zeros(n, bool)
+    label = link_rounds(one * count[:, None], count, threshold, ids[first])
+    typical, inside, outside = judge(one, count, label, threshold)
+    return first[label][of], typical[of], inside[of], outside[of]
+
+
 def _link_components(width: int, threshold: float):
     """Linkage of each whole component; its rows follow each other."""
 
@@ -310,15 +365,7 @@ def _link_components(width: int, threshold: float):
             ids, u = ids[new], u[new]  # a repeated id counts once, with its least vector
             if not len(ids):
                 continue
-            s = u @ u.T if len(ids) <= 2048 else None
-            if s is not None and s.min() >= threshold - 1e-9:
-                # every pair is alike, so every average is: linkage ends in one cluster
-                label = np.zeros(len(ids), np.int64)
-                mean = u.sum(axis=0)
-                typical, inside, outside = u @ mean / np.linalg.norm(mean), np.ones(len(ids), bool), np.zeros(len(ids), bool)
-            else:
-                label = link_rounds(u, np.ones(len(ids)), threshold)
-                typical, inside, outside = judge(ids, u, label, threshold)
+            label, typical, inside, outside = link_component(ids, u, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label]), pa.array(np.round(typical, 9)), pa.array(inside), pa.array(outside)], names=["id", "cluster_id", "typicality", "all_alike", "alike_outside"])
 
     return run
@@ -335,14 +382,14 @@ def _unpack(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _unit(width: int):
-    """(component, id, sum, size) of single vectors, in the form the rounds below take."""
+    """(component, id, unit vector) in the form the rounds below take."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = pa.array(np.arange(b.num_rows))
             keep, u = unit_rows(at, b.column(2), width)
             t = b.take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), _pack(u), pa.array(np.ones(len(u)))], names=["component", "id", "total", "size"])
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), _pack(np.round(u, 12) + 0.0)], names=["component", "id", "v"])
 
     return run
 
@@ -358,58 +405,107 @@ def _least_of_each(width: int):
     return run
 
 
-def _merge_blocks(width: int, threshold: float):
-    """(id, cluster) of the clusters of one whole component, merged to the end."""
+def _weighted(width: int):
+    """(component, id, total, size) of rows component, id, v, size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in sorted_groups(batches, 2):
-            ids = _joined(held, 2).to_numpy(zero_copy_only=False)
-            order = np.argsort(ids)
-            label = link_rounds(_unpack(_joined(held, 3), width)[order], _joined(held, 4).to_numpy(zero_copy_only=False)[order], threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[order]), pa.array(ids[order][label])], names=["id", "cluster"])
+        for b in batches:
+            total = _unpack(b.column(2), width) * b.column(3).to_numpy(zero_copy_only=False)[:, None]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _pack(total), b.column(3)], names=["component", "id", "total", "size"])
 
     return run
 
 
-def _sum_clusters(width: int):
-    """(component, id, total, size) of each cluster; a cluster's rows follow each other, in any number of batches."""
+def _sums(width: int):
+    """(key, sum of size times vector, size) of the batch's keys: the map side of a sum of vectors.
+
+    Rows: key, vector, size. A partition keeps one sum a key it meets.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in sorted_groups(batches, 2):
-            total = sum(_unpack(h.column(2), width).sum(axis=0) for h in held)
-            size = sum(float(h.column(3).to_numpy(zero_copy_only=False).sum()) for h in held)
-            yield pa.RecordBatch.from_arrays([held[0].column(0).slice(0, 1), held[0].column(1).slice(0, 1), _pack(total[None, :]), pa.array([size])], names=["component", "id", "total", "size"])
+        held: dict[int, int] = {}
+        total, size = np.zeros((64, width)), np.zeros(64)
+        for b in batches:
+            keys, at = np.unique(b.column(0).to_numpy(), return_inverse=True)
+            place = np.array([held.setdefault(k, len(held)) for k in keys.tolist()], np.int64)
+            while len(held) > len(size):
+                total, size = np.concatenate([total, np.zeros_like(total)]), np.concatenate([size, np.zeros_like(size)])
+            n = b.column(2).to_numpy(zero_copy_only=False)
+            np.add.at(total, place[at], _unpack(b.column(1), width) * n[:, None])
+            np.add.at(size, place[at], n)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), _pack(total[: len(held)]), pa.array(size[: len(held)])], names=["key", "total", "size"])
 
     return run
 
 
-def _block_pairs(rows: DataFrame, by: str, blocks: DataFrame) -> DataFrame:
-    """Each row once for every pair of its block with a block of the same group: (by, i, j, first, ...)."""
-    at = rows.join(blocks, by).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    return other.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "first": F.col("mine") <= F.col("other")}).drop("other", "blocks")
+def _added(width: int):
+    """The sums of equal keys; a key's rows follow each other, in any number of batches."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in sorted_groups(batches, 1):
+            total = sum(_unpack(h.column(1), width).sum(axis=0) for h in held)
+            size = sum(float(h.column(2).to_numpy(zero_copy_only=False).sum()) for h in held)
+            yield pa.RecordBatch.from_arrays([held[0].column(0).slice(0, 1), _pack(total[None, :]), pa.array([size])], names=["key", "total", "size"])
+
+    return run
+
+
+def sum_vectors(rows: DataFrame, width: int) -> DataFrame:
+    """(key, total, size) of rows (key, v, size): partial sums first, so a hot key is no hot task."""
+    kind = "key bigint, total binary, size double"
+    return clustered(rows.mapInArrow(_sums(width), kind), "key").mapInArrow(_added(width), kind)
+
+
+def _merge_blocks(width: int, threshold: float):
+    """(id, cluster) of the clusters of one whole component, merged to the end."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in sorted_groups(batches, 1):
+            ids = _joined(held, 1).to_numpy(zero_copy_only=False)
+            order = np.argsort(ids)
+            label = link_rounds(_unpack(_joined(held, 2), width)[order], _joined(held, 3).to_numpy(zero_copy_only=False)[order], threshold, ids[order])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[order]), pa.array(ids[order][label])], names=["id", "cluster"])
+
+    return run
 
 
 def _best_partners(width: int, threshold: float):
-    """(id, partner, score): the best partner of each cluster within one pair of blocks."""
+    """(id, partner, order, score): the best partner of each asking cluster within one pair of blocks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in sorted_groups(batches, 3):
             ids = _joined(held, 3).to_numpy(zero_copy_only=False)
-            order = np.argsort(ids)
-            ids = ids[order]
-            mean = (_unpack(_joined(held, 4), width) / _joined(held, 5).to_numpy(zero_copy_only=False)[:, None])[order]
-            step = max(16, 4_000_000 // len(ids))
-            for b in range(0, len(ids), step):
-                s = np.round(mean[b : b + step] @ mean.T, 12)
-                s[np.arange(len(s)), np.arange(b, b + len(s))] = -np.inf
-                best, score = s.argmax(axis=1), s.max(axis=1)
-                ok = score >= threshold - 1e-12
-                yield pa.RecordBatch.from_arrays([pa.array(ids[b : b + step][ok]), pa.array(ids[best][ok]), pa.array(score[ok])], names=["id", "partner", "score"])
+            asks = _joined(held, 4).to_numpy(zero_copy_only=False)
+            mean = _unpack(_joined(held, 5), width) / _joined(held, 6).to_numpy(zero_copy_only=False)[:, None]
+            at, own = np.flatnonzero(asks), np.flatnonzero(~asks)
+            if not len(at) or not len(own):
+                continue
+            best, score = best_of(mean, ids, at, mean[own], ids[own], threshold)
+            ok = best >= 0
+            a, b = ids[at[ok]], ids[own[best[ok]]]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(_pair_order(a, b).view(np.int64) ^ np.int64(-(2**63))), pa.array(score[ok])], names=["id", "partner", "tie", "score"])
 
     return run
 
 
+def _block_of(blocks: str):
+    return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+
+
+def _asked(state: DataFrame, stale: DataFrame, block_rows: int) -> DataFrame:
+    """(component, i, j, id, asks, total, size): each stale cluster for every block of its component, each
+    cluster once for every block of stale ones. The pairs of blocks are compared, no pair is made."""
+    asking = state.join(stale, "id", "left_semi")
+    have = state.groupBy("component").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n"))
+    want = asking.groupBy("component").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("m"))
+    size = have.join(want, "component")
+    left = asking.join(size, "component").withColumns({"i": _block_of("m"), "asks": F.lit(True)}).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    right = state.join(size, "component").withColumns({"j": _block_of("n"), "asks": F.lit(False)}).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    cols = ["component", "i", "j", "id", "asks", "total", "size"]
+    return left.select(*cols).unionAll(right.select(*cols))
+
+
 def _pair_limits(width: int):
     """(id, least within the cluster, most across clusters) within one pair of blocks."""
 
@@ -426,65 +522,96 @@ def _pair_limits(width: int):
     return run
 
 
+def _to_centre(width: int):
+    """(id, cluster, cosine to the cluster's centre) of rows id, cluster, v, centre."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, c = _unpack(b.column(2), width), _unpack(b.column(3), width)
+            t = np.einsum("ij,ij->i", u, c) / np.maximum(np.linalg.norm(c, axis=1), 1e-300)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(t)], names=["id", "cluster", "typicality"])
+
+    return run
+
+
+def _centred(rows: DataFrame, width: int) -> DataFrame:
+    """(id, cluster, typicality) of rows (id, cluster, v, size)."""
+    centre = sum_vectors(rows.select(F.col("cluster").alias("key"), "v", "size"), width).select(F.col("key").alias("cluster"), F.col("total").alias("centre"))
+    return rows.join(centre, "cluster").select("id", "cluster", "v", "centre").mapInArrow(_to_centre(width), "id bigint, cluster bigint, typicality double")
+
+
 STATE = "component bigint, id bigint, total binary, size double"
 
 
 def _giant_components(members: DataFrame, width: int, threshold: float, block_rows: int) -> DataFrame:
     """Linkage of components too large for one task; ``members``: (component, id, v).
 
-    Rounds of mutual best partners, found over all pairs of blocks of a component, as link_rounds has
-    them, until none is left at or above the threshold or all components fit a block; these end in one
-    task each, as sums and sizes are all that a round needs.
+    The same rounds as link_rounds, over all pairs of blocks of a component, so the clusters are those
+    that one task would find. A component ends in one task as soon as the clusters that still have a
+    partner fit a block; sums and sizes are all that a round needs.
     """
-    units = cut(clustered(members.mapInArrow(_unit(width), STATE), "component", "id").mapInArrow(_least_of_each(width), STATE))
-    state, of = units, units.select("component", "id", F.col("id").alias("cluster"))
+    kind = "component bigint, id bigint, v binary"
+    every = cut(clustered(members.mapInArrow(_unit(width), kind), "component", "id").mapInArrow(_least_of_each(width), kind))
+    # equal vectors are one row of their number, known by the least id; this combines before the shuffle
+    units = cut(every.groupBy("component", "v").agg(F.min("id").alias("id"), F.count("*").cast("double").alias("size")))
+    known = units.select("component", "v", F.col("id").alias("unit"))
+    of_unit = every.join(known, ["component", "v"]).select("id", "unit")
+
+    # components within half the angle of their mean are whole clusters
+    whole = cut(_centred(units.select("id", F.col("component").alias("cluster"), "v", "size"), width).groupBy("cluster").agg(F.min("typicality").alias("t")).where(F.col("t") >= half_angle(threshold)).select(F.col("cluster").alias("component")))
+    loose = units.join(whole, "component", "left_anti")
+    state = cut(loose.select("component", "id", "v", "size").mapInArrow(_weighted(width), STATE))
+    of = state.select("id", F.col("id").alias("cluster"))
+    best, stale = None, state.select("id")
 
     def apply(step: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = state.join(step, "id").select("component", "cluster", "total", "size")
-        merged = cut(clustered(new, "component", "cluster").mapInArrow(_sum_clusters(width), STATE))
-        moved = cut(of.withColumnRenamed("cluster", "old").join(step.withColumnRenamed("id", "old"), "old").select("component", "id", "cluster"))
-        return merged, moved
+        """Clusters and membership after the merges (id, cluster) of ``step``."""
+        moved = cut(of.withColumnRenamed("cluster", "old").join(step.withColumnRenamed("id", "old"), "old", "left").select("id", F.coalesce("cluster", "old").alias("cluster")))
+        merged = step.join(state, "id")
+        sums = sum_vectors(merged.select(F.col("cluster").alias("key"), F.col("total").alias("v"), F.lit(1.0).alias("size")), width).select(F.col("key").alias("id"), "total")
+        sizes = merged.groupBy(F.col("cluster").alias("id")).agg(F.min("component").alias("component"), F.sum("size").alias("size"))
+        rest = state.join(step, "id", "left_anti")
+        return cut(rest.unionByName(sums.join(sizes, "id").select("component", "id", "total", "size"))), moved
 
     while True:
         counts = cut(state.groupBy("component").agg(F.count("*").alias("n")))
         if (counts.agg(F.max("n")).first()[0] or 0) <= block_rows:
             break
-        blocks = counts.select("component", F.ceil(F.col("n") / block_rows).alias("blocks"))
-        pairs = _block_pairs(state, "component", blocks).select("component", "i", "j", "id", "total", "size")
-        best = clustered(pairs, "component", "i", "j").mapInArrow(_best_partners(width, threshold), "id bigint, partner bigint, score double")
-        best = best.groupBy("id").agg(F.max(F.struct("score", (-F.col("partner")).alias("less"))).alias("b")).select("id", (-F.col("b.less")).alias("partner"), F.col("b.score").alias("score"))
-        best = cut(best.join(state.select("id", "component"), "id"))
+        fresh = clustered(_asked(state, stale, block_rows), "component", "i", "j").mapInArrow(_best_partners(width, threshold), "id bigint, partner bigint, tie bigint, score double")
+        fresh = fresh.groupBy("id").agg(F.max_by("partner", F.struct("score", (-F.col("tie")).alias("t"))).alias("partner"))
+        best = cut(fresh if best is None else best.join(stale, "id", "left_anti").unionByName(fresh))
+        # what has no partner at the threshold never gets one
+        state = cut(state.join(best, "id", "left_semi"))
         back = best.select(F.col("id").alias("partner"), F.col("partner").alias("id"))
-        mutual = best.join(back, ["id", "partner"]).where("id > partner").select("component", "id", "partner")
-        # ties can close a ring of best partners; the first pair of a component without a mutual one merges then
-        ring = best.join(mutual, "component", "left_anti").groupBy("component").agg(F.max(F.struct("score", (-F.col("id")).alias("less"), "partner")).alias("b"))
-        ring = ring.select("component", F.greatest(-F.col("b.less"), "b.partner").alias("id"), F.least(-F.col("b.less"), "b.partner").alias("partner"))
-        merge = cut(mutual.unionByName(ring))
+        merge = cut(best.join(back, ["id", "partner"]).where("id > partner"))
         if merge.isEmpty():
-            break
-        state, of = apply(cut(state.select("id").join(merge.select("id", "partner"), "id", "left").select("id", F.coalesce("partner", "id").alias("cluster"))))
-    fits = counts.where(F.col("n") <= block_rows).select("component", F.lit(0).alias("block"))
-    placed = state.join(fits, "component").select("component", "block", "id", "total", "size")
-    step = clustered(placed, "component", "block").mapInArrow(_merge_blocks(width, threshold), "id bigint, cluster bigint")
-    rest = state.join(fits, "component", "left_anti").select("id", F.col("id").alias("cluster"))
-    state, of = apply(cut(step.unionAll(rest)))
-
-    rows = units.join(of.select("id", "cluster"), "id").select("component", "id", "total", "cluster")
-    sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
-    pairs = _block_pairs(rows, "component", sizes).select("component", "i", "j", "id", "total", "cluster")
+            if best.isEmpty() or state.join(stale, "id", "left_anti").isEmpty():
+                break
+            stale, best = state.select("id"), None
+            continue
+        pair = merge.select("id", F.col("partner").alias("cluster")).unionAll(merge.select(F.col("partner").alias("id"), F.col("partner").alias("cluster")))
+        touched = pair.select(F.col("id").alias("t"))
+        state, of = apply(pair)
+        lost = best.join(touched, best["partner"] == touched["t"], "left_semi").select("id")
+        stale = cut(lost.unionAll(merge.select(F.col("partner").alias("id"))).distinct().join(state, "id", "left_semi"))
+        best = cut(best.join(state, "id", "left_semi"))
+    fits = counts.where(F.col("n") <= block_rows).select("component")
+    step = clustered(state.join(fits, "component").select("component", "id", "total", "size"), "component").mapInArrow(_merge_blocks(width, threshold), "id bigint, cluster bigint")
+    moved = of.withColumnRenamed("cluster", "old").join(step.withColumnRenamed("id", "old"), "old", "left").select("id", F.coalesce("cluster", "old").alias("cluster"))
+    least = units.join(whole, "component").groupBy("component").agg(F.min("id").alias("cluster"))
+    moved = moved.unionByName(units.join(least, "component").select("id", "cluster"))
+    placed = cut(units.join(moved, "id").select("component", "id", "v", "size", "cluster"))
+
+    scored = _centred(placed.select("id", "cluster", "v", "size"), width)
+    rows = placed.join(whole, "component", "left_anti")
+    blocks = rows.groupBy("component").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n"))
+    at = rows.join(blocks, "component").withColumn("mine", _block_of("n")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    pairs = at.select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", F.col("v").alias("total"), "cluster")
     limits = clustered(pairs, "component", "i", "j").mapInArrow(_pair_limits(width), "id bigint, least double, most double")
     limits = limits.groupBy("id").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    flags = rows.join(limits, "id").groupBy("cluster").agg((F.min("least") >= threshold - 1e-9).alias("all_alike"), (F.max("most") >= threshold - 1e-9).alias("alike_outside"))
-    centre = state.select(F.col("id").alias("cluster"), F.col("total").alias("centre"))
-
-    def typical(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u, c = _unpack(b.column(2), width), _unpack(b.column(3), width)
-            t = np.einsum("ij,ij->i", u, c) / np.maximum(np.linalg.norm(c, axis=1), 1e-300)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(t, 9))], names=["id", "cluster", "typicality"])
-
-    scored = rows.join(centre, "cluster").select("id", "cluster", "total", "centre").mapInArrow(typical, "id bigint, cluster bigint, typicality double")
-    return scored.join(flags, "cluster").select("id", F.col("cluster").alias("cluster_id"), "typicality", "all_alike", "alike_outside")
+    flags = rows.select("id", "cluster").join(limits, "id").groupBy("cluster").agg((F.min("least") >= threshold - 1e-9).alias("all_alike"), (F.max("most") >= threshold - 1e-9).alias("alike_outside"))
+    out = scored.join(flags, "cluster", "left").select(F.col("id").alias("unit"), F.col("cluster").alias("cluster_id"), F.round("typicality", 9).alias("typicality"), F.coalesce("all_alike", F.lit(True)).alias("all_alike"), F.coalesce("alike_outside", F.lit(False)).alias("alike_outside"))
+    return of_unit.join(out, "unit").select("id", "cluster_id", "typicality", "all_alike", "alike_outside")
 
 
 def pivot_count(rows: int) -> int:
@@ -498,12 +625,17 @@ def sparse_links(df: DataFrame, id_column: str, vector_column: str, threshold: f
     is compared with every other and with itself, each pair in a group of its own.
     """
     rows = df.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{vector_column}`").alias("v"))
-    count = pivot_count(df.count())
-    # one aggregate row a cell: at most MOST_PIVOTS of them
-    sizes = rows.mapInArrow(_cells_only(count, width, seed, probes), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    n = df.count()
+    count = pivot_count(n)
     blocks = np.ones(count, np.int64)
-    for r in sizes.where(F.col("n") > block_rows).collect():
-        blocks[r["cell"]] = -(-r["n"] // block_rows)
+    if n > block_rows:
+        # one aggregate row a cell, at most MOST_PIVOTS of them. The number of blocks only spreads the work:
+        # whatever it is, all pairs of a cell are compared, so it may come from a sample of bounded size.
+        share = min(1.0, SAMPLE_ROWS / n)
+        some = rows if share == 1.0 else rows.sample(share, seed)
+        sizes = some.mapInArrow(_cells_only(count, width, seed, probes), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+        for r in sizes.where(F.col("n") / share > block_rows).collect():
+            blocks[r["cell"]] = math.ceil(r["n"] / share / block_rows)
     cells = rows.mapInArrow(_paired_cells(count, width, seed, probes, blocks), "cell int, i int, j int, lower boolean, id bigint, v binary")
     links = clustered(cells, "cell", "i", "j").mapInArrow(_link_cells(width, threshold), "cell int, a bigint, b bigint")
     return links.select("a", "b").distinct()

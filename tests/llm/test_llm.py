@@ -3,12 +3,14 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from reelsieve.llm import bpe, canonical, clusters, mixing, spans, topn
+from reelsieve.operators import components
 
 
 # ---- 1 clusters
@@ -138,6 +140,55 @@ def test_large_components_get_the_linkage_of_small_ones(spark):
     assert 10 < len({r[1] for r in whole}) < len(whole) and cut == whole
 
 
+def _loose_groups(seed=3, groups=6, rows=50, noise=0.062):
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(groups):
+        c = rng.standard_normal(64)
+        out += [(c / np.linalg.norm(c) + noise * rng.standard_normal(64)).tolist() for _ in range(rows)]
+    return [(int(i), v) for i, v in zip(rng.permutation(len(out)), out)]
+
+
+def test_loose_groups_are_the_same_at_any_component_size(spark):
+    rows = _loose_groups()
+    tight = np.ones(64) / 8
+    rng = np.random.default_rng(8)
+    rows += [(1000 + i, (tight + 0.01 * rng.standard_normal(64)).tolist()) for i in range(60)]  # whole within half the angle
+    rows += [(2000 + i, rows[i % 7][1]) for i in range(40)]  # copies of members of a loose group
+    t = spark.createDataFrame(rows, "id bigint, v array<double>")
+    whole, cut = ({tuple(r) for r in clusters.linkage(t, "id", "v", component_rows=n).collect()} for n in (8192, 10))
+    assert len({r[1] for r in whole}) > 7 and cut == whole
+    assert {r[1] for r in whole if 1000 <= r[0] < 1060} == {1000}
+
+
+def test_ties_merge_in_parallel():
+    rng = np.random.default_rng(1)
+    c = rng.standard_normal(64)
+    copies = np.repeat((c / np.linalg.norm(c))[None, :], 5000, axis=0)
+    scaled = copies[:1500] * rng.uniform(0.5, 2, (1500, 1)).astype(np.float32)  # equal but for rounding
+    other = np.array([v for _, v in _loose_groups(groups=2, rows=60)])
+    u = np.concatenate([copies, scaled, other])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    t = time.time()
+    label, _, inside, outside = clusters.link_component(np.arange(len(u)), u, 0.85)
+    assert time.time() - t < 30
+    assert not label[:6500].any() and inside[:6500].all() and not outside[:6500].any()
+    assert len(set(label[6500:].tolist())) > 2
+
+
+def test_recall_of_cut_cells(spark):
+    rows, _ = _vectors(seed=6, groups=250, noise=0.042)
+    t = spark.createDataFrame(rows, "id bigint, v array<double>")
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    pairs = {(int(i), int(j)) for i, j in zip(*np.nonzero(u @ u.T >= 0.85)) if i < j}
+    # few rows a block: every cell is cut
+    links = clusters.sparse_links(t, "id", "v", block_rows=20)
+    comp = {r.node: r.component for r in components.connected_components(links, "a", "b").collect()}
+    kept = sum(i in comp and comp.get(i) == comp.get(j) for i, j in pairs)
+    assert len(pairs) > 1000 and kept / len(pairs) >= 0.99
+
+
 # ---- 4 top N
 
 
