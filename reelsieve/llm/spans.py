@@ -1,16 +1,24 @@
 """Long exact spans shared between records, by Relative Lempel-Ziv parsing against anchored references.
 
 Index. Of every window of ``length`` characters the k-gram with the least hash is an anchor, so two
-texts with a span of that length in common have an anchor at the same place of it. All texts' anchors
-are the index; those whose hash occurs in one place only can't start a factor and are dropped by
-one aggregation of (hash, count). The rest, with the text around them, fall into reference blocks by
-hash: a block holds every reference that a document with those anchors must be factored against.
-
-Parsing. In a block, each occurrence is factored against the references of its anchor: a factor is a
-run of windows that also stand in another text. Its two boundaries are checked by extending it over
-the context on both sides, to the first character that no other text shares. Factors shorter than
-``length`` are no shared spans. What lies between anchors of one occurrence each is literal and is
-never compared, so the work follows the shared text, not the pairs of documents.
+texts with a span of that length in common have an anchor at the same place of it. Anchors that stand
+in one text only start no factor; one aggregation of (hash, least and largest text) drops them. All
+others, with the text around them, fall into reference blocks by hash: a block holds every place of
+the corpus that a text with its anchors must be factored against, one under the other, aligned at the
+anchor, and is indexed by its windows.
+
+Parsing. Each text is factored greedily against its block. At the cursor, the first window that the
+index finds in another text, the block's rows are sorted by what follows; the longest match with
+another text is that with a neighbour in this order, compared character by character up to the first
+difference. That is a factor: start and stop, and the text and place it refers to. Factors of at least
+``length`` are duplicate spans. At a factor's end the cursor goes back to the first window that the
+factor doesn't hold whole, so a span across two factors is checked at their boundary and never split;
+the factors of one text's anchors overlap and are merged when characters are counted. What no other text has is
+literal and is never compared, so the work follows the shared text, not the pairs of documents.
+
+The texts of one factored window are one set: those that refer to the same reference window. Its
+members are compared with that window character by character; pairs are made from the sets in the
+last join only.
 """
 
 from __future__ import annotations
@@ -150,67 +158,209 @@ def _contexts(length: int, gram: int):
     return run
 
 
-def window_hashes(roll: Rolling, rows: list[pa.RecordBatch], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, doc, place) of every window of ``length`` characters that holds a row's anchor.
+class Block:
+    """Occurrences of whole anchors: their contexts, and the windows of ``length`` characters around the anchors.
 
-    All contexts are hashed as one text; a row's windows begin at most ``lead`` after its context does.
+    ``group`` numbers the anchors; row r's context is ``text[start[r] : start[r] + size[r]]``, its
+    anchor begins ``lead[r]`` characters in, and its windows begin at 0 .. ``windows[r]`` - 1.
     """
-    get = lambda name: np.concatenate([b.column(name).to_numpy(zero_copy_only=False) for b in rows])
-    doc, place, lead = get("doc"), get("place"), get("lead").astype(np.int64)
-    texts = [t for b in rows for t in b.column("context").to_pylist()]
-    size = np.array([len(t) for t in texts], np.int64)
-    start = np.cumsum(size) - size
-    count = np.maximum(0, np.minimum(lead + 1, size - length + 1))
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    hashes = roll.stretches(roll.prefix(code_points("".join(texts))), length)
-    return hashes[at + np.repeat(start, count)], np.repeat(doc, count), at + np.repeat(place - lead, count)
-
-
-def parse(key: np.ndarray, owner: np.ndarray, place: np.ndarray, length: int) -> pa.RecordBatch | None:
-    """Factors of the occurrences of whole anchors: (kind, id, doc, start, stop).
-
-    ``set`` rows: documents that have a window in common; equal sets have equal ids, whichever
-    anchor they come from. ``span`` rows: the factors, maximal runs of windows that another document
-    has too, from the first to the last character of them.
+
+    def __init__(self, rows: list[pa.RecordBatch], length: int):
+        get = lambda name: np.concatenate([b.column(name).to_numpy(zero_copy_only=False) for b in rows])
+        self.length = length
+        self.doc, self.place, self.lead = get("doc"), get("place"), get("lead").astype(np.int64)
+        h = get("h") if "h" in rows[0].schema.names else np.zeros(len(self.doc), np.int64)
+        self.group = np.cumsum(np.r_[False, h[1:] != h[:-1]])
+        texts = [t for b in rows for t in b.column("context").to_pylist()]
+        self.text = code_points("".join(texts))
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.windows = np.maximum(0, np.minimum(self.lead + 1, self.size - length + 1))
+
+    def hashed(self, roll: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, row, place in the context) of every window."""
+        n = self.windows
+        row = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        hashes = roll.stretches(roll.prefix(self.text), self.length)
+        return hashes[self.start[row] + at], row, at
+
+    def characters(self, row: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        """The characters from ``at`` on, one row each; 0 beyond the context, 1 and up within it."""
+        place = at[:, None] + np.arange(width)[None, :]
+        inside = place < self.size[row][:, None]
+        flat = np.minimum(self.start[row][:, None] + place, max(0, len(self.text) - 1))
+        return np.where(inside, self.text[flat] + np.uint64(1), np.uint64(0)).astype(np.uint32)
+
+    def equal(self, row: np.ndarray, at: np.ndarray, other: np.ndarray, other_at: np.ndarray, step: int = 20_000) -> np.ndarray:
+        """Whether the windows at two places are the same, character by character."""
+        out = np.zeros(len(row), bool)
+        for b in range(0, len(row), step):
+            e = b + step
+            out[b:e] = (self.characters(row[b:e], at[b:e], self.length) == self.characters(other[b:e], other_at[b:e], self.length)).all(axis=1)
+        return out
+
+    def longest(self, row: np.ndarray, offset: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length, row referred to) of the longest match of each asking row with a row of another text.
+
+        The rows are all that have a window at ``offset`` characters before the anchor, of the groups and
+        offsets that some cursor stands at. Sorted by group, offset and what follows, a row's longest
+        match is with a neighbour; rows of its own text in between are stepped over.
+        """
+        width = int(self.size.max())
+        chars = self.characters(row, self.lead[row] - offset, width)
+        key = np.concatenate([np.stack([self.group[row], offset], axis=1).astype(">u4"), chars.astype(">u4")], axis=1)
+        order = np.argsort(np.ascontiguousarray(key).view(f"S{4 * key.shape[1]}")[:, 0], kind="stable")
+        key, own = key[order], self.doc[row[order]]
+        differ = key[1:] != key[:-1]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), key.shape[1])
+        # characters in common with the next row: none across groups or offsets, nor beyond either context
+        common = np.minimum(np.maximum(0, same - 2), np.minimum(self._rest(row, offset)[order][1:], self._rest(row, offset)[order][:-1]))
+        asked = np.flatnonzero(ask[order])
+        best, refer = np.zeros(len(row), np.int64), np.full(len(row), -1)
+        for side in (-1, 1):
+            now, reach = asked.copy(), np.full(len(asked), 1 << 30)
+            open_ = np.ones(len(asked), bool)
+            while open_.any():
+                now[open_] += side
+                open_ &= (now >= 0) & (now < len(row))
+                reach[open_] = np.minimum(reach[open_], common[np.minimum(now, now - side)[open_]])
+                open_ &= reach >= self.length
+                found = open_.copy()
+                found[open_] = own[now[open_]] != own[asked[open_]]
+                better = found.copy()
+                better[found] = reach[found] > best[asked[found]]
+                best[asked[better]], refer[asked[better]] = reach[better], now[better]
+                open_ &= ~found
+        back = np.empty(len(row), np.int64)
+        back[order] = np.arange(len(row))
+        got = np.where(refer >= 0, row[order][np.maximum(refer, 0)], -1)
+        return best[back], got[back]
+
+    def _rest(self, row: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        return self.size[row] - (self.lead[row] - offset)
+
+
+FACTOR = "kind string, id bigint, doc bigint, start bigint, stop bigint, ref_doc bigint, ref_start bigint"
+_KINDS = pa.schema([("kind", pa.string()), *[(n, pa.int64()) for n in ("id", "doc", "start", "stop", "ref_doc", "ref_start")]])
+
+
+def _shared_windows(block: Block, roll: Rolling):
+    """(class, row, place) of the windows that more than one text has, compared with the class's first window.
+
+    A class is one window of one anchor's block; its first occurrence by (row) is the reference.
     """
-    order = np.lexsort((place, owner, key))
-    key, owner, place = key[order], owner[order], place[order]
-    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(key)]))
-    first = np.r_[True, (group[1:] != group[:-1]) | (owner[1:] != owner[:-1])]  # once per window and document
-    docs = np.bincount(group, weights=first).astype(np.int64)
-    shared = docs[group] > 1
-    if not shared.any():
+    key, row, at = block.hashed(roll)
+    off = block.lead[row] - at
+    order = np.lexsort((row, key, off, block.group[row]))
+    key, row, at, off = key[order], row[order], at[order], off[order]
+    g = block.group[row]
+    begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (g[1:] != g[:-1]) | (off[1:] != off[:-1])][: len(key)])
+    of = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(key)]))
+    d = block.doc[row]
+    low, high = np.minimum.reduceat(d, begin), np.maximum.reduceat(d, begin)
+    keep = (low != high)[of]
+    return of[keep], row[keep], at[keep]
+
+
+def parse(block: Block, roll: Rolling) -> pa.RecordBatch | None:
+    """Factors of the occurrences of whole anchors: (kind, id, doc, start, stop, ref_doc, ref_start).
+
+    ``span`` rows: the greedy factors with the place they refer to. ``set`` rows: texts that refer to one
+    reference window; equal sets have equal ids, whichever anchor they come from.
+    """
+    if not int(block.windows.sum()):
+        return None
+    of, row, at = _shared_windows(block, roll)
+    if not len(of):
         return None
-    kinds = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
-    once = first & shared
-    g, o = group[once], owner[once]
-    once_docs = o
-    ends = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    ids = np.add.reduceat(mix(o.astype(np.uint64)), ends) ^ mix(np.diff(np.r_[ends, len(g)]).astype(np.uint64))
+    d = block.doc[row]
+    order = np.lexsort((row, d, of))
+    of, row, at, d = of[order], row[order], at[order], d[order]
+    begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    size = np.diff(np.r_[begin, len(of)])
+    first = np.r_[True, (of[1:] != of[:-1]) | (d[1:] != d[:-1])]
+    ids = np.add.reduceat(np.where(first, mix(d.astype(np.uint64)), np.uint64(0)), begin) ^ mix(np.add.reduceat(first, begin).astype(np.uint64))
     _, take = np.unique(ids, return_index=True)
-    keep = np.isin(g, g[ends][take])
-    row_id = np.repeat(ids, np.diff(np.r_[ends, len(g)]))
-    n_sets = int(keep.sum())
-    # factors: runs of consecutive places within a document
-    order = np.lexsort((place[shared], owner[shared]))
-    o, p = owner[shared][order], place[shared][order]
-    new = np.r_[True, (o[1:] != o[:-1]) | (p[1:] > p[:-1] + 1)]
-    head = np.flatnonzero(new)
-    tail = np.r_[head[1:], len(p)] - 1
-    zero = np.zeros(n_sets, np.int64)
+    wanted = np.zeros(len(begin), bool)
+    wanted[take] = True
+    keep = np.repeat(wanted, size) & first
+    refer = np.repeat(begin, size)
+    keep_at = np.flatnonzero(keep)
+    ok = block.equal(row[keep_at], at[keep_at], row[refer[keep_at]], at[refer[keep_at]])
+    set_id, set_doc = np.repeat(ids, size)[keep_at], d[keep_at]
+    ref_doc, ref_start = block.doc[row[refer[keep_at]]], (block.place - block.lead)[row[refer[keep_at]]] + at[refer[keep_at]]
+    if not ok.all():
+        # equal hashes of different windows: such members are sets of their own texts, told apart by the text itself
+        bad = keep_at[~ok]
+        chars = block.characters(row[bad], at[bad], block.length)
+        own = {}
+        renamed = np.array([own.setdefault((int(i), c.tobytes()), len(own)) for i, c in zip(set_id[~ok], chars)], np.uint64)
+        set_id = set_id.copy()
+        set_id[~ok] = mix(set_id[~ok] + renamed + np.uint64(1))
+
+    # greedy factors: every row's cursor stands at its first shared window
+    has = np.zeros((len(block.doc), int(block.windows.max()) + 1), bool)
+    has[row, at] = True
+    reach = np.where(has, np.arange(has.shape[1])[None, :], has.shape[1])
+    ahead = np.minimum.accumulate(reach[:, ::-1], axis=1)[:, ::-1]  # the next shared window from each place on
+    none = has.shape[1]
+    cursor = ahead[:, 0].copy()
+    parts = []
+    while (open_ := np.flatnonzero(cursor < none)).size:
+        # all rows of the groups and offsets that cursors stand at
+        where = np.unique(np.stack([block.group[open_], block.lead[open_] - cursor[open_]], axis=1), axis=0)
+        lo, hi = np.searchsorted(block.group, where[:, 0]), np.searchsorted(block.group, where[:, 0], side="right")
+        n = hi - lo
+        r = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        o = np.repeat(where[:, 1], n)
+        in_row = (block.lead[r] >= o) & (block.lead[r] - o < block.windows[r])
+        r, o = r[in_row], o[in_row]
+        ask = (cursor[r] < none) & (cursor[r] == block.lead[r] - o)
+        for b, e in _portions(block.group[r], o):
+            length, to = block.longest(r[b:e], o[b:e], ask[b:e])
+            asking = np.flatnonzero(ask[b:e]) + b
+            found, t, x = length[asking - b], to[asking - b], r[asking]
+            good = found >= block.length
+            y = t[good]
+            begin_at = (block.place - block.lead)[x[good]] + cursor[x[good]]
+            parts.append(np.stack([block.doc[x[good]], begin_at, begin_at + found[good], block.doc[y], (block.place - block.lead)[y] + block.lead[y] - o[asking][good]], axis=1))
+            # on from the first window that isn't wholly inside the factor; a literal moves one place
+            step = np.where(good, np.maximum(1, found - block.length + 1), 1)
+            later = np.minimum(cursor[x] + step, none - 1)
+            cursor[x] = np.where(cursor[x] + step < none, ahead[x, later], none)
+    spans = np.concatenate(parts) if parts else np.zeros((0, 5), np.int64)
+    zero = np.zeros(len(set_id), np.int64)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(["set"] * n_sets + ["span"] * len(head)),
-            pa.array(np.r_[row_id[keep].view(np.int64), np.zeros(len(head), np.int64)]),
-            pa.array(np.r_[once_docs[keep], o[head]]),
-            pa.array(np.r_[zero, p[head]]),
-            pa.array(np.r_[zero, p[tail] + length]),
+            pa.array(["set"] * len(set_id) + ["span"] * len(spans)),
+            pa.array(np.r_[set_id.view(np.int64), np.zeros(len(spans), np.int64)]),
+            pa.array(np.r_[set_doc, spans[:, 0]]),
+            pa.array(np.r_[zero, spans[:, 1]]),
+            pa.array(np.r_[zero, spans[:, 2]]),
+            pa.array(np.r_[ref_doc, spans[:, 3]]),
+            pa.array(np.r_[ref_start, spans[:, 4]]),
         ],
-        schema=kinds,
+        schema=_KINDS,
     )
 
 
+#: Rows sorted at once by what follows; whole groups and offsets only, so a larger one is sorted by itself.
+SORTED_ROWS = 20_000
+
+
+def _portions(group: np.ndarray, offset: np.ndarray):
+    """(from, to) of stretches of whole (group, offset) runs of about SORTED_ROWS rows."""
+    if not len(group):
+        return
+    cuts = np.r_[0, np.flatnonzero((group[1:] != group[:-1]) | (offset[1:] != offset[:-1])) + 1, len(group)]
+    b = 0
+    for c in cuts[1:]:
+        if c - b >= SORTED_ROWS or c == len(group):
+            yield int(b), int(c)
+            b = c
+
+
 #: Occurrences parsed at once; whole anchors only, so a larger anchor makes a larger batch.
 PARSE_ROWS = 5_000
 
@@ -224,7 +374,7 @@ def _factors(length: int):
         rows = 0
 
         def finish(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if parts and (found := parse(*window_hashes(roll, parts, length), length)) is not None:
+            if parts and (found := parse(Block(parts, length), roll)) is not None:
                 yield found
 
         for batch in batches:
@@ -257,15 +407,13 @@ def _windows(length: int):
         roll = Rolling()
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
-                key, owner, place = window_hashes(roll, [batch.slice(i, 2000)], length)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner), pa.array(place)], names=["id", "doc", "place"])
+                block = Block([batch.slice(i, 2000)], length)
+                key, row, at = block.hashed(roll)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(block.doc[row]), pa.array((block.place - block.lead)[row] + at)], names=["id", "doc", "place"])
 
     return run
 
 
-FACTOR = "kind string, id bigint, doc bigint, start bigint, stop bigint"
-
-
 def _classes(docs: DataFrame) -> DataFrame:
     """(fp, rep, n): groups of equal texts by their digest; combines before the shuffle."""
     return docs.groupBy(F.md5("text").alias("fp")).agg(F.min("doc").alias("rep"), F.countDistinct("doc").alias("n"))
@@ -281,15 +429,19 @@ def factors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_rows: i
     # the texts move once, by doc; both uses below read the same exchange
     texts = docs.join(reps, "doc", "left_semi")
     anchors = texts.mapInArrow(_anchors(length, gram), "doc bigint, h bigint, place bigint")
-    by_hash = Window.partitionBy("h")
-    wanted = anchors.withColumns({"least": F.min("doc").over(by_hash), "most": F.max("doc").over(by_hash), "n": F.count("*").over(by_hash)})
-    wanted = wanted.where("least < most").groupBy("doc").agg(F.collect_list(F.struct("h", "place", "n")).alias("wanted"))
+    # the count combines before its shuffle: an anchor in a third of all texts is one row a task
+    shared = anchors.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).where("least < most").select("h", "n")
+    wanted = anchors.join(shared, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "place", "n")).alias("wanted"))
     context = texts.join(wanted, "doc").mapInArrow(_contexts(length, gram), "h bigint, n bigint, doc bigint, place bigint, lead int, context string")
     cool = clustered(context.where(F.col("n") <= hot_rows).drop("n"), "h").mapInArrow(_factors(length), FACTOR)
+    # a hot anchor is no group of any task: each of its windows refers to the least place that has it
     hot = context.where(F.col("n") > hot_rows).drop("n", "h").mapInArrow(_windows(length), "id bigint, doc bigint, place bigint")
-    both = hot.groupBy("id").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("id")
-    hot = hot.join(both, "id").select(F.explode(F.array(F.struct(F.lit("set").alias("kind"), "id", "doc", F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("stop")), F.struct(F.lit("span").alias("kind"), F.lit(0).cast("bigint").alias("id"), "doc", F.col("place").alias("start"), (F.col("place") + length).alias("stop")))).alias("x")).select("x.*")
-    return cool.unionByName(hot).distinct()
+    both = hot.groupBy("id").agg(F.min(F.struct("doc", "place")).alias("least"), F.max(F.struct("doc", "place")).alias("most")).where("least.doc < most.doc")
+    hot = hot.join(both, "id").withColumn("ref", F.when(F.col("least.doc") < F.col("doc"), F.col("least")).otherwise(F.col("most")))
+    long = lambda c: F.col(c).cast("bigint") if isinstance(c, str) else F.lit(c).cast("bigint")
+    row = lambda kind, i, a, b: F.struct(F.lit(kind).alias("kind"), i.alias("id"), F.col("doc"), a.alias("start"), b.alias("stop"), F.col("ref.doc").alias("ref_doc"), F.col("ref.place").alias("ref_start"))
+    hot = hot.select(F.explode(F.array(row("set", F.col("id"), long(0), long(0)), row("span", long(0), F.col("place"), F.col("place") + length))).alias("x")).select("x.*")
+    return cool.unionByName(hot)
 
 
 def _documents(df: DataFrame, id_column: str, text_column: str, length: int) -> DataFrame:
@@ -324,7 +476,7 @@ def coverage(df: DataFrame, id_column: str, text_column: str, length: int = LENG
     docs = _documents(df, id_column, text_column, length)
     fp = docs.select("doc", F.md5("text").alias("fp")).distinct()
     copies = _classes(docs).where("n > 1").select("fp").join(fp, "fp").select("doc").distinct().withColumn("whole", F.lit(True))
-    spans = factors(docs, length, gram, hot_rows).where("kind = 'span'").select("doc", "start", "stop")
+    spans = factors(docs, length, gram, hot_rows).where("kind = 'span'").select("doc", "start", "stop").distinct()
     before = Window.partitionBy("doc").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max("stop").over(before), F.lit(0))
     spans = spans.withColumn("reach", reach)

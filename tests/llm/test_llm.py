@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,6 +334,37 @@ def test_shared_spans_are_brute_force(spark, hot_rows):
     assert spans.shared_pairs(t.where("false"), "id", "text").count() == 0
 
 
+def test_factors_are_greedy_and_refer_to_equal_text(spark):
+    texts = dict(_texts(11))
+    t = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    docs = spans._documents(t, "id", "text", 30)
+    rows = [r for r in spans.factors(docs, 30, 12).collect() if r.kind == "span"]
+    assert len(rows) > 50
+    for r in rows:
+        own, other = texts[r.doc][r.start : r.stop], texts[r.ref_doc][r.ref_start : r.ref_start + r.stop - r.start]
+        assert own == other and len(own) >= 30 and r.doc != r.ref_doc
+    sets = [r for r in spans.factors(docs, 30, 12).collect() if r.kind == "set"]
+    assert {texts[r.ref_doc][r.ref_start : r.ref_start + 30] in texts[r.doc] for r in sets} == {True}
+
+
+def test_longest_match_of_a_block():
+    texts = [(1, "abcdefgh12345678zz"), (2, "xxcdefgh12345678zzq"), (2, "xxxdefgh1234567yyyy"), (3, "abcdefgh1234WWWW")]
+    batch = pa.RecordBatch.from_pydict({"h": [7] * 4, "doc": [d for d, _ in texts], "place": [4] * 4, "lead": pa.array([4] * 4, pa.int32()), "context": [t for _, t in texts]})
+    found = spans.parse(spans.Block([batch], 8), spans.Rolling())
+    got = {tuple(r[k] for k in ("doc", "start", "stop", "ref_doc", "ref_start")) for r in found.to_pylist() if r["kind"] == "span"}
+    # text 1 from its first window with text 3; the window from 5 on, at the boundary, holds another anchor
+    assert got == {(1, 0, 12, 3, 0), (3, 0, 12, 1, 0), (2, 2, 18, 1, 2), (2, 3, 15, 1, 3)}
+
+
+def test_one_anchor_in_very_many_places(spark):
+    phrase = "the same words in every text, " * 5
+    t = spark.range(120_000).select("id", F.concat(F.md5(F.col("id").cast("string")), F.lit(phrase[:136]), F.md5((F.col("id") + 7).cast("string"))).alias("text"))
+    t = t.unionAll(t.where("id < 3").select(F.col("id") + 1_000_000, "text"))
+    assert {tuple(r) for r in spans.shared_pairs(t, "id", "text").collect()} == {(i, i + 1_000_000) for i in range(3)}
+    cover = spans.coverage(t, "id", "text")
+    assert cover.agg(F.sum("shared_chars")).first()[0] == 6 * 200
+
+
 def test_queries_run(spark, small):
     from compare import rows, views
     from reelsieve.llm import queries
