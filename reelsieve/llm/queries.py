@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelsieve.llm import bpe, canonical, clusters, mixing, spans, topn
-from reelsieve.session import table
+from reelsieve.session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,7 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     """The shares really reached."""
-    docs, targets = _counted(spark, d).persist(), table(spark, d, "mix_targets")
+    docs, targets = cut(_counted(spark, d)), table(spark, d, "mix_targets")
     return mixing.report(docs, targets, mixing.draw(docs, targets))
 
 

@@ -293,6 +293,21 @@ def test_mix(spark, monkeypatch):
     assert total in (333, 334)
 
 
+def test_tokens_of_the_mix_reach_the_planned_shares(spark):
+    rng = np.random.default_rng(2)
+    # sizes from a few tokens to thousands; the poor source can't reach its share and doesn't shrink the mix
+    size = lambda n: np.exp(rng.uniform(1, 9, n)).astype(int)
+    rows = [(i, s, int(n)) for i, (s, n) in enumerate([(s, n) for s, k in (("a", 900), ("b", 400), ("poor", 2)) for n in size(k)])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    goal = spark.createDataFrame([("a", 0.3, 2), ("b", 0.6, 5), ("poor", 0.1, 3)], "source string, target_share double, max_repeats int")
+    drawn = mixing.draw(docs, goal).cache()
+    r = {x.source: x for x in mixing.report(docs, goal, drawn).collect()}
+    assert r["poor"].at_cap and r["poor"].most_copies == 3 and not r["a"].at_cap
+    for s in "ab":
+        assert abs(r[s].share_reached / r[s].share_planned - 1) < 0.01
+    assert abs(sum(x.tokens_drawn for x in r.values()) / sum(n for *_, n in rows) - 1) < 0.01
+
+
 # ---- 9 spans
 
 
