@@ -170,7 +170,8 @@ class Index:
         A value that is a placeholder or has no letter has none.
         """
         out: list[list[tuple[int, float, int]]] = [[] for _ in values]
-        todo: list[tuple[int, str]] = []
+        other: dict[int, list[str]] = {}
+        plain: list[tuple[int, str]] = []
         for i, value in enumerate(values):
             tried = spellings(value)
             if not tried or all(x in _BLANK for x in tried) or not any(c.isalpha() for c in value):
@@ -178,22 +179,30 @@ class Index:
             if len(own := self.exact.get(tried[0], ())) == 1:
                 out[i] = [(next(iter(own)), 1.0, 0)]
             else:
-                todo += [(i, form) for form in tried]
+                plain.append((i, tried[0]))
+                other[i] = tried[1:]
         found: dict[int, dict[int, tuple[float, int]]] = defaultdict(dict)
-        for (i, form), (names, scores) in zip(todo, self.candidates([f for _, f in todo])):
+        self._checked(plain, found)
+        # other orders of the words, and without surrounding ones, where the plain spelling is more than an edit away
+        self._checked([(i, form) for i, forms in other.items() if not any(d <= 1 for _, d in found[i].values()) for form in forms], found)
+        for i, best in found.items():
+            out[i] = decide([(e, s, d) for e, (s, d) in best.items()])
+        return out
+
+    def _checked(self, tried: list[tuple[int, str]], found: dict[int, dict[int, tuple[float, int]]]) -> None:
+        """Add each value's candidates that pass the exact check: entry -> (cosine, edits)."""
+        for (i, form), (names, scores) in zip(tried, self.candidates([f for _, f in tried])):
             best = found[i]
             for k, s in zip(names.tolist(), scores.tolist()):
                 name, entry = self.forms[k]
-                if entry in best and best[entry][0] >= s:
+                most = allowed(name)
+                if abs(len(name) - len(form)) > most or (entry in best and best[entry][0] >= s):
                     continue
                 if sum(x > s + CLOSE for x, _ in best.values()) >= 2:
                     break  # two entries are too far above it
-                d = edits(form, name, allowed(name))
-                if d <= allowed(name):
+                d = edits(form, name, most)
+                if d <= most:
                     best[entry] = (s, d)
-        for i, best in found.items():
-            out[i] = decide([(e, s, d) for e, (s, d) in best.items()])
-        return out
 
 
 def decide(found: list[tuple[int, float, int]]) -> list[tuple[int, float, int]]:
