@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelsieve.operators.diff import number_in_text
-from reelsieve.operators.nested import ancestor, schema_tables, shred
+from reelsieve.operators.nested import ancestor, child_table, depth_of, parent_of, record_nodes, schema_tables, shred
 from reelsieve.session import table
 
 #: Members of an object that give its time, the first that is there counts.
@@ -49,40 +51,115 @@ def child_rows(nodes: DataFrame) -> DataFrame:
     return rows.where("number IS NOT NULL").drop("number")
 
 
-def ablation_nodes(spark: SparkSession, d: str) -> DataFrame:
+METRIC = {"metric_id": "record_id", "method": "record_method"}
+
+
+def _ablation(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "ablation_metrics").select("metric_id", "method", "extraction_data")
-    return shred(t.withColumn("record_table", F.lit("ablation_metrics")), "extraction_data", ["record_table", "metric_id", "method"], {"metric_id": "record_id", "method": "record_method"})
+    return t.withColumn("record_table", F.lit("ablation_metrics"))
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "video_results").select("result_id", "result_doc").withColumn("record_table", F.lit("video_results"))
+
+
+def ablation_nodes(spark: SparkSession, d: str, keep=None, enter=None) -> DataFrame:
+    return shred(_ablation(spark, d), "extraction_data", ["record_table", "metric_id", "method"], METRIC, keep, enter)
 
 
 def video_nodes(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "video_results").select("result_id", "result_doc")
-    return shred(t.withColumn("record_table", F.lit("video_results")), "result_doc", ["record_table", "result_id"], {"result_id": "record_id"})
+    return shred(_results(spark, d), "result_doc", ["record_table", "result_id"], {"result_id": "record_id"})
+
+
+#: A method's entry in a result document and what lies below it: a member of an object, or an element of a list.
+ENTRY = r'^\$\.methods(?:\.([^.\[\]"]+)|\["((?:[^"\\]|\\.)*)"\]|(\[\]))(.*)$'
+LOGO_OR_PROMO = r"^\.extraction\.(brand\.logo_timestamps|promotion\.promo_present)"
+
+
+def of_a_method(path: str, name: str | None) -> bool:
+    """Nodes of a result document that child rows are made of, or that name a method of a list."""
+    m = re.match(ENTRY, path)
+    return bool(m) and (name == "selection_time_seconds" or m[4] in [f".{k}" for k in NAME_KEYS] or bool(re.match(LOGO_OR_PROMO, m[4])))
+
+
+def in_methods(path: str) -> bool:
+    return path.startswith("$.methods")
+
+
+def of_an_extraction(path: str, name: str | None) -> bool:
+    return bool(re.match(LOGO_OR_PROMO, ".extraction" + path[1:]))
+
+
+def on_the_way(path: str) -> bool:
+    """Objects and lists of a typed extraction that hold such nodes."""
+    return path in ("$", "$.brand", "$.promotion") or path.startswith("$.brand.logo_timestamps")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    a = ablation_nodes(spark, d).select("record_table", "record_id", F.col("record_method").alias("method"), "dewey", "name", "node_kind", "value", F.concat(F.lit(".extraction"), F.substr("schema_path", F.lit(2))).alias("below"), F.lit(-1).alias("base"))
+    """Child rows of both tables. One shuffle: the last aggregation, in which repeated rows count once.
+
+    The typed extractions are labelled in the JVM; of a result document only the wanted nodes leave the
+    walk, one array a record, so a list's entry finds the name among its own record's nodes.
+    """
+    a = ablation_nodes(spark, d, of_an_extraction, on_the_way).select("record_table", "record_id", F.col("record_method").alias("method"), "dewey", "name", "node_kind", "value", F.concat(F.lit(".extraction"), F.substr("schema_path", F.lit(2))).alias("below"), F.lit(-1).alias("base"))
     # methods as an object: the member's name is the method; as a list: the entry's name or method
-    member = r"^\$\.methods(?:\.([^.\[\]]+)|\[\"((?:[^\"\\]|\\.)*)\"\]|(\[\]))(.*)$"
-    part = lambda i: F.regexp_extract("schema_path", member, i)
+    r = record_nodes(_results(spark, d), "result_doc", ["record_table", "result_id"], {"result_id": "record_id"}, of_a_method, in_methods)
+    order = lambda n: F.array_position(F.array(*map(F.lit, NAME_KEYS)), n)
+    naming = F.filter("nodes", lambda n: n["schema_path"].isin(*[f"$.methods[].{k}" for k in NAME_KEYS]) & (n["node_kind"] == "text"))
+    names = F.transform(naming, lambda n: F.struct(ancestor(n["dewey"], 2).alias("entry"), order(n["name"]).alias("o"), n["value"].alias("v")))
+    nodes = r.withColumn("names", F.array_sort(names)).select("record_table", "record_id", "names", F.inline("nodes"))
+    part = lambda i: F.regexp_extract("schema_path", ENTRY, i)
     keyed = F.when(part(1) != "", part(1)).when(part(3) == "", part(2))
-    nodes = video_nodes(spark, d).where(F.col("schema_path").startswith("$.methods") & (F.size("dewey") >= 2))
-    nodes = nodes.select("record_table", "record_id", "dewey", "name", "node_kind", "value", keyed.alias("keyed"), part(4).alias("below"))
-    naming = F.col("below").isin(*[f".{k}" for k in NAME_KEYS]) & (F.col("node_kind") == "text")
-    wanted = F.col("below").rlike(r"^\.extraction\.(brand\.logo_timestamps|promotion\.promo_present)|\.selection_time_seconds$")
-    entry = Window.partitionBy("record_table", "record_id", ancestor(F.col("dewey"), 2))
-    order = F.array_position(F.array(*map(F.lit, NAME_KEYS)), F.col("name"))
-    named = F.min(F.when(naming, F.struct(order.alias("o"), F.col("value").alias("v")))).over(entry)["v"]
-    v = nodes.where(naming | wanted).withColumn("method", F.coalesce("keyed", named)).where(wanted & F.col("method").isNotNull())
-    v = v.select("record_table", "record_id", "method", "dewey", "name", "node_kind", "value", "below", F.lit(2).alias("base"))
-    rows = child_rows(a.unionByName(v))
+    own = ancestor(F.col("dewey"), 2)
+    named = F.get(F.filter("names", lambda n: n["entry"] == own), F.lit(0))["v"]
+    wanted = F.col("below").rlike(LOGO_OR_PROMO) | F.col("below").endswith(".selection_time_seconds")
+    v = nodes.select("record_table", "record_id", F.coalesce(keyed, named).alias("method"), "dewey", "name", "node_kind", "value", part(4).alias("below"), F.lit(2).alias("base"))
+    rows = child_rows(a.unionByName(v.where(wanted & F.col("method").isNotNull())))
     return rows.select("record_table", F.col("record_id").cast("bigint").alias("record_id"), "method", "child_kind", "pos")
 
 
+P2_STEPS_SQL = """
+SELECT DISTINCT metric_id, concat('10.1.', i - 1) AS dewey, '10.1' AS parent_dewey, (i - 1)::INT AS pos, s[i].step_no::VARCHAR AS step_no, s[i].caption AS caption, round(s[i].at_s, 6) AS at_s
+FROM (SELECT metric_id, extraction_data.demo_details.demo_steps AS s FROM ablation_metrics), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)
+"""
+
+
+def p2_demo_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The steps of the demonstrations as a flat table: label, parent's label, place, and the step's members."""
+    path = "$.demo_details.demo_steps[]"
+    inside = lambda p: path.startswith(p)
+    t = _ablation(spark, d).dropDuplicates(["metric_id"])
+    nodes = shred(t, "extraction_data", ["metric_id"], keep=lambda p, _: p == path or p.startswith(path + "."), enter=inside)
+    steps = child_table(nodes, ["metric_id"], path, {"step_no": "step_no", "caption": "caption", "at_s": "at_s"})
+    label = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ".").alias(c)
+    return steps.select("metric_id", label("dewey"), label("parent_dewey"), F.col("pos").cast("int").alias("pos"), "step_no", "caption", F.round(F.col("at_s").cast("double"), 6).alias("at_s"))
+
+
+def p2_method_table(spark: SparkSession, d: str) -> DataFrame:
+    """The methods of the result documents as a flat table, with the label of the record they belong to.
+
+    ``final_frames`` and the times are read as they are written, in whatever type.
+    """
+    members = ("final_frames", "selection_time_seconds", "extraction_time_seconds")
+
+    def keep(path: str, name: str | None) -> bool:
+        m = re.match(ENTRY, path)
+        return bool(m) and (m[4] == "" or m[4] in [f".{k}" for k in members])
+
+    nodes = shred(_results(spark, d).distinct(), "result_doc", ["result_id"], keep=keep, enter=lambda p: p == "$" or (in_methods(p) and depth_of(p) <= 2))
+    of = nodes.withColumn("entry", ancestor(F.col("dewey"), 2))
+    text = lambda m: F.max(F.when((F.col("name") == m) & (F.size("dewey") == 3), F.col("value"))).alias(m)
+    own = F.size("dewey") == 2
+    rows = of.groupBy("result_id", "entry").agg(F.max(F.when(own, F.col("name"))).alias("method"), F.max(F.when(own, F.col("node_kind"))).alias("node_kind"), *[text(m) for m in members])
+    label = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ".")
+    return rows.select("result_id", label(F.col("entry")).alias("dewey"), label(parent_of(F.col("entry"))).alias("parent_dewey"), "method", "node_kind", *members)
+
+
 def p2_schema_tables(spark: SparkSession, d: str) -> DataFrame:
     """The flat tables that all nodes of both record tables fall into."""
     both = ablation_nodes(spark, d).drop("record_method").unionByName(video_nodes(spark, d))
     return schema_tables(both).select("schema_path", "parent_path", "n_nodes", "n_null", F.array_join("node_kinds", ",").alias("node_kinds"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_schema_tables": p2_schema_tables}
-SQL: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p2_schema_tables": p2_schema_tables, "p2_demo_steps": p2_demo_steps, "p2_method_table": p2_method_table}
+SQL = {"p2_demo_steps": P2_STEPS_SQL}

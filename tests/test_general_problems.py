@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reelsieve.operators.components import connected_components
 from reelsieve.operators.diff import found_rows, table_diff
 from reelsieve.operators.drift import flood, name_similarity, schema_changes, unify
-from reelsieve.operators.nested import child_table, label_nodes, schema_tables, shred
+from reelsieve.operators.nested import child_table, depth_of, label_nodes, schema_tables, shred
 from reelsieve.plans.nested_queries import p2_found
 
 
@@ -34,6 +34,24 @@ def test_shred_struct(spark):
     assert {r.schema_path for r in shred(t, "s", ["id"]).collect()} == {"$", "$.a", "$.a[]", "$.a[].b"}
 
 
+def test_typed_labels_are_those_of_the_json(spark):
+    t = spark.sql("""SELECT 1 id, named_struct('a', array(named_struct('b', CAST(NULL AS int), 'c.d', true), NULL), 'e', CAST(NULL AS struct<f: string>), 'g', array(array(1.5D, NULL), NULL), 'h', 'x') s
+        UNION ALL SELECT 2, NULL UNION ALL SELECT 3, named_struct('a', NULL, 'e', named_struct('f', ''), 'g', array(), 'h', NULL)""")
+    cols = ["id", "dewey", "parent_dewey", "schema_path", "name", "node_kind", "value"]
+    typed = shred(t, "s", ["id"]).select(cols)
+    text = shred(t.withColumn("s", F.to_json("s", {"ignoreNullFields": "false"})), "s", ["id"]).select(cols)
+    rows = lambda x: sorted((repr(tuple(r)) for r in x.collect()))
+    assert rows(typed) == rows(text) and typed.count() == 19
+    assert "MapInArrow" not in typed._jdf.queryExecution().toString()
+    keep, enter = (lambda p, _: p.endswith(".f") or p == "$.g[][]"), (lambda p: p == "$" or p.startswith(("$.e", "$.g")))
+    some = shred(t, "s", ["id"], keep=keep, enter=enter).select(cols)
+    assert rows(some) == rows(text.where("schema_path in ('$.e.f', '$.g[][]')"))
+
+
+def test_depth_counts_steps_not_dots():
+    assert [depth_of(p) for p in ("$", "$.a", "$.a[].b", '$["c.d"]', '$["x[].y"].z[]')] == [0, 1, 3, 1, 3]
+
+
 def test_child_rows_of_both_forms(spark, tmp_path):
     docs = [
         (1, {"methods": {"nms": {"selection_time_seconds": "1.5", "extraction": {"brand": {"logo_timestamps": [1, "2", {"start": 3, "end": 4}, {}, -1, None, "n/a", {"confidence": 1, "t": "5"}]}, "promotion": {"promo_present": "YES"}}}, "kmeans": None}}),
