@@ -12,14 +12,15 @@ def _least(edges: DataFrame, by: str, other: str, name: str) -> DataFrame:
     return edges.groupBy(by).agg(F.least(F.col(by), F.min(other)).alias(name))
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataFrame:
     """(node, component): every node that has an edge, with the least node it is connected to.
 
     Nodes may be numbers or texts. Null ends and loops link nothing; repeated edges count once; an
     empty table gives no row. Each round links every node to the least node near it, so the number of
     rounds grows with the logarithm of the longest chain; the edges of a hot node are joined to its
     least neighbour (which combines before the shuffle), never collected. Rounds are cut by reliable
-    checkpoints. The driver sees one checksum a round.
+    checkpoints. The driver sees one checksum a round. Should ``max_rounds`` not be enough, which no chain
+    that fits a table needs, it raises: an unfinished result is never returned.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
     e = e.where(F.col("u") != F.col("v"))
@@ -40,4 +41,6 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

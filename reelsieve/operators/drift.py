@@ -14,7 +14,6 @@ import json
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +21,7 @@ from pyspark.sql import types as T
 
 from reelsieve.operators.components import connected_components
 from reelsieve.operators.nested import arrow_schema, kind_of
+from reelsieve.session import spread, written
 
 CELL = T.StructType(
     [
@@ -38,6 +38,9 @@ CELL = T.StructType(
 def canonical(value) -> str:
     """Equal values have equal texts: whole and other numbers are one type, members are sorted."""
 
+    if isinstance(value, (str, bool)):
+        return json.dumps(value, ensure_ascii=True)
+
     def plain(v):
         if isinstance(v, float) and v.is_integer() and abs(v) < 2**63:
             return int(v)
@@ -70,8 +73,9 @@ def cells(df: DataFrame, json_column: str, carry: Sequence[str], record_keys: Se
                     continue
                 if not isinstance(record, dict):
                     continue
-                whole = hashlib.md5(canonical(record).encode()).hexdigest()
                 key = next((canonical([k, [record[x] for x in k]]) for k in wanted if all(record.get(x) is not None for x in k)), None)
+                # a record without a key is known by its contents
+                whole = hashlib.md5(canonical(record).encode()).hexdigest() if key is None else None
                 for name, v in record.items():
                     members = sorted(v) if isinstance(v, dict) else None
                     at.append(r)
@@ -145,12 +149,74 @@ def choose(scores: dict[tuple[str, str], float], allowed: set[tuple[str, str]])
     return out
 
 
-def _sequence(fields: DataFrame, run: str, file: str, at: str) -> DataFrame:
-    files = fields.select(run, file, at).distinct()
-    return files.withColumn("seq", F.row_number().over(Window.partitionBy(run).orderBy(F.asc_nulls_first(at), file)))
+def file_order(df: DataFrame, run: str, file: str, at: str) -> DataFrame:
+    """(run_key, file_name, seq): the place of each file in its run, from 1; one row a file."""
+    files = df.groupBy(F.col(run).alias("run_key"), F.col(file).alias("file_name")).agg(F.min(at).alias("file_at"))
+    order = Window.partitionBy("run_key").orderBy(F.asc_nulls_first("file_at"), "file_name")
+    return files.withColumn("seq", F.row_number().over(order)).drop("file_at")
 
 
-def schema_changes(df: DataFrame, json_column: str, run: str, file: str, at: str, record_keys: Sequence[Sequence[str]]) -> DataFrame:
+class Parsed:
+    """The records' cells, parsed once and written to the shared folder, and the order of the files.
+
+    Everything else reads these two tables, pruned to the columns it needs.
+    """
+
+    def __init__(self, df: DataFrame, json_column: str, run: str, file: str, at: str, record_keys: Sequence[Sequence[str]]):
+        base = df.select(F.col(run).alias("run_key"), F.col(file).alias("file_name"), F.col(at).alias("file_at"), F.col(json_column).alias("json"))
+        # files without any readable record still take their place in the run
+        self.order = written(file_order(base, "run_key", "file_name", "file_at"), "files")
+        self.cells = written(cells(base, "json", ["run_key", "file_name"], record_keys), "cells")
+
+
+CHANGE = "run_key string, file_name string, change_kind string, field_name string, new_name string"
+MOVED = "run_key string, seq int, file_name string, field_name string, gone boolean, kinds array<string>, members array<string>, other string, n_both bigint, n_same bigint"
+
+
+def _moves(rows: list[tuple]) -> list[tuple]:
+    """The changes of one file: its gone and new fields, and the evidence for pairs of them."""
+    sides: tuple[dict, dict] = ({}, {})
+    counts: dict[tuple[str, str], tuple[int, int]] = {}
+    run_key = file_name = None
+    for run, _, file, field, gone, kinds, members, other, n_both, n_same in rows:
+        if other is None:
+            run_key, file_name = run, file
+            sides[0 if gone else 1][field] = {"kinds": set(kinds or ()), "members": set(members or ())}
+        else:
+            counts[field, other] = (n_both, n_same)
+    allowed = {k for k, (n, same) in counts.items() if n == same and n > 0}
+    picked = []
+    if allowed:
+        seed = {(a, b): 0.5 * name_similarity(a, b) + (0.5 * counts[a, b][1] / counts[a, b][0] if (a, b) in counts else 0.0) for a in sides[0] for b in sides[1]}
+        picked = choose(flood(*sides, seed), allowed)
+    old, new = {a for a, _ in picked}, {b for _, b in picked}
+    out = [(run_key, file_name, "renamed", a, b) for a, b in picked]
+    out += [(run_key, file_name, "removed", f, "") for f in sides[0] if f not in old]
+    return out + [(run_key, file_name, "added", f, "") for f in sides[1] if f not in new]
+
+
+def _match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Changes of each (run, file); its rows follow each other."""
+    held: list[tuple] = []
+    names = [x.split()[0] for x in CHANGE.split(", ")]
+
+    def send(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.string()) for k in range(len(names))], names=names)
+
+    for batch in batches:
+        found: list[tuple] = []
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if held and held[-1][:2] != row[:2]:
+                found += _moves(held)
+                held = []
+            held.append(row)
+        if found:
+            yield send(found)
+    if held:
+        yield send(_moves(held))
+
+
+def changes_of(parsed: Parsed) -> DataFrame:
     """run, file, change_kind, field_name, new_name: each file against the one before it in its run.
 
     A field is in a file if any readable record holds it, even with null. ``renamed``: gone, and a new
@@ -158,54 +224,45 @@ def schema_changes(df: DataFrame, json_column: str, run: str, file: str, at: str
     such record exists; where several would fit, similarity flooding chooses. ``removed``, ``added``:
     gone or new otherwise. ``retyped``: the kinds of its non-null values are others than in the latest
     earlier file of the run with non-null values of it. Repeated and late lines change nothing; files
-    without a readable record hold no field; an empty table gives no row.
+    without a readable record hold no field; an empty table gives no row. Only the first aggregation and
+    the evidence read all cells; what is between is one row a file and field.
     """
-    base = df.select(F.col(run).alias("run_key"), F.col(file).alias("file_name"), F.col(at).alias("file_at"), F.col(json_column).alias("json"))
-    # files without any readable record still take their place in the run
-    order = _sequence(base, "run_key", "file_name", "file_at").select("run_key", "file_name", "seq")
-    cell = cells(base, "json", ["run_key", "file_name"], record_keys)
     real = F.col("value_kind") != "null"
+    order, cell = parsed.order, parsed.cells
     fields = cell.groupBy("run_key", "file_name", "field_name").agg(
         F.array_sort(F.collect_set(F.when(real, F.col("value_kind")))).alias("kinds"), F.array_distinct(F.flatten(F.collect_set("members"))).alias("members")
-    ).join(order, ["run_key", "file_name"])
-    typed = fields.where(F.size("kinds") > 0).withColumn("before", F.lag("kinds").over(Window.partitionBy("run_key", "field_name").orderBy("seq")))
+    )
+    fields = written(fields.join(order, ["run_key", "file_name"]), "fields")
+    by_field = Window.partitionBy("run_key", "field_name").orderBy("seq")
+    typed = fields.where(F.size("kinds") > 0).withColumn("before", F.lag("kinds").over(by_field))
     retyped = typed.where("before IS NOT NULL AND before <> kinds").select("run_key", "file_name", F.lit("retyped").alias("change_kind"), "field_name", F.lit("").alias("new_name"))
-    now = fields.select("run_key", "seq", "field_name", "kinds", "members", F.lit(True).alias("now"))
-    before = fields.select("run_key", (F.col("seq") + 1).alias("seq"), "field_name", F.col("kinds").alias("old_kinds"), F.col("members").alias("old_members"), F.lit(True).alias("before"))
-    moved = now.join(before, ["run_key", "seq", "field_name"], "full_outer").join(order, ["run_key", "seq"])
-    moved = moved.where("seq > 1 AND (now IS NULL OR before IS NULL)")
-    moved = moved.select("run_key", "seq", "file_name", "field_name", F.col("now").isNull().alias("gone"), F.coalesce("kinds", "old_kinds").alias("kinds"), F.coalesce("members", "old_members").alias("members"))
-
-    # values of gone and new fields in the records that both files hold: a join of those cells only
-    placed = cell.where("record_key IS NOT NULL AND value_kind <> 'null'").join(order, ["run_key", "file_name"]).select("run_key", "seq", "record_key", "field_name", "value")
-    gone = placed.withColumn("seq", F.col("seq") + 1).join(moved.where("gone").select("run_key", "seq", "field_name"), ["run_key", "seq", "field_name"])
-    new = placed.join(moved.where("NOT gone").select("run_key", "seq", "field_name"), ["run_key", "seq", "field_name"])
+    # a field is new where the file before doesn't hold it, and gone in the file after the last that does
+    near = fields.withColumns({"past": F.lag("seq").over(by_field), "next": F.lead("seq").over(by_field)})
+    came = near.where("seq > 1 AND (past IS NULL OR past < seq - 1)").select("run_key", "seq", "field_name", F.lit(False).alias("gone"), "kinds", "members")
+    went = near.where("next IS NULL OR next > seq + 1").select("run_key", (F.col("seq") + 1).alias("seq"), "field_name", F.lit(True).alias("gone"), "kinds", "members")
+    moved = written(came.unionByName(went).join(order, ["run_key", "seq"]).select("run_key", "seq", "file_name", "field_name", "gone", "kinds", "members"), "moved")
+
+    # values of gone and new fields in the records that both files hold: a gone one's are in the file before
+    sought = moved.select("run_key", "seq", "field_name", "gone", F.when(F.col("gone"), F.col("seq") - 1).otherwise(F.col("seq")).alias("in_file"))
+    sought = sought.join(order.select("run_key", F.col("seq").alias("in_file"), "file_name"), ["run_key", "in_file"]).drop("in_file")
+    kept = cell.where(F.col("record_key").isNotNull() & real).select("run_key", "file_name", "record_key", "field_name", "value")
     # a record repeated within a file counts once: with its smallest and largest value of the field
-    once = lambda t, n: t.groupBy("run_key", "seq", "record_key", "field_name").agg(F.min("value").alias(f"{n}_low"), F.max("value").alias(f"{n}_high")).withColumnRenamed("field_name", n)
-    pairs = once(gone, "old_name").join(once(new, "new_name"), ["run_key", "seq", "record_key"])
-    same = (F.col("old_name_low") == F.col("new_name_low")) & (F.col("old_name_high") == F.col("new_name_high"))
-    evidence = pairs.groupBy("run_key", "seq", "old_name", "new_name").agg(F.count("*").alias("n_both"), F.count_if(same).alias("n_same"))
-
-    left = moved.select("run_key", "seq", "file_name", "field_name", "gone", "kinds", "members", F.lit(None).cast("string").alias("other"), F.lit(0).cast("bigint").alias("n_both"), F.lit(0).cast("bigint").alias("n_same"))
-    right = evidence.select("run_key", "seq", F.lit(None).cast("string").alias("file_name"), F.col("old_name").alias("field_name"), F.lit(None).cast("boolean").alias("gone"), F.lit(None).cast("array<string>").alias("kinds"), F.lit(None).cast("array<string>").alias("members"), F.col("new_name").alias("other"), "n_both", "n_same")
-    out_schema = "run_key string, file_name string, change_kind string, field_name string, new_name string"
-
-    def match(p: pd.DataFrame) -> pd.DataFrame:
-        ev, own = p[p["other"].notna()], p[p["other"].isna()]
-        sides: tuple[dict, dict] = ({}, {})
-        for f, g, k, m in zip(own["field_name"], own["gone"], own["kinds"], own["members"]):
-            sides[0 if g else 1][f] = {"kinds": set(k), "members": set() if m is None else set(m)}
-        counts = {(a, b): (n, s) for a, b, n, s in zip(ev["field_name"], ev["other"], ev["n_both"], ev["n_same"])}
-        seed = {(a, b): 0.5 * name_similarity(a, b) + (0.5 * counts[a, b][1] / counts[a, b][0] if (a, b) in counts else 0.0) for a in sides[0] for b in sides[1]}
-        picked = choose(flood(*sides, seed), {k for k, (n, s) in counts.items() if n == s and n > 0})
-        run_key, file_name = own["run_key"].iloc[0], own["file_name"].iloc[0]
-        rows = [(run_key, file_name, "renamed", a, b) for a, b in picked]
-        rows += [(run_key, file_name, "removed", f, "") for f in sides[0] if f not in {a for a, _ in picked}]
-        rows += [(run_key, file_name, "added", f, "") for f in sides[1] if f not in {b for _, b in picked}]
-        return pd.DataFrame(rows, columns=["run_key", "file_name", "change_kind", "field_name", "new_name"])
+    once = kept.join(sought, ["run_key", "file_name", "field_name"]).groupBy("run_key", "seq", "record_key", "gone", "field_name").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    sides = once.groupBy("run_key", "seq", "record_key").agg(*[F.collect_list(F.when(F.col("gone") == g, F.struct("field_name", "low", "high"))).alias(n) for g, n in ((True, "olds"), (False, "news"))])
+    # one record's gone fields beside its new ones: both are bounded by the width of a record
+    pairs = sides.where("size(olds) > 0 AND size(news) > 0").select("run_key", "seq", F.explode("olds").alias("o"), "news").select("run_key", "seq", "o", F.explode("news").alias("n"))
+    same = (F.col("o.low") == F.col("n.low")) & (F.col("o.high") == F.col("n.high"))
+    evidence = pairs.groupBy("run_key", "seq", F.col("o.field_name").alias("old_name"), F.col("n.field_name").alias("new_name")).agg(F.count("*").alias("n_both"), F.count_if(same).alias("n_same"))
+
+    none = lambda kind: F.lit(None).cast(kind)
+    left = moved.select("*", none("string").alias("other"), F.lit(0).cast("bigint").alias("n_both"), F.lit(0).cast("bigint").alias("n_same"))
+    right = evidence.select("run_key", "seq", none("string").alias("file_name"), F.col("old_name").alias("field_name"), none("boolean").alias("gone"), none("array<string>").alias("kinds"), none("array<string>").alias("members"), F.col("new_name").alias("other"), "n_both", "n_same")
+    return spread(left.unionByName(right), "run_key", "seq").mapInArrow(_match, CHANGE).unionByName(retyped)
+
 
-    changes = left.unionByName(right).groupBy("run_key", "seq").applyInPandas(match, out_schema)
-    return changes.unionByName(retyped)
+def schema_changes(df: DataFrame, json_column: str, run: str, file: str, at: str, record_keys: Sequence[Sequence[str]]) -> DataFrame:
+    """The changes of ``changes_of``, of records that are parsed for it."""
+    return changes_of(Parsed(df, json_column, run, file, at, record_keys))
 
 
 def kind_to_sql(kinds: Column) -> Column:
@@ -226,23 +283,24 @@ def field_classes(changes: DataFrame, names: DataFrame) -> DataFrame:
     return joined.join(best, "component").select("field_name", "canonical")
 
 
-def unify(df: DataFrame, json_column: str, carry: Sequence[str], record_keys: Sequence[Sequence[str]], changes: DataFrame) -> DataFrame:
-    """All records as one table: carry, record_key, and a column for each class of renamed fields.
+def unified(parsed: Parsed, changes: DataFrame) -> DataFrame:
+    """All records as one table: run_key, file_name, record_key, and a column for each class of renamed fields.
 
     A column's type holds every value of its class: double or boolean where all are, else text (then
     values of other kinds are their JSON). Of several fields of a class in one record the first
-    non-null by name counts. The driver sees the distinct field names with their kinds, no values.
+    non-null by name counts. The driver sees the distinct field names with their kinds, as they are the
+    columns of the result, and no values.
     """
-    cell = cells(df, json_column, carry, record_keys)
+    cell, carry = parsed.cells, ["run_key", "file_name"]
     used = cell.groupBy("field_name").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("value_kind") != "null", F.col("value_kind")))).alias("kinds"))
+    used = written(used, "names")
     classes = field_classes(changes, used.select("field_name", "n"))
     schema = classes.join(used, "field_name").groupBy("canonical").agg(
         F.array_sort(F.collect_set("field_name")).alias("fields"), kind_to_sql(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("sql")
     ).orderBy("canonical").collect()
     # the values of one record as a map, then one column per class
     # a record without a key is known by its contents; of a key's repeated values the least counts
-    who = [*carry, "record_key", F.when(F.col("record_key").isNull(), F.col("record_hash")).alias("unkeyed")]
-    once = cell.where("value_kind <> 'null'").groupBy(*who, "field_name").agg(F.min("value").alias("value"))
+    once = cell.where("value_kind <> 'null'").groupBy(*carry, "record_key", F.col("record_hash").alias("unkeyed"), "field_name").agg(F.min("value").alias("value"))
     record = once.groupBy(*carry, "record_key", "unkeyed").agg(F.map_from_entries(F.collect_list(F.struct("field_name", "value"))).alias("m"))
     out = []
     for r in schema:
@@ -250,3 +308,9 @@ def unify(df: DataFrame, json_column: str, carry: Sequence[str], record_keys: Se
         plain = F.when(raw.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v")).otherwise(raw)
         out.append(plain.try_cast(r["sql"]).alias(r["canonical"]))
     return record.select(*carry, "record_key", *out)
+
+
+def unify(df: DataFrame, json_column: str, run: str, file: str, at: str, record_keys: Sequence[Sequence[str]]) -> DataFrame:
+    """The table of ``unified``, of records that are parsed once for it and its changes."""
+    parsed = Parsed(df, json_column, run, file, at, record_keys)
+    return unified(parsed, written(changes_of(parsed), "changes"))

@@ -16,8 +16,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _unified(spark: SparkSession, d: str, dataset: str) -> DataFrame:
     records = table(spark, d, "result_records").where(f"dataset = '{dataset}'").select("run_key", "file_name", "written_at", "raw_id", "raw_json")
-    changes = schema_changes(records, "raw_json", "run_key", "file_name", "written_at", RECORD_KEYS)
-    return unify(records, "raw_json", ["run_key", "file_name"], RECORD_KEYS, changes)
+    return unify(records, "raw_json", "run_key", "file_name", "written_at", RECORD_KEYS)
 
 
 def p3_benchmark_table(spark: SparkSession, d: str) -> DataFrame:

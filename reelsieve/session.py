@@ -53,6 +53,20 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table written once in the shared folder: it cuts the lineage, and later reads are pruned."""
+    path = shared_table(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """As ``clustered``, over all of the session's shuffle partitions however few bytes there are: for work
+    that costs much more than its rows weigh, which adaptive execution would otherwise put in one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.xxhash64(F.lit(17), *keys)).sortWithinPartitions(*keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

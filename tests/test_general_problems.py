@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from reelsieve.operators.components import connected_components
@@ -86,9 +87,9 @@ def test_drift_changes(spark):
     got = {tuple(r)[1:] for r in schema_changes(t, "js", "run", "file", "at", (("video", "method"),)).collect()}
     assert got == {("f2", "renamed", "err", "error"), ("f2", "removed", "gone", ""), ("f2", "added", "fresh", ""), ("f2", "retyped", "n", ""), ("f3", "removed", "n", ""), ("f3", "retyped", "error", "")}
     assert schema_changes(t.where("false"), "js", "run", "file", "at", (("video", "method"),)).count() == 0
-    wide = unify(t, "js", ["run", "file"], (("video", "method"),), schema_changes(t, "js", "run", "file", "at", (("video", "method"),)))
+    wide = unify(t, "js", "run", "file", "at", (("video", "method"),))
     assert "error" in wide.columns and "err" not in wide.columns
-    assert sorted(r.error for r in wide.where("file = 'f1'").collect()) == ["x", "y"]
+    assert sorted(r.error for r in wide.where("file_name = 'f1'").collect()) == ["x", "y"]
 
 
 def test_flooding_prefers_like_structure():
@@ -112,3 +113,5 @@ def test_components(spark):
     got = dict(tuple(r) for r in connected_components(spark.createDataFrame(chain, "a bigint, b bigint"), "a", "b").collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 0}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame(chain, "a bigint, b bigint"), "a", "b", max_rounds=1)
