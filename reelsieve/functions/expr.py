@@ -159,9 +159,12 @@ def static_budget(duration: Column, density: float = 0.25, most: int = 25) -> Co
 
 
 def dynamic_budget(scenes: Column, duration: Column, density: float, mean_step: Column, mean_importance: Column, dimension: Column) -> Column:
-    """Budget from intrinsic dimension, motion and importance, never under a base of scenes + 1 or 5."""
+    """Budget from intrinsic dimension, motion and importance, never under a base of scenes + 1 or 5.
+
+    Without two frames (a null step) the motion counts as 1.
+    """
     base = F.greatest(F.lit(5), scenes + 1)
-    motion = F.greatest(F.lit(0.2), 2.5 * mean_step)
+    motion = F.when(mean_step.isNull(), 1.0).otherwise(F.greatest(F.lit(0.2), 2.5 * mean_step))
     raw = base + duration * density * motion * mean_importance
     return F.least((base + 1.5 * dimension).cast("int"), F.greatest(base, raw.cast("int"))).cast("int")
 

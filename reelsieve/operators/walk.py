@@ -63,28 +63,38 @@ class UnlikeKept:
 
 class Suppress:
     """Non-maximum suppression of rows in descending score: none within ``gap`` in time of a kept one,
-    none more similar to a kept one than the threshold, which may grow with the distance in time."""
+    none more similar to a kept one than the threshold, which may grow with the distance in time.
+
+    Rows with ``forced`` come first and always stay; the others stay until there are ``limit``.
+    """
 
     def __init__(self, gap: float, threshold: float, scale: float = 0.0, tau: float = 5.0):
         self.gap, self.threshold, self.scale, self.tau = gap, threshold, scale, tau
-        self.times: list[float] = []
-        self.kept: list[np.ndarray] = []
+        self.times, self.kept, self.n = np.zeros(16), np.zeros((16, 0)), 0
+
+    def _add(self, t: float, u: np.ndarray) -> None:
+        if self.kept.shape[1] != len(u):
+            self.kept = np.zeros((len(self.times), len(u)))
+        if self.n == len(self.times):
+            self.times, self.kept = np.concatenate([self.times, np.zeros_like(self.times)]), np.concatenate([self.kept, np.zeros_like(self.kept)])
+        self.times[self.n], self.kept[self.n] = t, u
+        self.n += 1
 
     def take(self, batch: pa.RecordBatch) -> np.ndarray:
         u, t = vectors(batch.column("v")), batch.column("t").to_numpy(zero_copy_only=False)
-        limit = batch.column("n").to_numpy(zero_copy_only=False)
+        limit = batch.column("limit").to_numpy(zero_copy_only=False)
+        forced = batch.column("forced").to_numpy(zero_copy_only=False) if "forced" in batch.schema.names else np.zeros(len(t), bool)
         keep = np.zeros(len(t), bool)
         for i in range(len(t)):
-            if len(self.times) >= limit[i]:
-                break
-            if self.times:
-                dt = np.abs(np.array(self.times) - t[i])
+            if not forced[i]:
+                if self.n >= limit[i]:
+                    break
+                dt = np.abs(self.times[: self.n] - t[i])
                 need = self.threshold * (1 + self.scale * (1 - np.exp(-dt / self.tau)))
-                if (dt < self.gap).any() or (np.array(self.kept) @ u[i] > need).any():
+                if (dt < self.gap).any() or (self.n and (self.kept[: self.n] @ u[i] > need).any()):
                     continue
             keep[i] = True
-            self.times.append(float(t[i]))
-            self.kept.append(u[i])
+            self._add(float(t[i]), u[i])
         return keep
 
 

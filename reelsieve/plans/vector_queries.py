@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from reelsieve.functions import expr as X
 from reelsieve.operators import folds
-from reelsieve.operators.group_models import farthest_points, intrinsic_dimension, kmeans_picks, select_hybrid
-from reelsieve.operators.walk import Suppress, UnlikeKept, walk
+from reelsieve.operators.group_models import farthest_points, intrinsic_dimension, kmeans_picks
+from reelsieve.operators.walk import UnlikeKept, walk
 from reelsieve.plans.base import Registry
 from reelsieve.session import table
 
@@ -156,22 +156,11 @@ def e17_w9_intrinsic_dimension(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def e13_e21_kmeans_picks(spark: SparkSession, d: str) -> DataFrame:
-    """The row nearest to each centre of k-means within a label."""
-    return kmeans_picks(_e(spark, d), "label", "vec_id", "v", 5)
-
-
-
-@query()
-def e14_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    """Suppression's picks, with the best rows of clusters they miss exchanged in; clusters by nearest of five far points."""
-    e = _e(spark, d).withColumn("score", 1 + F.abs(F.col("v")[0].cast("double")))
-    picks = walk(e, ["label"], [-F.col("score"), F.col("vec_id")], lambda: Suppress(0.0, 0.25), ["vec_id"], v=F.col("v"), t=F.col("vec_id").cast("double"), n=F.lit(8).cast("bigint"))
-    centres = farthest_points(e, "label", "vec_id", "v", 5).join(e.select("label", "vec_id", F.col("v").alias("c")), ["label", "vec_id"])
-    centres = centres.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank", "c"))).alias("cs"))  # five a label
-    near = F.transform("cs", lambda c: F.struct((-F.round(X.cosine(F.col("v"), c["c"]), 9)).alias("far"), c["rank"].alias("rank")))
-    labelled = e.join(centres, "label").select("label", "vec_id", "score", F.array_min(near)["rank"].alias("cluster"))
-    return select_hybrid(picks, labelled, "label", "vec_id", "score")
+def e21_kmeans_picks(spark: SparkSession, d: str) -> DataFrame:
+    """The row nearest to each centre of k-means within a label: one cluster for three rows, five to twenty."""
+    e = _e(spark, d)
+    n = e.groupBy("label").agg(F.greatest(F.lit(5), F.least(F.lit(20), F.floor(F.count("*") / 3))).alias("k"))
+    return kmeans_picks(e.join(n, "label"), "label", "vec_id", "v", F.col("k"))
 
 
 QUERIES, SQL = query.queries, query.sql
