@@ -57,7 +57,7 @@ def band_factors(points: DataFrame, audio: DataFrame, row: str, key: str, at: st
     said = F.coalesce(end, start, F.lit(0.0))
     spot = lambda t, f: F.struct(t.alias("t"), F.lit(f).alias("f"))
     spots = F.when(kind == "peak", F.array(spot(start, 1.3))).when(kind == "silence", F.array(spot(end, 1.4))).when(kind == "speech", F.array(spot(start, 1.2), spot(end, 1.15))).when(kind == "phrase", F.array(spot(said, phrase_boost)))
-    a = audio.select(F.col(key), "kind", "ord", F.inline(spots)).where("t IS NOT NULL")
+    a = audio.select(F.col(key), "kind", F.col("ord").alias("ord"), F.inline(spots)).where("t IS NOT NULL")
     low = F.when(F.col("kind") == "silence", F.col("t")).otherwise(F.col("t") - within)
     a = a.withColumn("__b", F.explode(F.sequence(F.floor(low / width), F.floor((F.col("t") + within) / width))))
     p = points.select(row, key, F.col(at).alias("__at")).where(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("__b", F.floor(F.col("__at") / width))

@@ -6,12 +6,14 @@ decides which stay. A hot group costs time in its task, not memory.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def stretches(batch: pa.RecordBatch, keys: int) -> list[tuple[tuple, int, int]]:
@@ -98,23 +100,193 @@ class Suppress:
         return keep
 
 
-def walk(df: DataFrame, keys: Sequence[str], order: Sequence[Column], state: Callable[[], object], keep: Sequence[str], **inputs: Column) -> DataFrame:
-    """The rows that ``state().take`` keeps in each group, in order; ``inputs`` are the columns it reads."""
+class Changed:
+    """A row stays if it differs from the last kept one by more than the threshold; the first does.
+
+    At least ``apart`` rows lie between kept ones, at most ``most`` are kept. A row marked ``blank`` has
+    nothing to compare: it stays, and so does the next that isn't.
+    """
+
+    def __init__(self, threshold: float, apart: int = 1, most: int = 2**62):
+        self.threshold, self.apart, self.most = threshold, apart, most
+        self.last, self.at, self.seen, self.kept = None, 0, 0, 0
+
+    def take(self, batch: pa.RecordBatch) -> np.ndarray:
+        x = batch.column("x").to_pylist()
+        blank = batch.column("blank").to_pylist() if "blank" in batch.schema.names else [False] * len(x)
+        keep = np.zeros(len(x), bool)
+        for i, (v, b) in enumerate(zip(x, blank)):
+            self.seen += 1
+            if b or self.last is None or (abs(v - self.last) > self.threshold and self.seen - self.at >= self.apart and self.kept < self.most):
+                keep[i] = True
+                self.last, self.at, self.kept = None if b else v, self.seen, self.kept + 1
+        return keep
+
+
+class Gate:
+    """The first row, then rows at least ``gap`` after the last kept one whose change to the row before passes the threshold."""
+
+    def __init__(self, gap: float, threshold: float):
+        self.gap, self.threshold, self.last, self.before = gap, threshold, None, None
+
+    def take(self, batch: pa.RecordBatch) -> np.ndarray:
+        keep = np.zeros(batch.num_rows, bool)
+        for i, (t, v) in enumerate(zip(batch.column("t").to_pylist(), batch.column("x").to_pylist())):
+            if self.last is None or (t - self.last >= self.gap and abs(v - self.before) > self.threshold):
+                keep[i], self.last = True, t
+            self.before = v
+        return keep
+
+
+class Apart:
+    """A row stays if no kept one is nearer than ``gap`` on the line, up to ``most`` rows; kept places are held sorted."""
+
+    def __init__(self, gap: float, most: int = 2**62):
+        self.gap, self.most, self.kept = gap, most, []
+
+    def take(self, batch: pa.RecordBatch) -> np.ndarray:
+        keep = np.zeros(batch.num_rows, bool)
+        for i, x in enumerate(batch.column("x").to_pylist()):
+            if len(self.kept) >= self.most:
+                break
+            at = bisect.bisect_left(self.kept, x)
+            if (at == 0 or x - self.kept[at - 1] >= self.gap) and (at == len(self.kept) or self.kept[at] - x >= self.gap):
+                self.kept.insert(at, x)
+                keep[i] = True
+        return keep
+
+
+class Kept:
+    """Greedy deduplication: a row stays unless it is like a kept one. ``like`` sees all kept rows at once."""
+
+    def __init__(self):
+        self.rows, self.n = np.zeros((0, 0)), 0
+
+    def read(self, batch: pa.RecordBatch) -> np.ndarray:
+        return vectors(batch.column("v"))
+
+    def like(self, kept: np.ndarray, row: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def take(self, batch: pa.RecordBatch) -> np.ndarray:
+        rows = self.read(batch)
+        keep = np.zeros(len(rows), bool)
+        for i, row in enumerate(rows):
+            if self.n and self.like(self.rows[: self.n], row).any():
+                continue
+            if self.n == len(self.rows):
+                grown = np.zeros((max(16, 2 * self.n), rows.shape[1]), rows.dtype)
+                grown[: self.n] = self.rows[: self.n] if self.n else 0
+                self.rows = grown
+            self.rows[self.n] = row
+            self.n += 1
+            keep[i] = True
+        return keep
+
+
+class VotesKept(Kept):
+    """Like: enough signatures are less than ``within`` bits apart."""
+
+    def __init__(self, within: int = 8, min_votes: int = 2, columns: Sequence[str] = ("dh", "vh", "sh")):
+        super().__init__()
+        self.within, self.votes, self.columns = within, max(1, min(min_votes, len(columns))), columns
+
+    def read(self, batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in self.columns], axis=1).astype(np.int64).view(np.uint64)
+
+    def like(self, kept: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return (np.bitwise_count(kept ^ row) < self.within).sum(axis=1) >= self.votes
+
+
+class NearKept(Kept):
+    """Like: a distance between unit vectors below the threshold; the mean absolute difference stands in for a learned one."""
+
+    def __init__(self, threshold: float, distance: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
+        super().__init__()
+        self.threshold, self.distance = threshold, distance or (lambda kept, row: np.abs(kept - row).mean(axis=1))
+
+    def like(self, kept: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return self.distance(kept, row) < self.threshold
+
+
+class AlikeKept(Kept):
+    """Like: a structural similarity of square grids above the threshold."""
+
+    def __init__(self, threshold: float, side: int, top: float):
+        super().__init__()
+        self.threshold, self.side, self.top = threshold, side, top
+
+    def read(self, batch: pa.RecordBatch) -> np.ndarray:
+        x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return x.reshape(batch.num_rows, -1)
+
+    def like(self, kept: np.ndarray, row: np.ndarray) -> np.ndarray:
+        from reelsieve.functions.kernels import structural_similarity
+
+        grid = lambda x: x.reshape(self.side, self.side)
+        return np.array([structural_similarity(grid(k), grid(row), top=self.top) for k in kept]) > self.threshold
+
+
+class BoxesKept(Kept):
+    """Like: more than a share of the box's own area lies in a kept one. Columns x, y, w, h."""
+
+    def __init__(self, share: float):
+        super().__init__()
+        self.share = share
+
+    def read(self, batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "xywh"], axis=1).astype(np.float64)
+
+    def like(self, kept: np.ndarray, row: np.ndarray) -> np.ndarray:
+        low, high = np.maximum(kept[:, :2], row[:2]), np.minimum(kept[:, :2] + kept[:, 2:], row[:2] + row[2:])
+        return np.maximum(0, high - low).prod(axis=1) / max(row[2] * row[3], 1e-300) > self.share
+
+
+class Chain:
+    """Stages one after another, each over what the one before kept: how many of them a row passed."""
+
+    def __init__(self, stages: Sequence[object]):
+        self.stages = stages
+
+    def take(self, batch: pa.RecordBatch) -> np.ndarray:
+        passed = np.zeros(batch.num_rows, np.int64)
+        left = np.arange(batch.num_rows)
+        for stage in self.stages:
+            if not len(left):
+                break
+            left = left[stage.take(batch.take(pa.array(left)))]
+            passed[left] += 1
+        return passed
+
+
+def walk(df: DataFrame, keys: Sequence[str], order: Sequence[Column], state: Callable[[], object], keep: Sequence[str], mark: str | None = None, **inputs: Column) -> DataFrame:
+    """The rows that ``state().take`` keeps in each group, in order; ``inputs`` are the columns it reads.
+
+    With ``mark`` all rows come out, with what ``take`` gave for them in that column.
+    """
     plain = df.select(*keys, *keep, *[c.alias(n) for n, c in inputs.items()], *[c.alias(f"__o{i}") for i, c in enumerate(order)])
     at = [f"__o{i}" for i in range(len(order))]
     rows = plain.repartition(F.xxhash64(F.lit(17), *keys)).sortWithinPartitions(*keys, *at).drop(*at)
     width = len(keys)
     out = plain.select(*keys, *keep).schema
+    names = [f.name for f in out]
+    if mark:
+        out = T.StructType(out.fields + [T.StructField(mark, T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, current = None, None
         for batch in batches:
+            found = []
             for key, a, b in stretches(batch, width):
                 if current is None or key != now:
                     now, current = key, state()
-                part = batch.slice(a, b - a)
-                chosen = part.filter(pa.array(current.take(part)))
-                if chosen.num_rows:
-                    yield chosen.select([f.name for f in out])
+                found.append(current.take(batch.slice(a, b - a)))
+            if not found:
+                continue
+            took = pa.array(np.concatenate(found))
+            if mark:
+                yield pa.RecordBatch.from_arrays([*batch.select(names).columns, took], names=[*names, mark])
+            elif (chosen := batch.select(names).filter(took)).num_rows:
+                yield chosen
 
     return rows.mapInArrow(run, out)

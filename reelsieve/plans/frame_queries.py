@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelsieve.functions import expr as X
-from reelsieve.operators import folds, islands
+from reelsieve.operators import islands
+from reelsieve.operators.joins import band_factors
+from reelsieve.operators.walk import Apart, BoxesKept, Chain, Changed, Gate, walk
 from reelsieve.plans.base import FRAMES_SQL, Registry, frames
 from reelsieve.session import table
 
@@ -18,6 +20,14 @@ def V():  # noqa: N802
 def ALL():  # noqa: N802
     return Window.partitionBy("video")
 
+
+
+def _walk(f: DataFrame, state, order=None, **inputs) -> DataFrame:
+    """(video, frame) that the state keeps, in order of time or of ``order``."""
+    order = order or [F.col("t"), F.col("frame")]
+    return walk(f, ["video"], order, state, ["frame"], **inputs).select("video", "frame")
+
+
 EV = f"WITH {FRAMES_SQL}"
 REC = f"WITH RECURSIVE {FRAMES_SQL}"
 
@@ -48,10 +58,7 @@ def w2_b7_adaptive_threshold(spark: SparkSession, d: str) -> DataFrame:
     SELECT video, frame FROM r WHERE kept""")
 def b8_candidate_frames(spark: SparkSession, d: str) -> DataFrame:
     """The first frame, then frames far enough from the last kept one whose change passes the threshold."""
-    f = frames(spark, d).withColumn("p", F.lag("value").over(V()))
-    g = folds.ordered(f, ["video"], [F.col("t")], ["frame", "t", "value", "p"])
-    kept = folds.keep_changed(F.col("xs"), lambda last, x: (x["t"] - last["t"] >= 6) & (F.abs(x["value"] - x["p"]) > 20))
-    return folds.unpack(g, ["video"], kept, ["frame"])
+    return _walk(frames(spark, d), lambda: Gate(6.0, 20.0), t=F.col("t"), x=F.col("value"))
 
 
 @query("SELECT DISTINCT video_id, scene_id, start_s, end_s FROM scenes WHERE end_s - start_s >= 0.5")
@@ -133,8 +140,7 @@ def w7_energy_peaks(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d)
     m = f.select("video", "frame", "value", F.row_number().over(V()).alias("n"), F.max("value").over(V().rowsBetween(-3, 2)).alias("mx"), F.avg("value").over(V().rowsBetween(-3, 4)).alias("av"))
     m = m.join(f.groupBy("video").agg(F.percentile("value", F.lit(0.9)).alias("p90")), "video").where("value = mx AND value >= av + 0.1 * p90")
-    g = folds.ordered(m, ["video"], [F.col("n")], ["n", "frame"])
-    return folds.unpack(g, ["video"], folds.keep_changed(F.col("xs"), lambda last, x: x["n"] > last["n"] + 10), ["frame"])
+    return _walk(m, lambda: Changed(10), [F.col("n")], x=F.col("n"))
 
 
 @query(f"{EV} SELECT video, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.85), 6) AS p85 FROM f GROUP BY video")
@@ -217,14 +223,9 @@ def t5_scene_points(spark: SparkSession, d: str) -> DataFrame:
     SELECT video, frame FROM r WHERE kept OR rn = n""")
 def t6_histogram_sampler(spark: SparkSession, d: str) -> DataFrame:
     """Frames that differ from the last kept one, so far apart and up to so many, and the last frame."""
-    f = frames(spark, d).withColumns({"i": F.row_number().over(V()), "n": F.count("*").over(ALL())})
-    g = folds.ordered(f, ["video"], [F.col("i")], ["i", "frame", "value", "n"])
-    kept = F.aggregate(
-        F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0))), F.slice("xs", 1, 1),
-        lambda k, x: F.when((F.size(k) < 20) & (F.abs(x["value"] - F.element_at(k, -1)["value"]) > 40) & (x["i"] - F.element_at(k, -1)["i"] >= 3), F.concat(k, F.array(x))).otherwise(k),
-    )
-    both = F.array_distinct(F.concat(kept, F.array(F.element_at("xs", -1))))
-    return folds.unpack(g, ["video"], both, ["frame"])
+    f = frames(spark, d)
+    last = f.groupBy("video").agg(F.max_by("frame", F.struct("t", "frame")).alias("frame"))
+    return _walk(f, lambda: Changed(40.0, apart=3, most=20), x=F.col("value")).union(last).distinct()
 
 
 @query(f"""{EV}, g AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY video ORDER BY t, frame)) AS m FROM f),
@@ -269,17 +270,16 @@ def t11_t12_boxes_by_area(spark: SparkSession, d: str) -> DataFrame:
     SELECT video, frame FROM r WHERE kept""")
 def e1_keep_unlike(spark: SparkSession, d: str) -> DataFrame:
     """Greedy deduplication in time order: dropped if like any kept frame."""
-    g = folds.ordered(frames(spark, d), ["video"], [F.col("t")], ["frame", "value"])
-    return folds.unpack(g, ["video"], folds.keep_unlike(F.col("xs"), lambda y, x: F.abs(y["value"] - x["value"]) < 12), ["frame"])
+    return _walk(frames(spark, d), lambda: Apart(12.0), x=F.col("value"))
 
 
-@query(f"""{REC}, o AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY t, frame) AS rn FROM f),
-    r AS (SELECT video, frame, rn, value AS last, true AS kept FROM o WHERE rn = 1 UNION ALL SELECT o.video, o.frame, o.rn, CASE WHEN abs(o.value - r.last) > 40 THEN o.value ELSE r.last END, abs(o.value - r.last) > 40 FROM r JOIN o ON o.video = r.video AND o.rn = r.rn + 1)
+@query(f"""{REC}, o AS (SELECT *, kind = 'error' AS blank, row_number() OVER (PARTITION BY video ORDER BY t, frame) AS rn FROM f),
+    r AS (SELECT video, frame, rn, CASE WHEN blank THEN NULL ELSE value END AS last, true AS kept FROM o WHERE rn = 1 UNION ALL
+    SELECT o.video, o.frame, o.rn, CASE WHEN o.blank THEN NULL WHEN z THEN o.value ELSE r.last END, z FROM r JOIN o ON o.video = r.video AND o.rn = r.rn + 1, LATERAL (SELECT o.blank OR r.last IS NULL OR abs(o.value - r.last) > 40 AS z))
     SELECT video, frame FROM r WHERE kept""")
 def e6_keep_changed(spark: SparkSession, d: str) -> DataFrame:
-    """Kept if different from the last kept frame."""
-    g = folds.ordered(frames(spark, d), ["video"], [F.col("t")], ["frame", "value"])
-    return folds.unpack(g, ["video"], folds.keep_changed(F.col("xs"), lambda y, x: F.abs(y["value"] - x["value"]) > 40), ["frame"])
+    """Kept if different from the last kept frame; one without features (here: an error) is kept and starts anew."""
+    return _walk(frames(spark, d), lambda: Changed(40.0), x=F.col("value"), blank=F.col("kind") == "error")
 
 
 @query(f"""{REC}, o AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY value DESC, t, frame) AS rn FROM f),
@@ -288,8 +288,7 @@ def e6_keep_changed(spark: SparkSession, d: str) -> DataFrame:
     SELECT video, frame FROM r WHERE kept""")
 def e12_time_suppression(spark: SparkSession, d: str) -> DataFrame:
     """Non-maximum suppression in time: best first, none within the gap of a selected one, six at most."""
-    g = folds.ordered(frames(spark, d), ["video"], [-F.col("value"), F.col("t")], ["frame", "t"])
-    return folds.unpack(g, ["video"], folds.keep_best(F.col("xs"), 6, lambda y, x: F.abs(y["t"] - x["t"]) < 48), ["frame"])
+    return _walk(frames(spark, d), lambda: Apart(48.0, 6), [-F.col("value"), F.col("t"), F.col("frame")], x=F.col("t"))
 
 
 @query("""WITH RECURSIVE b AS (SELECT p_brand, p_partkey, p_partkey % 200 AS x, p_partkey // 10 % 100 AS y, p_size AS w, p_partkey % 37 + 4 AS h FROM part),
@@ -302,10 +301,7 @@ def e23_box_suppression(spark: SparkSession, d: str) -> DataFrame:
     """Boxes by area, dropped where too much of them lies in a kept one."""
     k = F.col("p_partkey")
     b = table(spark, d, "part").select("p_brand", "p_partkey", (k % 200).alias("x"), (F.floor(k / 10) % 100).alias("y"), F.col("p_size").cast("bigint").alias("w"), (k % 37 + 4).alias("h"))
-    g = folds.ordered(b, ["p_brand"], [-F.col("w") * F.col("h"), k], ["p_partkey", "x", "y", "w", "h"])
-    side = lambda a, c, p, s: F.greatest(F.lit(0), F.least(a[p] + a[s], c[p] + c[s]) - F.greatest(a[p], c[p]))
-    over = lambda y, x: side(y, x, "x", "w") * side(y, x, "y", "h") / (x["w"] * x["h"]) > 0.3
-    return folds.unpack(g, ["p_brand"], folds.keep_unlike(F.col("xs"), over), ["p_partkey"])
+    return walk(b, ["p_brand"], [-F.col("w") * F.col("h"), k], lambda: BoxesKept(0.3), ["p_partkey"], x=F.col("x"), y=F.col("y"), w=F.col("w"), h=F.col("h"))
 
 
 _AUDIO = """p AS (SELECT video, t FROM f WHERE kind = 'purchase'), z AS (SELECT video, t AS s, t + 2 AS e FROM f WHERE kind = 'error'),
@@ -320,14 +316,16 @@ _AUDIO = """p AS (SELECT video, t FROM f WHERE kind = 'purchase'), z AS (SELECT
       * coalesce((SELECT arg_min(CASE WHEN abs(g.t - h.s) < 3 THEN 1.2 ELSE 1.15 END::DOUBLE, h.s) FROM h WHERE h.video = g.video AND (abs(g.t - h.s) < 3 OR abs(g.t - h.e) < 3)), 1.0)
       * CASE WHEN EXISTS (FROM q WHERE q.video = g.video AND abs(g.t - q.t) < 3) THEN 1.5 ELSE 1.0 END::DOUBLE, 6) AS importance FROM g WHERE kind IN ('view', 'click')""")
 def e8_importance(spark: SparkSession, d: str) -> DataFrame:
-    """Importance as the product of position, scene and sound factors (C3-C6 as checks on one row's arrays)."""
+    """Importance as the product of position, scene and sound factors (C3-C6 as one join on time buckets)."""
     f = frames(spark, d)
-    of = lambda kind, x: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, x)))
-    seg = lambda n: F.struct(F.col("t").alias("start"), (F.col("t") + n).alias("end"))
-    sound = f.groupBy("video").agg(of("purchase", F.col("t")).alias("peaks"), of("error", seg(2)).alias("silences"), of("signup", seg(5)).alias("speech"), of("signup", F.col("t") + 1).alias("phrases"), F.max("t").alias("dur"))
-    g = f.where("kind IN ('view', 'click')").join(sound, "video")
-    day = F.floor(F.col("t") / 24) * 24
-    score = X.position_score(F.col("t"), F.col("dur")) * X.scene_score(F.col("t"), day, day + 24) * X.audio_score(F.col("t"), F.col("peaks"), F.col("silences"), F.col("speech"), F.col("phrases"), within=3.0)
+    null = F.lit(None).cast("double")
+    t = F.col("t")
+    sound = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), t.alias("ord"))
+    kinds = F.when(F.col("kind") == "purchase", F.array(sound("peak", t, null))).when(F.col("kind") == "error", F.array(sound("silence", t, t + 2))).when(F.col("kind") == "signup", F.array(sound("speech", t, t + 5), sound("phrase", null, t + 1)))
+    near = band_factors(f, f.select("video", F.inline(kinds)), "frame", "video", "t", 3.0)
+    g = f.where("kind IN ('view', 'click')").join(f.groupBy("video").agg(F.max("t").alias("dur")), "video").join(near, "frame", "left")
+    day = F.floor(t / 24) * 24
+    score = X.position_score(t, F.col("dur")) * X.scene_score(t, day, day + 24) * F.coalesce("sound", F.lit(1.0))
     return g.select("video", "frame", F.round(score, 6).alias("importance"))
 
 
@@ -381,13 +379,19 @@ def b3_histogram_change(spark: SparkSession, d: str) -> DataFrame:
     r2 AS (SELECT video, frame, t, value, rn, value AS last, true AS kept FROM o2 WHERE rn = 1 UNION ALL SELECT o2.video, o2.frame, o2.t, o2.value, o2.rn, CASE WHEN abs(o2.value - r2.last) > 20 THEN o2.value ELSE r2.last END, abs(o2.value - r2.last) > 20 FROM r2 JOIN o2 ON o2.video = r2.video AND o2.rn = r2.rn + 1),
     k2 AS (SELECT video, frame, t, value FROM r2 WHERE kept), o3 AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY t, frame) AS rn FROM k2),
     r3 AS (SELECT video, frame, t, value, rn, value AS last, true AS kept FROM o3 WHERE rn = 1 UNION ALL SELECT o3.video, o3.frame, o3.t, o3.value, o3.rn, CASE WHEN abs(o3.value - r3.last) > 30 THEN o3.value ELSE r3.last END, abs(o3.value - r3.last) > 30 FROM r3 JOIN o3 ON o3.video = r3.video AND o3.rn = r3.rn + 1),
-    k3 AS (SELECT video, frame, t, value FROM r3 WHERE kept) SELECT video, frame FROM k3""")
+    k3 AS (SELECT r3.video, r3.frame, r3.t, r3.value, o1.rn AS i FROM r3 JOIN o1 USING (video, frame) WHERE kept),
+    sc AS (SELECT *, greatest(abs(value - lag(value) OVER w), abs(value - lead(value) OVER w), 0) AS score FROM k3 WINDOW w AS (PARTITION BY video ORDER BY i)),
+    o4 AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY score DESC, i DESC) AS rn FROM sc),
+    r4 AS (SELECT video, frame, rn, [i] AS ks, true AS kept FROM o4 WHERE rn = 1 UNION ALL SELECT o4.video, o4.frame, o4.rn, CASE WHEN z THEN list_append(r4.ks, o4.i) ELSE r4.ks END, z
+    FROM r4 JOIN o4 ON o4.video = r4.video AND o4.rn = r4.rn + 1, LATERAL (SELECT len(list_filter(r4.ks, lambda y: abs(y - o4.i) < 5)) = 0 AS z))
+    SELECT video, frame FROM r4 WHERE kept""")
 def e22_change_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Three keep-if-changed stages, each over what the one before kept; one shuffle for all."""
-    g = folds.ordered(frames(spark, d), ["video"], [F.col("t")], ["frame", "value"])
-    for threshold in (10, 20, 30):
-        g = g.withColumn("xs", folds.keep_changed(F.col("xs"), lambda y, x, m=threshold: F.abs(y["value"] - x["value"]) > m))
-    return folds.unpack(g, ["video"], F.col("xs"), ["frame"])
+    """Three keep-if-changed stages in one walk, then the best of what is left by its neighbours, none within five frames of another."""
+    f = frames(spark, d).withColumn("i", F.row_number().over(V()))
+    kept = walk(f, ["video"], [F.col("t"), F.col("frame")], lambda: Chain([Changed(10.0), Changed(20.0), Changed(30.0)]), ["frame", "i", "value"], mark="passed", x=F.col("value")).where("passed = 3")
+    by = Window.partitionBy("video").orderBy("i")
+    score = F.greatest(F.abs(F.col("value") - F.lag("value").over(by)), F.abs(F.col("value") - F.lead("value").over(by)), F.lit(0.0))
+    return _walk(kept.withColumn("score", score), lambda: Apart(5), [-F.col("score"), -F.col("i")], x=F.col("i"))
 
 
 QUERIES, SQL = query.queries, query.sql

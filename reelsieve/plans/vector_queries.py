@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelsieve.functions import expr as X
-from reelsieve.operators import folds
 from reelsieve.operators.group_models import farthest_points, intrinsic_dimension, kmeans_picks
-from reelsieve.operators.walk import UnlikeKept, walk
-from reelsieve.plans.base import Registry
+from reelsieve.operators.walk import AlikeKept, Chain, NearKept, UnlikeKept, VotesKept, walk
+from reelsieve.plans.base import CANDIDATES_SQL, Registry, candidates
 from reelsieve.session import table
 
 query = Registry()
@@ -41,10 +40,15 @@ def b4_edge_change(spark: SparkSession, d: str) -> DataFrame:
     return g.select("label", "vec_id", F.round(X.edge_change(F.col("m"), F.col("p")), 6).alias("change"))
 
 
-@query(f"WITH {E} SELECT label, (i - 1)::INT AS pos, round(avg(v[i]), 6) AS mean FROM e, range(1, 65) q(i) GROUP BY ALL")
-def c9_positions(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of a position of all vectors side by side."""
-    return _e(spark, d).select("label", F.posexplode("v")).groupBy("label", "pos").agg(F.round(F.avg(F.col("col").cast("double")), 6).alias("mean"))
+@query(f"""WITH {CANDIDATES_SQL}, f AS (SELECT candidate_id, video_id, row_number() OVER (PARTITION BY video_id ORDER BY ts, candidate_id) AS i FROM c),
+    v AS (SELECT candidate_id AS vector_of, video_id, row_number() OVER (PARTITION BY video_id ORDER BY ts, candidate_id) AS i, e[1] AS head FROM c WHERE candidate_id % 4 <> 0) SELECT f.candidate_id, vector_of, round(head, 6) AS head FROM f LEFT JOIN v USING (video_id, i)""")
+def c9_attach_by_position(spark: SparkSession, d: str) -> DataFrame:
+    """The i-th vector of a video's list goes to its i-th frame; frames beyond the list (which is shorter here) get none."""
+    k = candidates(spark, d)
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy("ts", "candidate_id"))
+    f = k.select("candidate_id", "video_id", place.alias("i"))
+    v = k.where("candidate_id % 4 <> 0").select(F.col("candidate_id").alias("vector_of"), "video_id", place.alias("i"), F.round(F.col("embedding")[0].cast("double"), 6).alias("head"))
+    return f.join(v, ["video_id", "i"], "left").select("candidate_id", "vector_of", "head")
 
 
 @query(f"""WITH {E} SELECT a.label, round(1 - avg(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))), 5) AS info_density FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""")
@@ -82,14 +86,27 @@ def d21_frame_variance(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("label").agg(F.round(F.avg(X.mean_abs_diff(F.col("v"), F.col("p"))), 6).alias("variance"))
 
 
-_BITS = f"""{E}, h AS (SELECT vec_id, label, v,
+#: The frames of a video in order of time, with their vectors: what the cascade runs over.
+K = f"{CANDIDATES_SQL}, e AS (SELECT candidate_id AS vec_id, video_id AS label, ts, e AS v FROM c)"
+_BITS = f"""{K}, h AS (SELECT vec_id, label, ts, v, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u,
     list_sum(list_transform(range(0, 56), lambda i: CASE WHEN v[i // 7 * 8 + i % 7 + 2] > v[i // 7 * 8 + i % 7 + 1] THEN 1::HUGEINT << i ELSE 0::HUGEINT END))::HUGEINT AS dh,
     list_sum(list_transform(range(0, 56), lambda i: CASE WHEN v[i + 9] > v[i + 1] THEN 1::HUGEINT << i ELSE 0::HUGEINT END))::HUGEINT AS vh,
     list_sum(list_transform(range(0, 64), lambda i: CASE WHEN v[i + 1] > 0 THEN 1::HUGEINT << i ELSE 0::HUGEINT END))::HUGEINT AS sh FROM e)"""
-_VOTE = "((bit_count(xor(k.dh, o.dh)) < 20)::INT + (bit_count(xor(k.vh, o.vh)) < 20)::INT + (bit_count(xor(k.sh, o.sh)) < 20)::INT) >= 2"
-_VOTED = f"""WITH RECURSIVE {_BITS}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM h),
-    r AS (SELECT label, vec_id, rn, [{{'dh': dh, 'vh': vh, 'sh': sh}}] AS ks, true AS kept FROM o WHERE rn = 1 UNION ALL
-    SELECT o.label, o.vec_id, o.rn, CASE WHEN z THEN list_append(r.ks, {{'dh': o.dh, 'vh': o.vh, 'sh': o.sh}}) ELSE r.ks END, z FROM r JOIN o ON o.label = r.label AND o.rn = r.rn + 1, LATERAL (SELECT len(list_filter(r.ks, lambda k: {_VOTE})) = 0 AS z))"""
+_VOTE = "((bit_count(xor(k.dh, o.dh)) < 8)::INT + (bit_count(xor(k.vh, o.vh)) < 8)::INT + (bit_count(xor(k.sh, o.sh)) < 8)::INT) >= 2"
+
+
+def _stage(name: str, of: str, like: str) -> str:
+    """A greedy stage over the rows of ``of``: ``{name}`` holds what it keeps."""
+    o, r = f"{name}_o", f"{name}_r"
+    kept = "{'dh': o.dh, 'vh': o.vh, 'sh': o.sh, 'u': o.u}"
+    return f"""{o} AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ts, vec_id) AS rn FROM {of}),
+    {r} AS (SELECT label, vec_id, rn, [{kept}] AS ks, true AS kept FROM {o} o WHERE rn = 1 UNION ALL
+    SELECT o.label, o.vec_id, o.rn, CASE WHEN z THEN list_append(r.ks, {kept}) ELSE r.ks END, z FROM {r} r JOIN {o} o ON o.label = r.label AND o.rn = r.rn + 1, LATERAL (SELECT len(list_filter(r.ks, lambda k: {like})) = 0 AS z)),
+    {name} AS (SELECT h.* FROM {r} r JOIN h USING (label, vec_id) WHERE r.kept)"""
+
+
+_NEAR = "list_sum(list_transform(range(1, 65), lambda i: abs(k.u[i] - o.u[i]))) / 64 < 0.03"
+_COSINE = "list_dot_product(k.u, o.u) > 0.9"
 
 
 def _signatures(e: DataFrame) -> DataFrame:
@@ -97,42 +114,46 @@ def _signatures(e: DataFrame) -> DataFrame:
     at = lambda i: F.get("v", i)
     side = F.transform(F.sequence(F.lit(0), F.lit(55)), lambda i: at(F.floor(i / 7) * 8 + i % 7 + 1) > at(F.floor(i / 7) * 8 + i % 7))
     down = F.transform(F.sequence(F.lit(0), F.lit(55)), lambda i: at(i + 8) > at(i))
-    return e.select("vec_id", "label", "v", X.pack_bits(side).alias("dh"), X.pack_bits(down).alias("vh"), X.pack_bits(F.transform("v", lambda x: x > 0)).alias("sh"))
+    return e.select("*", X.pack_bits(side).alias("dh"), X.pack_bits(down).alias("vh"), X.pack_bits(F.transform("v", lambda x: x > 0)).alias("sh"))
 
 
-def hash_deduplicated(e: DataFrame, within: int = 20) -> DataFrame:
-    g = folds.ordered(_signatures(e), ["label"], [F.col("vec_id")], ["dh", "vh", "sh", "v"])
-    alike = lambda y, x: X.votes([(y[h], x[h], within) for h in ("dh", "vh", "sh")])
-    return folds.unpack(g, ["label"], folds.keep_unlike(F.col("xs"), alike), ["o0", "v"]).withColumnRenamed("o0", "vec_id")
+def _k(spark: SparkSession, d: str) -> DataFrame:
+    return candidates(spark, d).select(F.col("candidate_id").alias("vec_id"), F.col("video_id").alias("label"), "ts", F.col("embedding").alias("v"))
 
 
-@query(f"{_VOTED} SELECT label, vec_id FROM r WHERE kept")
-def e2_hash_votes(spark: SparkSession, d: str) -> DataFrame:
-    """Dropped if two of three signatures are near those of a kept row."""
-    return hash_deduplicated(_e(spark, d)).select("label", "vec_id")
+_IN_TIME = lambda: [F.col("ts"), F.col("vec_id")]
 
 
-_GREEDY = """r AS (SELECT label, vec_id, rn, [v] AS ks, true AS kept FROM o WHERE rn = 1 UNION ALL SELECT o.label, o.vec_id, o.rn, CASE WHEN z THEN list_append(r.ks, o.v) ELSE r.ks END, z
-    FROM r JOIN o ON o.label = r.label AND o.rn = r.rn + 1, LATERAL (SELECT len(list_filter(r.ks, lambda k: list_cosine_similarity(k, o.v) > 0.3)) = 0 AS z))"""
+@query(f"WITH RECURSIVE {_BITS}, {_stage('k1', 'h', _VOTE)} SELECT label, vec_id FROM k1")
+def e2_hash_votes(spark: SparkSession, d: str) -> DataFrame:
+    """Dropped if two of three signatures are near those of a kept frame of the video."""
+    s = _signatures(_k(spark, d))
+    return walk(s, ["label"], _IN_TIME(), lambda: VotesKept(8, 2), ["vec_id"], dh=F.col("dh"), vh=F.col("vh"), sh=F.col("sh"))
 
 
-@query(f"WITH RECURSIVE {E}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM e), {_GREEDY} SELECT label, vec_id FROM r WHERE kept")
+@query(f"WITH RECURSIVE {_BITS}, {_stage('k1', 'h', _COSINE)} SELECT label, vec_id FROM k1")
 def e4_c10_cosine_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy deduplication by cosine, in order, streamed."""
-    return walk(_e(spark, d), ["label"], [F.col("vec_id")], lambda: UnlikeKept(0.3), ["vec_id"], v=F.col("v"))
+    """Greedy deduplication of a video's frames by cosine, in order, streamed."""
+    return walk(_k(spark, d), ["label"], _IN_TIME(), lambda: UnlikeKept(0.9), ["vec_id"], v=F.col("v"))
 
 
-@query(f"""{_VOTED}, k AS (SELECT h.label, h.vec_id, h.v FROM r JOIN h USING (label, vec_id) WHERE kept), o2 AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM k),
-    r2 AS (SELECT label, vec_id, rn, [v] AS ks, true AS kept FROM o2 WHERE rn = 1 UNION ALL SELECT o2.label, o2.vec_id, o2.rn, CASE WHEN z THEN list_append(r2.ks, o2.v) ELSE r2.ks END, z
-    FROM r2 JOIN o2 ON o2.label = r2.label AND o2.rn = r2.rn + 1, LATERAL (SELECT len(list_filter(r2.ks, lambda y: list_cosine_similarity(y, o2.v) > 0.3)) = 0 AS z))
-    SELECT label, count(*) AS n_in, (SELECT count(*) FROM k WHERE k.label = e.label) AS after_hash, (SELECT count(*) FROM r2 WHERE r2.label = e.label AND kept) AS after_cosine FROM e GROUP BY label""")
+@query()
+def e5_structural_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy deduplication by structural similarity, the vector as a grid of 8 by 8."""
+    return walk(_k(spark, d), ["label"], _IN_TIME(), lambda: AlikeKept(0.92, 8, 1.0), ["vec_id"], v=F.col("v"))
+
+
+@query(f"""WITH RECURSIVE {_BITS}, {_stage('k1', 'h', _VOTE)}, {_stage('k2', 'k1', _NEAR)}, {_stage('k3', 'k2', _COSINE)},
+    n AS (SELECT label, count(*) AS n_in, (SELECT count(*) FROM k1 WHERE k1.label = h.label) AS a, (SELECT count(*) FROM k2 WHERE k2.label = h.label) AS b, (SELECT count(*) FROM k3 WHERE k3.label = h.label) AS c FROM h GROUP BY label)
+    SELECT label, n_in, CASE WHEN n_in > 1 THEN a END AS after_hash, NULL::BIGINT AS after_structure, CASE WHEN a > 1 THEN b END AS after_distance, CASE WHEN b > 1 THEN c END AS after_cosine, c AS n_out FROM n""")
 def e3_d3_cascade_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Rows left after each stage of the cascade, cheap signatures first."""
-    e = _e(spark, d)
-    first = hash_deduplicated(e)
-    second = walk(first, ["label"], [F.col("vec_id")], lambda: UnlikeKept(0.3), ["vec_id"], v=F.col("v"))
-    tagged = e.select("label", F.lit(0).alias("s")).unionAll(first.select("label", F.lit(1))).unionAll(second.select("label", F.lit(2)))
-    return tagged.groupBy("label").agg(*[F.count_if(F.col("s") == i).alias(n) for i, n in enumerate(("n_in", "after_hash", "after_cosine"))])
+    """Frames left after each stage of the cascade, cheap signatures first, all in one walk. A stage that is
+    off (structure, as by default) or has a single frame to look at is skipped and has no count."""
+    stages = lambda: Chain([VotesKept(8, 2), NearKept(0.03), UnlikeKept(0.9)])
+    s = walk(_signatures(_k(spark, d)), ["label"], _IN_TIME(), stages, ["vec_id"], mark="passed", dh=F.col("dh"), vh=F.col("vh"), sh=F.col("sh"), v=F.col("v"))
+    g = s.groupBy("label").agg(F.count("*").alias("n_in"), *[F.count_if(F.col("passed") >= i).alias(f"k{i}") for i in (1, 2, 3)])
+    seen = lambda before, c: F.when(F.col(before) > 1, F.col(c))
+    return g.select("label", "n_in", seen("n_in", "k1").alias("after_hash"), F.lit(None).cast("bigint").alias("after_structure"), seen("k1", "k2").alias("after_distance"), seen("k2", "k3").alias("after_cosine"), F.col("k3").alias("n_out"))
 
 
 @query(f"""{LAGGED}, s AS (SELECT label, avg(list_sum(list_transform(range(1, 65), lambda i: abs(v[i] - p[i]))) / 64) AS variance, max(v[1]) * 6 AS most, count(*) + 1 AS n FROM g WHERE p IS NOT NULL GROUP BY label)
@@ -143,7 +164,9 @@ def e10_adaptive_density(spark: SparkSession, d: str) -> DataFrame:
     return s.select("label", F.round(X.adaptive_density(0.25, F.col("variance"), F.col("most"), F.col("n")), 6).alias("density"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {E}, r AS (SELECT label, 0 AS rank, min(vec_id) AS vec_id, [arg_min(v, vec_id)] AS cs FROM e GROUP BY label UNION ALL
+    SELECT label, rank + 1, arg_min(vec_id, (-near, vec_id)), list_append(any_value(cs), arg_min(v, (-near, vec_id))) FROM (SELECT e.label, e.vec_id, e.v, r.rank, r.cs, list_min(list_transform(r.cs, lambda y: round(1 - list_cosine_similarity(e.v, y), 9))) AS near FROM r JOIN e ON e.label = r.label WHERE r.rank < 9)
+    WHERE near > 0 GROUP BY label, rank) SELECT label, vec_id, rank FROM r""")
 def t8_e20_farthest_points(spark: SparkSession, d: str) -> DataFrame:
     """Ten rows of each label, each the farthest from those before it, from the first on."""
     return farthest_points(_e(spark, d), "label", "vec_id", "v", 10)

@@ -86,7 +86,7 @@ def test_greedy_walk_is_brute_force(spark, seed):
 
 def test_suppression_keeps_gaps(spark):
     t = spark.createDataFrame([(1, i, ts, [1.0, float(i)], s) for i, (ts, s) in enumerate([(0.0, 9.0), (0.2, 8.0), (0.4, 7.0), (1.0, 6.0), (1.3, 5.0), (2.5, 4.0)])], "g int, i int, ts double, v array<double>, s double")
-    rows = walk(t, ["g"], [-F.col("s")], lambda: Suppress(0.5, 2.0), ["i", "ts"], v=F.col("v"), t=F.col("ts"), n=F.lit(3).cast("bigint")).collect()
+    rows = walk(t, ["g"], [-F.col("s")], lambda: Suppress(0.5, 2.0), ["i", "ts"], v=F.col("v"), t=F.col("ts"), limit=F.lit(3).cast("bigint")).collect()
     assert [r.i for r in sorted(rows, key=lambda r: r.i)] == [0, 3, 5]
 
 
