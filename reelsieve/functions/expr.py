@@ -232,13 +232,58 @@ def one_of(value: Column, allowed: Sequence[str], default: str) -> Column:
     return F.coalesce(exact, F.when(x != "", near), F.lit(default))
 
 
-def parse_reply(text: Column) -> Column:
-    """A model's reply as VARIANT: as it is, its fenced block, its outermost braces, then without trailing commas."""
+def _readings(text: Column) -> list[Column]:
+    """A reply as it is, its fenced block, its outermost braces, and these without trailing commas; null where there are none."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     fixed = F.regexp_replace(braces, r",\s*([}\]])", "$1")
-    tries = [text, F.nullif(fenced, F.lit("")), F.nullif(braces, F.lit("")), F.nullif(fixed, F.lit(""))]
-    return F.coalesce(*[F.try_parse_json(t) for t in tries])
+    return [F.nullif(t, F.lit("")) for t in (text, fenced, braces, fixed)]
+
+
+def parse_reply(text: Column) -> Column:
+    """A model's reply as VARIANT, by the first reading that is JSON; null if none is."""
+    return F.coalesce(*[F.try_parse_json(t) for t in _readings(text)])
+
+
+def reply_tier(text: Column) -> Column:
+    """Which reading of a reply is JSON, from 1; 0 if none is."""
+    tiers = [F.when(F.try_parse_json(t).isNotNull(), i) for i, t in enumerate(_readings(text), 1)]
+    return F.coalesce(*tiers, F.lit(0))
+
+
+def compared(own: Column, reference: Column, error: Column, topic: Column, reference_topic: Column) -> list[Column]:
+    """Five fields of a record beside the reference's: whether brands and topics match, what was found; nulls with an error."""
+    ok = lambda c, n: F.when(error.isNull(), c).alias(n)
+    return [
+        ok(names_match(own["brand"]["brand_name_text"], reference["brand"]["brand_name_text"]), "brand_match"),
+        ok(own["promotion"]["promo_present"], "promo_detected"),
+        ok(own["call_to_action"]["cta_present"], "cta_detected"),
+        ok(same_integer(topic.cast("string"), reference_topic.cast("string")), "topic_match"),
+        ok(own["engagement_metrics"]["effectiveness_score"], "effectiveness"),
+        error.alias("error"),
+    ]
+
+
+def key_fields(x: Column, kind: Column) -> dict[str, Column]:
+    """The fields of a record that are set beside each other; missing lists are empty."""
+    none = F.array().cast("array<string>")
+    overlays, persuasion = F.coalesce(x["visual_elements"]["text_overlays"], none), F.coalesce(x["persuasion_techniques"], none)
+    return {
+        "ad_type": kind, "brand_name": x["brand"]["brand_name_text"], "product_name": x["product"]["product_name"], "industry": x["product"]["industry"],
+        "primary_message": x["message"]["primary_message"], "cta_type": x["call_to_action"]["cta_type"], "text_overlays": overlays, "text_overlays_count": F.size(overlays),
+        "persuasion_techniques": persuasion, "promo_present": x["promotion"]["promo_present"], "promo_text": x["promotion"]["promo_text"],
+    }
+
+
+def text_region(width: Column, height: Column, area: float) -> Column:
+    """Whether a box looks like text: wide, neither tiny nor most of the frame."""
+    share = width * height / F.lit(area)
+    return (width / F.greatest(height, F.lit(1)) > 1.5) & (share > 0.001) & (share < 0.3) & (height > 8) & (width > 20)
+
+
+def features_or_default(has_text: str, has_face: str, density: str) -> list[Column]:
+    """Detected features, or what a failed detection counts as."""
+    return [F.coalesce(has_text, F.lit(False)).alias(has_text), F.coalesce(has_face, F.lit(False)).alias(has_face), F.coalesce(density, F.lit("low")).alias(density)]
 
 
 def unwrap_list(value: Column) -> Column:

@@ -65,12 +65,3 @@ def hash_udf(kernel, side: int):
         return grids.map(lambda g: kernel(np.asarray(g, float).reshape(side, side)) if g is not None and len(g) == side * side else None).astype("Int64")
 
     return run
-
-
-def similarity_udf(side: int, top: float = 255.0):
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        shape = lambda g: np.asarray(g, float).reshape(side, side)
-        return pd.Series([None if x is None or y is None else structural_similarity(shape(x), shape(y), top=top) for x, y in zip(a, b)], dtype="float64")
-
-    return run

@@ -6,13 +6,17 @@ over two structs, a client a function from a prompt to a reply that is made once
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema as arrow_schema
 
 from reelsieve.functions import expr as X
 
@@ -24,9 +28,7 @@ DETECTORS: dict[str, Callable] = {
 
 
 def detector(name: str) -> Callable:
-    if name not in DETECTORS:
-        raise ValueError(f"no detector {name!r}; there are {', '.join(sorted(DETECTORS))}")
-    return DETECTORS[name]
+    return named(DETECTORS, name, "detector")
 
 
 class MockClient:
@@ -40,9 +42,82 @@ CLIENTS: dict[str, Callable[[], Callable[[str], str]]] = {"mock": MockClient}
 
 
 def client(name: str) -> Callable[[str], str]:
-    if name not in CLIENTS:
-        raise ValueError(f"no client {name!r}; there are {', '.join(sorted(CLIENTS))}")
-    return CLIENTS[name]()
+    return named(CLIENTS, name, "client")()
+
+
+class HashedVectors:
+    """Stands in for a neural embedder offline: a unit vector drawn from the content's digest; equal contents, equal vectors."""
+
+    def __init__(self, width: int = 64):
+        self.width = width
+
+    def __call__(self, contents: Sequence[bytes | None]) -> list[list[float] | None]:
+        out: list[list[float] | None] = []
+        for c in contents:
+            if c is None:
+                out.append(None)
+                continue
+            v = np.random.default_rng(int.from_bytes(hashlib.sha256(c).digest()[:8], "big")).standard_normal(self.width)
+            out.append((v / np.linalg.norm(v)).tolist())
+        return out
+
+
+def mean_difference(kept: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Stands in for a learned perceptual distance offline: the mean absolute difference to each kept row."""
+    return np.abs(kept - row).mean(axis=1)
+
+
+#: Models by name: made once a partition. Embedders take contents, distances kept rows and a row; sound models take (samples, rate).
+EMBEDDERS: dict[str, Callable[[], Callable]] = {"hashed": HashedVectors}
+DISTANCES: dict[str, Callable] = {"mean_difference": mean_difference}
+SOUND_MODELS: dict[str, Callable[[], Callable]] = {}
+SAMPLERS: dict[str, Callable] = {}
+DEDUPLICATORS: dict[str, Callable] = {}
+
+
+def named(registry: dict[str, Callable], name: str, what: str) -> Callable:
+    """The entry of a registry; an unknown name says which there are."""
+    if name not in registry:
+        raise ValueError(f"no {what} {name!r}; there are {', '.join(sorted(registry)) or 'none'}")
+    return registry[name]
+
+
+def embed(df: DataFrame, key: str, content: str, model: str = "hashed") -> DataFrame:
+    """(key, embedding) of binary contents, in Arrow batches, by a model made once a partition; null contents give null."""
+    make = named(EMBEDDERS, model, "embedder")
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of(b.column(1).to_pylist()), pa.list_(pa.float32()))], names=[key, "embedding"])
+
+    return df.select(key, content).mapInArrow(run, f"{key} {kind}, embedding array<float>")
+
+
+def from_sound(df: DataFrame, key: str, samples: str, rate: str, model: str, schema: str) -> DataFrame:
+    """What a sound model (tempo, mood, transcript) finds in each row's samples; a failure is a null, never a failed job.
+
+    The model gives a dict with the columns of ``schema`` or a list of them.
+    """
+    make = named(SOUND_MODELS, model, "sound model")
+    kind = df.schema[key].dataType.simpleString()
+    out = T.StructType.fromDDL(f"{key} {kind}, {schema}")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        kinds = arrow_schema(out)
+        for b in batches:
+            rows = []
+            for k, x, r in zip(*[c.to_pylist() for c in b.columns]):
+                try:
+                    found = of(x, r)
+                except Exception:
+                    found = {}
+                rows += [{key: k, **f} for f in (found if isinstance(found, list) else [found])]
+            yield pa.RecordBatch.from_pylist([{f.name: row.get(f.name) for f in out} for row in rows], schema=kinds)
+
+    return df.select(key, samples, rate).mapInArrow(run, out)
 
 
 def should_retry(error: Exception) -> bool:

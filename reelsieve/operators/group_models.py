@@ -176,10 +176,11 @@ def select_hybrid(suppressed: DataFrame, labelled: DataFrame, key: str, row: str
     """Suppression's picks, and for each cluster that none of them is in, its best row if that has at
     least 0.7 of the worst pick's score; it takes that pick's place.
 
-    ``suppressed``: picks (key, row); ``labelled``: all rows (key, row, score, cluster, forced). Missing
+    ``suppressed``: picks (key, row); ``labelled``: all rows (key, row, score, cluster, and forced where some are). Missing
     clusters come in order of their best row; each exchanges the worst pick left that isn't forced. What
     meets in one row of a group are its picks and one row a cluster.
     """
+    labelled = labelled if "forced" in labelled.columns else labelled.withColumn("forced", F.lit(False))
     all_ = labelled.join(suppressed.select(row).withColumn("picked", F.lit(True)), row, "left").withColumn("picked", F.coalesce("picked", F.lit(False)))
     best = F.max_by(F.struct((-F.col(score)).alias("s"), row, "cluster"), F.struct(score, (-F.col(row)).alias("r")))
     of = all_.groupBy(key, "cluster").agg(F.max("picked").alias("have"))

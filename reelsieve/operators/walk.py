@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reelsieve.functions.plugins import mean_difference
+
 
 def stretches(batch: pa.RecordBatch, keys: int) -> list[tuple[tuple, int, int]]:
     """(key, from, to) of runs of rows with equal first ``keys`` columns."""
@@ -203,7 +205,7 @@ class NearKept(Kept):
 
     def __init__(self, threshold: float, distance: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
         super().__init__()
-        self.threshold, self.distance = threshold, distance or (lambda kept, row: np.abs(kept - row).mean(axis=1))
+        self.threshold, self.distance = threshold, distance or mean_difference
 
     def like(self, kept: np.ndarray, row: np.ndarray) -> np.ndarray:
         return self.distance(kept, row) < self.threshold

@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 from reelsieve.functions import expr as X
 from reelsieve.functions import taxonomy
 from reelsieve.operators.diff import latest_per_key
-from reelsieve.plans.base import Registry
+from reelsieve.plans.base import FRAMES_SQL, Registry, frames
 from reelsieve.session import table
+from reelsieve.sources.files import sample_grid
 
 query = Registry()
+EV = f"WITH {FRAMES_SQL}"
 _BARE = r"regexp_replace(regexp_replace(video, '^.*[/\\]', ''), '\.mp4$', '')"
 _TRIM = "lower(trim(method, e' \\t\\n\\r'))"
 
@@ -92,15 +94,61 @@ def c12_c13_d11_accuracy(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"WITH {BENCH}, {TRUTH}, j AS (SELECT g.full_cta_detected AS t, b.full_cta_detected AS p, count(*) AS n FROM b JOIN g USING (video, method) WHERE b.full_cta_detected IS NOT NULL AND g.full_cta_detected IS NOT NULL GROUP BY ALL), k AS (SELECT t AS label, sum(n) AS support, sum(CASE WHEN p = t THEN n ELSE 0 END) AS tp, (SELECT sum(n) FROM j x WHERE x.p = j.t) AS predicted FROM j GROUP BY t) SELECT label, support::BIGINT AS support, round(tp / predicted, 9) AS precision, round(tp / support, 9) AS recall, round(2.0 * tp / (predicted + support), 9) AS f1 FROM k")
+@query(f"WITH {ABLATION} SELECT method, round(avg(total_time_s), 9) AS avg_time, max(total_time_s) AS most_time, min(total_time_s) AS least_time, round(sum(num_frames / nullif(1 - compression_ratio, 0)) / sum(num_frames), 6) AS frames_ratio FROM a WHERE num_frames > 0 GROUP BY method")
+def d10_compare_report(spark: SparkSession, d: str) -> DataFrame:
+    """Times of each method, and frames before to frames after as a ratio of sums, not a mean of ratios."""
+    a = _ablation(spark, d, "method", "total_time_s", "num_frames", "compression_ratio").where("num_frames > 0")
+    before = F.col("num_frames") / F.nullif(1 - F.col("compression_ratio"), F.lit(0.0))
+    t = F.col("total_time_s")
+    return a.groupBy("method").agg(F.round(F.avg(t), 9).alias("avg_time"), F.max(t).alias("most_time"), F.min(t).alias("least_time"), F.round(F.sum(before) / F.sum("num_frames"), 6).alias("frames_ratio"))
+
+
+@query(f"""WITH {ABLATION}, g AS (SELECT video, min(extraction_data.sentiment.primary_sentiment_id) AS sentiment, min(extraction_data.engagement_metrics.is_funny) AS funny, min(extraction_data.engagement_metrics.is_exciting) AS exciting, min(extraction_data.engagement_metrics.effectiveness_score) AS effective FROM a WHERE method = 'scene_midpoint' GROUP BY 1)
+    SELECT a.method, count(*) AS n, count(g.sentiment) AS valid, count_if(coalesce(a.extraction_data.sentiment.primary_sentiment_id, -1)::VARCHAR = g.sentiment::VARCHAR) AS correct,
+      count_if(g.funny IS NOT NULL AND g.exciting IS NOT NULL AND g.effective IS NOT NULL) AS scored, round(avg(CASE WHEN g.funny IS NOT NULL AND g.exciting IS NOT NULL AND g.effective IS NOT NULL THEN abs(coalesce(a.extraction_data.engagement_metrics.is_funny, 0.0) - g.funny) END), 9) AS funny_mae,
+      round(avg(CASE WHEN g.funny IS NOT NULL AND g.exciting IS NOT NULL AND g.effective IS NOT NULL THEN abs(coalesce(a.extraction_data.engagement_metrics.is_exciting, 0.0) - g.exciting) END), 9) AS exciting_mae, round(avg(CASE WHEN g.funny IS NOT NULL AND g.exciting IS NOT NULL AND g.effective IS NOT NULL THEN abs(coalesce(a.extraction_data.engagement_metrics.effectiveness_score, 0) - g.effective)::DOUBLE END), 9) AS effective_mae
+    FROM a LEFT JOIN g USING (video) WHERE a.method <> 'scene_midpoint' GROUP BY a.method""")
+def d11_truth_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers compared as texts, a missing prediction being -1; errors where all three truths are there, a missing score
+    being 0. One method's records stand in for the truth."""
+    cols = {"sentiment": "sentiment.primary_sentiment_id", "funny": "engagement_metrics.is_funny", "exciting": "engagement_metrics.is_exciting", "effective": "engagement_metrics.effectiveness_score"}
+    t = table(spark, d, "ablation_metrics").select("metric_id", "video", "method", *[F.col(f"extraction_data.{p}").alias(n) for n, p in cols.items()])
+    t = t.groupBy("metric_id").agg(F.max(F.struct("video", "method", *cols)).alias("r")).select("r.*")
+    g = t.where("method = 'scene_midpoint'").groupBy("video").agg(*[F.min(n).alias(f"g_{n}") for n in cols])
+    j = t.where("method <> 'scene_midpoint'").join(g, "video", "left")
+    all_three = F.col("g_funny").isNotNull() & F.col("g_exciting").isNotNull() & F.col("g_effective").isNotNull()
+    mae = lambda n: F.round(F.avg(F.when(all_three, F.abs(F.coalesce(F.col(n).cast("double"), F.lit(0.0)) - F.col(f"g_{n}")))), 9).alias(f"{n}_mae")
+    same = F.coalesce("sentiment", F.lit(-1)).cast("string") == F.col("g_sentiment").cast("string")
+    return j.groupBy("method").agg(F.count("*").alias("n"), F.count("g_sentiment").alias("valid"), F.count_if(same).alias("correct"), F.count_if(all_three).alias("scored"), mae("funny"), mae("exciting"), mae("effective"))
+
+
+_CONFUSION = f"WITH {BENCH}, {TRUTH}, j AS (SELECT g.full_cta_detected::VARCHAR AS t, b.full_cta_detected::VARCHAR AS p, count(*) AS n FROM b JOIN g USING (video, method) WHERE b.full_cta_detected IS NOT NULL AND g.full_cta_detected IS NOT NULL GROUP BY ALL)"
+
+
+def _confusion(spark: SparkSession, d: str) -> DataFrame:
+    b = _newest(spark, d).select("video", "method", F.col("full_cta_detected").cast("string").alias("p"))
+    g = _newest(spark, d, "benchmark_results_copy").select("video", "method", F.col("full_cta_detected").cast("string").alias("t"))
+    return b.join(g, ["video", "method"]).where("p IS NOT NULL AND t IS NOT NULL").groupBy("t", "p").agg(F.count("*").alias("n"))
+
+
+@query(f"{_CONFUSION} SELECT t AS truth, p AS predicted, n FROM j")
+def d12_confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return _confusion(spark, d).select(F.col("t").alias("truth"), F.col("p").alias("predicted"), "n")
+
+
+@query(f"""{_CONFUSION}, k AS (SELECT t AS label, sum(n)::DOUBLE AS support, sum(CASE WHEN p = t THEN n ELSE 0 END)::DOUBLE AS tp, (SELECT sum(n)::DOUBLE FROM j x WHERE x.p = j.t) AS predicted FROM j GROUP BY t),
+    l AS (SELECT label, support, coalesce(tp / predicted, 0) AS precision, tp / support AS recall, 2.0::DOUBLE * tp / (coalesce(predicted, 0) + support) AS f1 FROM k)
+    SELECT label, support::BIGINT AS support, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM l UNION ALL SELECT 'macro avg', sum(support)::BIGINT, round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9) FROM l
+    UNION ALL SELECT 'weighted avg', sum(support)::BIGINT, round(sum(precision * support) / sum(support), 9), round(sum(recall * support) / sum(support), 9), round(sum(f1 * support) / sum(support), 9) FROM l""")
 def d12_classification_report(spark: SparkSession, d: str) -> DataFrame:
-    """Precision, recall and F1 of each class from one confusion table."""
-    b = _newest(spark, d).select("video", "method", F.col("full_cta_detected").alias("p"))
-    g = _newest(spark, d, "benchmark_results_copy").select("video", "method", F.col("full_cta_detected").alias("t"))
-    j = b.join(g, ["video", "method"]).where("p IS NOT NULL AND t IS NOT NULL")
-    sides = j.select(F.inline(F.array(F.struct(F.col("t").alias("label"), F.lit(1).alias("s"), F.when(F.col("p") == F.col("t"), 1).otherwise(0).alias("tp"), F.lit(0).alias("q")), F.struct(F.col("p").alias("label"), F.lit(0).alias("s"), F.lit(0).alias("tp"), F.lit(1).alias("q")))))
-    k = sides.groupBy("label").agg(F.sum("s").alias("support"), F.sum("tp").alias("tp"), F.sum("q").alias("q"))
-    return k.select("label", "support", F.round(F.col("tp") / F.col("q"), 9).alias("precision"), F.round(F.col("tp") / F.col("support"), 9).alias("recall"), F.round(F.lit(2.0) * F.col("tp") / (F.col("q") + F.col("support")), 9).alias("f1"))
+    """Precision, recall and F1 of each class, their means, and their means by support, from one confusion table."""
+    sides = _confusion(spark, d).select(F.inline(F.array(F.struct(F.col("t").alias("label"), F.col("n").alias("s"), F.when(F.col("p") == F.col("t"), F.col("n")).otherwise(0).alias("tp"), F.lit(0).alias("q")), F.struct(F.col("p").alias("label"), F.lit(0).alias("s"), F.lit(0).alias("tp"), F.col("n").alias("q")))))
+    k = sides.groupBy("label").agg(F.sum("s").alias("support"), F.sum("tp").alias("tp"), F.sum("q").alias("q")).where("support > 0")
+    k = k.select("label", "support", F.coalesce(F.col("tp") / F.nullif("q", F.lit(0)), F.lit(0.0)).alias("precision"), (F.col("tp") / F.col("support")).alias("recall"), (F.lit(2.0) * F.col("tp") / (F.col("q") + F.col("support"))).alias("f1"))
+    marks = ("precision", "recall", "f1")
+    whole = k.agg(F.sum("support").alias("support"), *[F.avg(m).alias(f"m_{m}") for m in marks], *[(F.sum(F.col(m) * F.col("support")) / F.sum("support")).alias(f"w_{m}") for m in marks])
+    means = whole.select(F.inline(F.array(*[F.struct(F.lit(n).alias("label"), "support", *[F.col(f"{x}_{m}").alias(m) for m in marks]) for n, x in (("macro avg", "m"), ("weighted avg", "w"))])))
+    return k.unionByName(means).select("label", "support", *[F.round(m, 9).alias(m) for m in marks])
 
 
 _NUM = ("compression_ratio", "latency_s", "info_density", "vlm_cost_usd")
@@ -216,11 +264,11 @@ def b18_id_chain(spark: SparkSession, d: str) -> DataFrame:
     return v.select("video").join(hit, "video", "left")
 
 
-@query(f"WITH {BENCH} SELECT CASE WHEN info_density >= 0.35 THEN 1 WHEN info_density <= 0.2 THEN 0 ELSE -1 END AS label, count(*) AS n FROM b WHERE info_density IS NOT NULL GROUP BY 1 HAVING label <> -1")
+@query(f"WITH {ABLATION} SELECT metric_id, CASE WHEN extraction_data.engagement_metrics.is_funny >= 0.7 THEN 1 WHEN extraction_data.engagement_metrics.is_funny <= 0.3 THEN 0 END AS label FROM a WHERE extraction_data.engagement_metrics.is_funny >= 0.7 OR extraction_data.engagement_metrics.is_funny <= 0.3")
 def b19_unambiguous(spark: SparkSession, d: str) -> DataFrame:
-    """Scores as two classes; those between are left out."""
-    label = F.when(F.col("info_density") >= 0.35, 1).when(F.col("info_density") <= 0.2, 0).otherwise(-1)
-    return _newest(spark, d).where("info_density IS NOT NULL").groupBy(label.alias("label")).agg(F.count("*").alias("n")).where("label <> -1")
+    """Scores as two classes; those between, which are neither, are left out."""
+    a = _ablation(spark, d, "extraction_data.engagement_metrics.is_funny").where("is_funny IS NOT NULL")
+    return a.select("metric_id", X.binary_label(F.col("is_funny")).alias("label")).where("label <> -1")
 
 
 @query(f"WITH {BENCH} SELECT video, method, coalesce(bare_error, full_error) AS error, CASE " + " ".join(f"WHEN contains(coalesce(bare_error, full_error), '{c}') THEN '{c}'" for c in X.ERROR_CODES) + " END AS code FROM b WHERE bare_error IS NOT NULL OR full_error IS NOT NULL")
@@ -248,28 +296,14 @@ def f_names_match(spark: SparkSession, d: str) -> DataFrame:
     return a.select("metric_id", X.names_match(F.col("x"), F.col("y")).alias("matches")).distinct()
 
 
-@query("SELECT result_id, TRY_CAST(result_doc AS JSON) IS NOT NULL AND result_doc <> '' AS readable FROM (SELECT DISTINCT result_id, result_doc FROM video_results)")
-def f_parse_reply(spark: SparkSession, d: str) -> DataFrame:
-    """Replies that can be read as JSON as they are."""
-    v = table(spark, d, "video_results").select("result_id", "result_doc").distinct()
-    return v.select("result_id", F.coalesce(F.try_parse_json(F.nullif("result_doc", F.lit(""))).isNotNull(), F.lit(False)).alias("readable"))
-
-
-@query(f"""WITH {BENCH} SELECT video, method, printf('[%s] %d frames, %.2fx, %s', method, selected_count, compression_ratio, CASE WHEN coalesce(full_error, '') = '' THEN 'ok' ELSE full_error END) AS line FROM b WHERE selected_count IS NOT NULL AND compression_ratio IS NOT NULL""")
-def f_prompt_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Rows rendered as lines of text."""
-    b = _newest(spark, d).where("selected_count IS NOT NULL AND compression_ratio IS NOT NULL")
-    state = F.when(F.coalesce("full_error", F.lit("")) == "", "ok").otherwise(F.col("full_error"))
-    return b.select("video", "method", F.format_string("[%s] %d frames, %.2fx, %s", "method", "selected_count", "compression_ratio", state).alias("line"))
-
-
-@query("""SELECT l_orderkey, l_linenumber, least(l_quantity / 25, 2.0) AS scaled, CASE WHEN o_totalprice > 0 THEN l_extendedprice / o_totalprice ELSE 0 END AS share FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= TIMESTAMP '1995-01-01'""")
+@query(f"""{EV}, v AS (SELECT video, max(t) AS dur FROM f GROUP BY 1), g AS (SELECT video, unnest(range(ceil(dur / 12)::BIGINT)) AS i, dur FROM v), n AS (SELECT video, floor(t / 6)::BIGINT AS frame_no, arg_min(frame, (t, frame)) AS frame FROM f GROUP BY ALL)
+    SELECT g.video, i * 12 AS at, n.frame FROM g JOIN n ON n.video = g.video AND n.frame_no = floor(i * 12 / 6)::BIGINT WHERE i * 12 < dur""")
 def a6_point_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Point lookups as an equi-join with pushed filters and pruned columns."""
-    li = table(spark, d, "lineitem").where("l_shipdate >= timestamp_ntz'1995-01-01 00:00:00'")
-    o = table(spark, d, "orders")
-    j = li.join(o, li["l_orderkey"] == o["o_orderkey"])
-    return j.select("l_orderkey", "l_linenumber", F.least(F.col("l_quantity") / 25, F.lit(2.0)).alias("scaled"), F.when(F.col("o_totalprice") > 0, F.col("l_extendedprice") / F.col("o_totalprice")).otherwise(0.0).alias("share"))
+    """The frames at sampled times, by frame number: an equi-join; times at which there is none are skipped."""
+    f = frames(spark, d)
+    g = sample_grid(f.groupBy("video").agg(F.max("t").alias("dur")), "dur", 12_000).select("video", (F.col("sample_no") * 12).cast("bigint").alias("at"))
+    n = f.groupBy("video", F.floor(F.col("t") / 6).alias("frame_no")).agg(F.min_by("frame", F.struct("t", "frame")).alias("frame"))
+    return g.withColumn("frame_no", F.floor(F.col("at") / 6)).join(n, ["video", "frame_no"]).select("video", "at", "frame")
 
 
 QUERIES, SQL = query.queries, query.sql

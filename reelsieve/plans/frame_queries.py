@@ -208,12 +208,18 @@ def t4_fixed_samplers(spark: SparkSession, d: str) -> DataFrame:
     return g.select("video", "frame", F.explode(names).alias("sampler")).distinct()
 
 
-@query("""WITH s AS (SELECT DISTINCT video_id, scene_id, start_s, end_s FROM scenes WHERE end_s > start_s) SELECT video_id, scene_id, k::INT AS part, floor((start_s + (end_s - start_s) * (k + 1) / 4.0::DOUBLE) * 30)::BIGINT AS frame_no FROM s, range(3) q(k)""")
+#: Places within a scene for one to five frames of it.
+PLACES = {1: (0.5,), 2: (0.25, 0.75), 3: (0.1, 0.5, 0.9), 4: (0.1, 0.4, 0.6, 0.9), 5: (0.1, 0.3, 0.5, 0.7, 0.9)}
+_PLACES = ", ".join(f"({n}, {i}, {p}::DOUBLE)" for n, ps in PLACES.items() for i, p in enumerate(ps))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT video_id, scene_id, start_s, end_s FROM scenes WHERE end_s > start_s), x(per_scene, part, place) AS (VALUES {_PLACES}) SELECT video_id, scene_id, start_s, per_scene, part, floor((start_s + (end_s - start_s) * place) * 30)::BIGINT AS frame_no FROM s, x""")
 def t5_scene_points(spark: SparkSession, d: str) -> DataFrame:
-    """The frames at the quarter, middle and three quarters of every scene."""
-    s = table(spark, d, "scenes").where("end_s > start_s").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    at = F.col("start_s") + (F.col("end_s") - F.col("start_s")) * (F.col("part") + 1) / F.lit(4.0)
-    return s.select("video_id", "scene_id", "part", F.floor(at * 30).alias("frame_no"))
+    """The frames of every scene at its middle, and at the places for two to five frames a scene."""
+    place = F.explode(F.array(*[F.struct(F.lit(n).alias("per_scene"), F.lit(i).alias("part"), F.lit(p).alias("place")) for n, ps in PLACES.items() for i, p in enumerate(ps)]))
+    s = table(spark, d, "scenes").where("end_s > start_s").distinct().withColumn("x", place)
+    at = F.col("start_s") + (F.col("end_s") - F.col("start_s")) * F.col("x.place")
+    return s.select("video_id", "scene_id", "start_s", "x.per_scene", "x.part", F.floor(at * 30).alias("frame_no"))
 
 
 @query(f"""{REC}, o AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY t, frame) AS rn, count(*) OVER (PARTITION BY video) AS n FROM f),
@@ -256,12 +262,19 @@ def t10_even_cap(spark: SparkSession, d: str) -> DataFrame:
     return g.where((F.col("n") <= 30) | F.array_contains(at, F.col("i"))).select("video", "frame")
 
 
-@query("SELECT p_partkey, w * h AS area FROM (SELECT p_partkey, p_size AS w, (p_partkey % 90 + 1)::INT AS h, p_brand FROM part) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY w * h DESC, p_partkey) <= 15")
+@query("SELECT DISTINCT doc_id, array_to_string(string_split(text, ' ')[1:10], ' ') AS head FROM documents WHERE text IS NOT NULL")
+def t11_first_ten(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten elements of a list, here the words of a text."""
+    t = table(spark, d, "documents").where("text IS NOT NULL")
+    return t.select("doc_id", F.array_join(F.slice(F.split("text", " ", -1), 1, 10), " ").alias("head")).distinct()
+
+
+@query("SELECT p_partkey, w * h AS area, row_number() OVER (PARTITION BY p_brand ORDER BY w * h DESC, p_partkey) AS place FROM (SELECT p_partkey, p_size AS w, (p_partkey % 90 + 1)::INT AS h, p_brand FROM part) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY w * h DESC, p_partkey) <= 15")
 def t11_t12_boxes_by_area(spark: SparkSession, d: str) -> DataFrame:
     """The 15 largest boxes of each group, largest first."""
     b = table(spark, d, "part").select("p_partkey", "p_brand", (F.col("p_size") * (F.col("p_partkey") % 90 + 1).cast("int")).alias("area"))
     order = Window.partitionBy("p_brand").orderBy(F.desc("area"), "p_partkey")
-    return b.withColumn("r", F.row_number().over(order)).where("r <= 15").select("p_partkey", "area")
+    return b.withColumn("place", F.row_number().over(order)).where("place <= 15").select("p_partkey", "area", "place")
 
 
 @query(f"""{REC}, o AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY t, frame) AS rn FROM f),

@@ -43,12 +43,26 @@ def r2_r5_streaming_threshold(spark: SparkSession, d: str) -> DataFrame:
     return _finished(spark, out.select("video", "frame", F.round("threshold", 6).alias("threshold")))
 
 
-@query("WITH a AS (SELECT DISTINCT doc_id, length(coalesce(text, '')) AS n FROM documents) SELECT doc_id, 3 AS score, 1 AS n FROM a")
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events), h AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM h GROUP BY user_id, s""")
+def r4_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of rows less than half a day apart; the same operator runs over streams."""
+    return gates.sessions(table(spark, d, "events").select("user_id", "ts"), "user_id", "ts", "12 hours")
+
+
+@query("SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS \"end\", count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def r3_r7_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and means by day; the same operator runs over streams, where late rows count up to the watermark."""
+    t = gates.tumbling(table(spark, d, "events").select("user_id", "ts", "value"), "user_id", "ts", "value", "1 day")
+    return t.withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT DISTINCT doc_id, length(coalesce(text, ''))::INT AS prompt_length, true AS answered FROM documents")
 def e31_a21_mock_extraction(spark: SparkSession, d: str) -> DataFrame:
     """Every text sent to the mock client, one client a partition, its reply parsed."""
     t = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     r = plugins.extract(t, "doc_id", "text")
-    return r.select("doc_id", F.try_variant_get("parsed", "$.engagement_metrics.effectiveness_score", "int").alias("score"), F.when(F.col("error").isNull(), 1).otherwise(0).alias("n"))
+    return r.select("doc_id", F.try_variant_get("parsed", "$.prompt_length", "int").alias("prompt_length"), F.col("error").isNull().alias("answered"))
 
 
 @query(f"""WITH {FRAMES_SQL}, g AS (SELECT video, max(t) AS dur FROM f GROUP BY video) SELECT video, i::INT AS sample_no, i * 6 AS at FROM g, LATERAL (SELECT unnest(range(ceil(dur / 6)::BIGINT)) AS i) WHERE i * 6 < dur""")

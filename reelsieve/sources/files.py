@@ -189,6 +189,11 @@ def write_results(df: DataFrame, path: str, kind: str = "parquet", by: str | Non
     (w.option("header", True).option("escape", '"') if kind == "csv" else w).format(kind).save(path)
 
 
+def result_counts(results: DataFrame, error: str = "error") -> DataFrame:
+    """(total, succeeded, failed) of results whose failures are rows with an error."""
+    return results.agg(F.count("*").alias("total"), F.count_if(F.col(error).isNull()).alias("succeeded"), F.count(error).alias("failed"))
+
+
 def union_columns(parts: Sequence[DataFrame]) -> DataFrame:
     """Rows with differing columns as one table; missing ones are null."""
     out = parts[0]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -48,18 +49,20 @@ def adaptive(stream: DataFrame, key: str, row: str, at: str, signal: str, base:
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before, seen, history = state.get if state.exists else (None, 0, [])
-        history = list(history or [])
         rows = pd.concat(list(parts)).sort_values([at, row])
-        out = []
-        for r, v in zip(rows[row], rows[signal]):
-            if before is not None:
-                history = [*history, abs(v - before) / 255][-window:]
-                seen += 1
-                s = pd.Series(history)
-                out.append((k[0], r, base if seen < window else min(2 * base, max(base / 2, s.mean() + s.std(ddof=0)))))
-            before = v
-        state.update((float(before), int(seen), history))
-        yield pd.DataFrame(out, columns=[key, row, "threshold"])
+        x = rows[signal].to_numpy(np.float64)
+        change = np.abs(np.diff(x if before is None else np.r_[before, x])) / 255
+        # mean and spread of the last changes at every row, from one view of windows
+        line = np.r_[np.array(history or [], np.float64), change]
+        upto = np.arange(len(line) - len(change), len(line))
+        at_all = int(seen) + 1 + np.arange(len(change))
+        threshold = np.full(len(change), base)
+        full = at_all >= window
+        if full.any():
+            view = np.lib.stride_tricks.sliding_window_view(line, window)[upto[full] - window + 1]
+            threshold[full] = np.minimum(2 * base, np.maximum(base / 2, view.mean(axis=1) + view.std(axis=1)))
+        state.update((float(x[-1]), int(seen) + len(change), line[-window:].tolist()))
+        yield pd.DataFrame({key: k[0], row: rows[row].to_numpy()[len(x) - len(change) :], "threshold": threshold})
 
     return stream.select(key, row, at, signal).groupBy(key).applyInPandasWithState(
         step, f"{key} {kind[key]}, {row} {kind[row]}, threshold double", "before double, seen bigint, history array<double>", "append", GroupStateTimeout.NoTimeout
@@ -76,15 +79,21 @@ def sessions(stream: DataFrame, key: str, at: str, gap: str = "30 minutes", late
     return stream.withWatermark(at, late).groupBy(key, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def append_new(stream: DataFrame, path: str, key: str, checkpoint: str, **trigger: Any):
-    """A sink that appends keys it doesn't hold yet: a repeated batch or delivery writes nothing twice."""
+def append_new(stream: DataFrame, path: str, key: str, checkpoint: str, within: str | None = None, **trigger: Any):
+    """A sink that takes each key once. A batch is a folder of its own that a repeated batch replaces, so a batch
+    costs its own size, whatever the sink holds, and a restart writes nothing twice.
+
+    Keys already taken are the stream's state; with ``within``, the name of a time column with a watermark,
+    they are kept no longer than the watermark needs.
+    """
+    once = stream.dropDuplicates([key]) if within is None else stream.dropDuplicatesWithinWatermark([key])
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.dropDuplicates([key])
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            batch = batch.join(spark.read.parquet(path).select(key), key, "left_anti")
-        batch.write.mode("append").parquet(path)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def progress(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, n): what a sink of ``append_new`` has taken so far."""
+    return spark.read.parquet(path).groupBy("batch").agg(F.count("*").alias("n"))

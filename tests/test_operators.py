@@ -13,7 +13,7 @@ from reelsieve.functions import expr as X
 from reelsieve.functions import kernels, plugins
 from reelsieve.operators.group_models import farthest_points, intrinsic_dimension, select_hybrid
 from reelsieve.operators.joins import first_match, range_join
-from reelsieve.operators.walk import Suppress, UnlikeKept, walk
+from reelsieve.operators.walk import AlikeKept, Apart, Chain, Changed, Suppress, UnlikeKept, walk
 from reelsieve.sources import files
 from reelsieve.streaming import gates
 
@@ -189,3 +189,56 @@ def test_stream_windows_and_sink(spark, tmp_path):
     for _ in range(2):
         gates.append_new(s, f"{tmp_path}/sink", "id", f"{tmp_path}/cp{_}").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/sink").count() == 10
+    rows.selectExpr("k", "at", "v", "id + 5 AS id").write.mode("append").parquet(f"{tmp_path}/in")
+    gates.append_new(s, f"{tmp_path}/sink", "id", f"{tmp_path}/cp1").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/sink").count() == 15
+    assert {r.batch: r.n for r in gates.progress(spark, f"{tmp_path}/sink").collect()} == {0: 10, 1: 5}
+    assert sorted(r.n for r in gates.sessions(rows, "k", "at", "5 seconds").collect()) == [10]
+
+
+def test_models_by_name(spark):
+    t = spark.createDataFrame([(1, b"a"), (2, b"a"), (3, b"b"), (4, None)], "id int, content binary")
+    v = {r.id: r.embedding for r in plugins.embed(t, "id", "content").collect()}
+    assert v[1] == v[2] != v[3] and v[4] is None and np.linalg.norm(v[1]) == pytest.approx(1, abs=1e-5)
+    with pytest.raises(ValueError):
+        plugins.embed(t, "id", "content", "clip")
+    plugins.SOUND_MODELS["loud"] = lambda: lambda x, r: {"bpm": max(x) * r}
+    s = spark.createDataFrame([(1, [1.0, 2.0], 10), (2, None, 10)], "id int, x array<double>, rate int")
+    assert {r.id: r.bpm for r in plugins.from_sound(s, "id", "x", "rate", "loud", "bpm double").collect()} == {1: 20.0, 2: None}
+    counts = files.result_counts(spark.createDataFrame([(1, None), (2, "x")], "id int, error string")).first()
+    assert (counts.total, counts.succeeded, counts.failed) == (2, 1, 1)
+
+
+def test_walks_are_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), i, float(np.round(x, 1)), bool(b)) for i, (g, x, b) in enumerate(zip(rng.integers(0, 3, 400), rng.uniform(0, 30, 400), rng.random(400) < 0.05))]
+    t = spark.createDataFrame(rows, "g int, i int, x double, b boolean")
+    ids = lambda df: sorted(r.i for r in df.collect())
+    apart, changed, chained = [], [], []
+    for g in range(3):
+        kept, last, l1, l2 = [], None, None, None
+        for _, i, x, b in [r for r in rows if r[0] == g]:
+            if all(abs(x - k) >= 1.5 for k in kept):
+                kept.append(x)
+                apart.append(i)
+            if b or last is None or abs(x - last) > 8:
+                changed.append(i)
+                last = None if b else x
+            if l1 is None or abs(x - l1) > 3:
+                l1 = x
+                if l2 is None or abs(x - l2) > 9:
+                    l2 = x
+                    chained.append(i)
+    assert ids(walk(t, ["g"], [F.col("i")], lambda: Apart(1.5), ["i"], x=F.col("x"))) == sorted(apart)
+    assert ids(walk(t, ["g"], [F.col("i")], lambda: Changed(8.0), ["i"], x=F.col("x"), blank=F.col("b"))) == sorted(changed)
+    passed = walk(t, ["g"], [F.col("i")], lambda: Chain([Changed(3.0), Changed(9.0)]), ["i"], mark="passed", x=F.col("x"))
+    assert passed.count() == 400 and ids(passed.where("passed = 2")) == sorted(chained)
+
+
+def test_structural_walk(spark):
+    rng = np.random.default_rng(6)
+    base = rng.uniform(0, 1, (3, 64))
+    rows = [(1, i, (base[i % 3] + 0.01 * rng.standard_normal(64)).tolist()) for i in range(12)]
+    t = spark.createDataFrame(rows, "g int, i int, v array<double>")
+    kept = [r.i for r in walk(t, ["g"], [F.col("i")], lambda: AlikeKept(0.92, 8, 1.0), ["i"], v=F.col("v")).collect()]
+    assert sorted(kept) == [0, 1, 2]
