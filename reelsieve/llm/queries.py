@@ -93,5 +93,24 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "n_chars", "shared_chars", "n_spans", share.alias("share"))
 
 
+# All pairs by brute force: a cluster's members have the same neighbours, themselves among them, and are all of these.
+P1_SQL = """
+WITH u AS (SELECT DISTINCT ON (candidate_id) candidate_id AS i, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM frame_candidates WHERE candidate_id IS NOT NULL AND len(embedding) = 64
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT a.i, list_sort(list(b.i)) AS near FROM u a JOIN u b ON list_cosine_similarity(a.e, b.e) >= 0.85 - 1e-9 GROUP BY a.i),
+k AS (SELECT near, count(*) AS members FROM n GROUP BY near)
+SELECT near[1] AS first_candidate_id, n.i AS candidate_id FROM n JOIN k USING (near) WHERE members = len(near) AND members > 1 AND n.i <> near[1]
+"""
+
+# Every window of 200 characters of every text.
+_WINDOWS = """d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200),
+w AS (SELECT doc_id, k, substring(text, k, 200) AS s FROM d, LATERAL (SELECT unnest(range(1, length(text) - 198)) AS k)),
+m AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) < max(doc_id))"""
+P9_SQL = f"WITH {_WINDOWS}, x AS (SELECT DISTINCT doc_id, s FROM w SEMI JOIN m USING (s)) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b USING (s) WHERE a.doc_id < b.doc_id"
+P9_SHARED_SQL = f"""WITH {_WINDOWS}, x AS (SELECT doc_id, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS nx, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS pv FROM w SEMI JOIN m USING (s)),
+c AS (SELECT doc_id, sum(least(200, coalesce(nx - k, 200)))::BIGINT AS shared_chars, count_if(pv IS NULL OR k - pv > 200) AS n_spans FROM x GROUP BY 1)
+SELECT DISTINCT a.doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(n_spans, 0) AS n_spans, CASE WHEN length(text) > 0 THEN round(coalesce(shared_chars, 0) / length(text)::DOUBLE, 6) ELSE 0.0 END AS share FROM documents a LEFT JOIN c USING (doc_id)"""
+
+
 QUERIES = {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p1_found": p1_found, "p1_clusters": p1_clusters, "p9_found": p9_found, "p9_shared": p9_shared, "p4_found": p4_found, "p7_ids": p7_ids, "p7_tokens_by_source": p7_tokens_by_source, "p8_mix": p8_mix, "p8_report": p8_report}
-SQL = {"p4_found": P4_SQL}
+SQL = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p9_found": P9_SQL, "p9_shared": P9_SHARED_SQL}
