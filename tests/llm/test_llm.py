@@ -221,6 +221,23 @@ def test_row_groups_are_skipped(spark):
     assert seen["read"] >= 1 and seen.get("skipped", 0) >= 1
 
 
+def test_files_of_a_hot_group_are_never_read(spark):
+    # a third of the rows in one group, over several files; a row group is at most 8192 rows
+    t = spark.range(180_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 1999).cast("string"))).alias("c0"), (F.col("id") * 7919 % 180_000).cast("double").alias("c1"), F.col("id").alias("c2"))
+    path = topn.write_clustered(t, ["c0"], "c1")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    every = [x for f in files.collect() for x in topn.footers(f.path, ["c0"], "c1")]
+    left = {r.path: r.numbers for r in topn.worth_reading(files, 3, ["c0"], "c1").collect()}
+    hot = [x for x in every if x["one"] and "hot" in x["key"]]
+    read = [x for x in hot if x["number"] in left.get(x["path"], [])]
+    assert len(hot) >= 5 and len(read) <= 2 and all(x["number"] in left[x["path"]] for x in every if not x["one"])
+    got = {(r.c0, r.c2) for r in topn.top_n(t, 3, ["c0"], "c1", ["c2"]).collect()}
+    best = {}
+    for r in t.collect():
+        best.setdefault(r.c0, []).append((-r.c1, r.c2))
+    assert got == {(g, i) for g, x in best.items() for _, i in sorted(x)[:3]}
+
+
 def test_latest(spark):
     t = spark.createDataFrame([(1, 5, "a"), (1, 6, "b"), (2, None, "c"), (2, 1, "d"), (None, 1, "e")], "k int, at int, x string")
     assert {(r.k, r.x) for r in topn.latest(t, "k", "at").collect()} == {(1, "b"), (2, "d"), (None, "e")}
