@@ -169,8 +169,19 @@ class Parsed:
         self.cells = written(cells(base, "json", ["run_key", "file_name"], record_keys), "cells")
 
 
+#: Kinds of values that aren't null; a set of them is a number with their bits.
+KINDS = ("text", "number", "boolean", "array", "object")
+
+
+def kinds_of(kind: Column) -> Column:
+    """The kinds of a group's values as bits: a number, so that it is aggregated by hash."""
+    bit = F.lit(0)
+    for i, k in enumerate(KINDS):
+        bit = F.when(kind == k, F.lit(1 << i)).otherwise(bit)
+    return F.bit_or(bit)
+
+
 CHANGE = "run_key string, file_name string, change_kind string, field_name string, new_name string"
-MOVED = "run_key string, seq int, file_name string, field_name string, gone boolean, kinds array<string>, members array<string>, other string, n_both bigint, n_same bigint"
 
 
 def _moves(rows: list[tuple]) -> list[tuple]:
@@ -181,7 +192,7 @@ def _moves(rows: list[tuple]) -> list[tuple]:
     for run, _, file, field, gone, kinds, members, other, n_both, n_same in rows:
         if other is None:
             run_key, file_name = run, file
-            sides[0 if gone else 1][field] = {"kinds": set(kinds or ()), "members": set(members or ())}
+            sides[0 if gone else 1][field] = {"kinds": {k for i, k in enumerate(KINDS) if (kinds or 0) >> i & 1}, "members": set(members or ())}
         else:
             counts[field, other] = (n_both, n_same)
     allowed = {k for k, (n, same) in counts.items() if n == same and n > 0}
@@ -229,12 +240,12 @@ def changes_of(parsed: Parsed) -> DataFrame:
     """
     real = F.col("value_kind") != "null"
     order, cell = parsed.order, parsed.cells
-    fields = cell.groupBy("run_key", "file_name", "field_name").agg(
-        F.array_sort(F.collect_set(F.when(real, F.col("value_kind")))).alias("kinds"), F.array_distinct(F.flatten(F.collect_set("members"))).alias("members")
-    )
-    fields = written(fields.join(order, ["run_key", "file_name"]), "fields")
+    key = ["run_key", "file_name", "field_name"]
+    fields = cell.groupBy(*key).agg(kinds_of(F.col("value_kind")).alias("kinds"))
+    members = cell.where("members IS NOT NULL").groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_set("members"))).alias("members"))
+    fields = written(fields.join(order, ["run_key", "file_name"]).join(members, key, "left"), "fields")
     by_field = Window.partitionBy("run_key", "field_name").orderBy("seq")
-    typed = fields.where(F.size("kinds") > 0).withColumn("before", F.lag("kinds").over(by_field))
+    typed = fields.where("kinds <> 0").withColumn("before", F.lag("kinds").over(by_field))
     retyped = typed.where("before IS NOT NULL AND before <> kinds").select("run_key", "file_name", F.lit("retyped").alias("change_kind"), "field_name", F.lit("").alias("new_name"))
     # a field is new where the file before doesn't hold it, and gone in the file after the last that does
     near = fields.withColumns({"past": F.lag("seq").over(by_field), "next": F.lead("seq").over(by_field)})
@@ -256,7 +267,7 @@ def changes_of(parsed: Parsed) -> DataFrame:
 
     none = lambda kind: F.lit(None).cast(kind)
     left = moved.select("*", none("string").alias("other"), F.lit(0).cast("bigint").alias("n_both"), F.lit(0).cast("bigint").alias("n_same"))
-    right = evidence.select("run_key", "seq", none("string").alias("file_name"), F.col("old_name").alias("field_name"), none("boolean").alias("gone"), none("array<string>").alias("kinds"), none("array<string>").alias("members"), F.col("new_name").alias("other"), "n_both", "n_same")
+    right = evidence.select("run_key", "seq", none("string").alias("file_name"), F.col("old_name").alias("field_name"), none("boolean").alias("gone"), none("int").alias("kinds"), none("array<string>").alias("members"), F.col("new_name").alias("other"), "n_both", "n_same")
     return spread(left.unionByName(right), "run_key", "seq").mapInArrow(_match, CHANGE).unionByName(retyped)
 
 
@@ -267,7 +278,8 @@ def schema_changes(df: DataFrame, json_column: str, run: str, file: str, at: str
 
 def kind_to_sql(kinds: Column) -> Column:
     """The one type that holds all kinds: a number or boolean if all are, else text."""
-    return F.when(F.size(kinds) == 0, "string").when((F.size(kinds) == 1) & F.array_contains(kinds, "number"), "double").when((F.size(kinds) == 1) & F.array_contains(kinds, "boolean"), "boolean").otherwise("string")
+    only = lambda k: kinds == 1 << KINDS.index(k)
+    return F.when(only("number"), "double").when(only("boolean"), "boolean").otherwise("string")
 
 
 def field_classes(changes: DataFrame, names: DataFrame) -> DataFrame:
@@ -292,11 +304,11 @@ def unified(parsed: Parsed, changes: DataFrame) -> DataFrame:
     columns of the result, and no values.
     """
     cell, carry = parsed.cells, ["run_key", "file_name"]
-    used = cell.groupBy("field_name").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("value_kind") != "null", F.col("value_kind")))).alias("kinds"))
+    used = cell.groupBy("field_name").agg(F.count("*").alias("n"), kinds_of(F.col("value_kind")).alias("kinds"))
     used = written(used, "names")
     classes = field_classes(changes, used.select("field_name", "n"))
     schema = classes.join(used, "field_name").groupBy("canonical").agg(
-        F.array_sort(F.collect_set("field_name")).alias("fields"), kind_to_sql(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("sql")
+        F.array_sort(F.collect_set("field_name")).alias("fields"), kind_to_sql(F.bit_or("kinds")).alias("sql")
     ).orderBy("canonical").collect()
     # the values of one record as a map, then one column per class
     # a record without a key is known by its contents; of a key's repeated values the least counts
