@@ -9,6 +9,7 @@ rank than that merge, so one pass over the ranks gives what merging each word by
 
 from __future__ import annotations
 
+import os
 import json
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
@@ -17,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,7 +150,8 @@ def encode(df: DataFrame, id_column: str, text_column: str, path: str = VOCABULA
 
     The vocabulary is byte-level, so every text has ids; none stands for a special token, whose
     spelling in a text is ordinary text. An empty and a null text give an empty list (0 tokens).
-    Repeated rows come out as often as they are there. ``path`` must be readable on all executors.
+    Repeated rows come out as often as they are there. The file at ``path`` is sent to the executors with
+    the job, unless they have it there themselves.
     One pass without a shuffle: each task encodes its own blocks of the corpus; a very long text is a
     block of its own. Other columns aren't read, so their names can't clash.
     """
@@ -158,10 +161,14 @@ def encode(df: DataFrame, id_column: str, text_column: str, path: str = VOCABULA
     last = T.StructField("n_tokens", T.LongType()) if counts_only else T.StructField("ids", T.ArrayType(T.IntegerType(), False))
     schema = T.StructType([*kept, last])
 
+    if os.path.exists(path):
+        df.sparkSession.sparkContext.addFile(path)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from reelsieve.operators.nested import arrow_schema
 
-        kinds, vocab, cut = arrow_schema(schema), vocabulary(path), regex.compile(pattern).findall
+        own_path = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+        kinds, vocab, cut = arrow_schema(schema), vocabulary(own_path), regex.compile(pattern).findall
         numbers, texts, held, size = _Numbers(), [], [], 0
 
         def finish() -> Iterator[pa.RecordBatch]:
