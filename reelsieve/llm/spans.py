@@ -134,26 +134,37 @@ def _anchors(length: int, gram: int):
     return run
 
 
+CONTEXT = "h bigint, n bigint, doc bigint, place bigint, run bigint, lead int, context string"
+
+
 def _contexts(length: int, gram: int):
-    """The text around each wanted anchor: up to length - gram characters on both sides."""
+    """The text around each wanted anchor: up to length - gram characters on both sides.
+
+    Where an anchor comes again within ``length`` characters with the same text around it, as in texts that
+    repeat a short pattern, it is no row of its own: ``run`` tells how far on the last such place is.
+    """
     side = length - gram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            out = [[], [], [], [], [], []]
-            for r in range(n):
+            out: list[list] = [[] for _ in range(7)]
+            for r in range(batch.num_rows):
                 doc, text, wanted = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(2)[r].as_py()
-                for w in wanted:
-                    p = w["place"]
+                before: dict[int, tuple[int, int]] = {}  # anchor -> its last row and place
+                for w in sorted(wanted, key=lambda w: w["place"]):
+                    h, p = w["h"], w["place"]
                     a = max(0, p - side)
-                    out[0].append(w["h"])
-                    out[1].append(doc)
-                    out[2].append(p)
-                    out[3].append(p - a)
-                    out[4].append(text[a : p + gram + side])
-                    out[5].append(w["n"])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[5], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.string())], names=["h", "n", "doc", "place", "lead", "context"])
+                    context = text[a : p + gram + side]
+                    at, last = before.get(h, (-1, 0))
+                    if at >= 0 and p - last <= length and out[6][at] == context:
+                        out[4][at] = p - out[3][at]
+                    else:
+                        at = len(out[0])
+                        for column, value in zip(out, (h, w["n"], doc, p, 0, p - a, context)):
+                            column.append(value)
+                    before[h] = (at, p)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["h", "n", "doc", "place", "run", "lead", "context"])
 
     return run
 
@@ -168,7 +179,7 @@ class Block:
     def __init__(self, rows: list[pa.RecordBatch], length: int):
         get = lambda name: np.concatenate([b.column(name).to_numpy(zero_copy_only=False) for b in rows])
         self.length = length
-        self.doc, self.place, self.lead = get("doc"), get("place"), get("lead").astype(np.int64)
+        self.doc, self.place, self.run, self.lead = get("doc"), get("place"), get("run"), get("lead").astype(np.int64)
         h = get("h") if "h" in rows[0].schema.names else np.zeros(len(self.doc), np.int64)
         self.group = np.cumsum(np.r_[False, h[1:] != h[:-1]])
         texts = [t for b in rows for t in b.column("context").to_pylist()]
@@ -241,8 +252,8 @@ class Block:
         return self.size[row] - (self.lead[row] - offset)
 
 
-FACTOR = "kind string, id bigint, doc bigint, start bigint, stop bigint, ref_doc bigint, ref_start bigint"
-_KINDS = pa.schema([("kind", pa.string()), *[(n, pa.int64()) for n in ("id", "doc", "start", "stop", "ref_doc", "ref_start")]])
+FACTOR = "kind string, id bigint, doc bigint, start bigint, stop bigint, run bigint, ref_doc bigint, ref_start bigint"
+_KINDS = pa.schema([("kind", pa.string()), *[(n, pa.int64()) for n in ("id", "doc", "start", "stop", "run", "ref_doc", "ref_start")]])
 
 
 def _shared_windows(block: Block, roll: Rolling):
@@ -264,9 +275,10 @@ def _shared_windows(block: Block, roll: Rolling):
 
 
 def parse(block: Block, roll: Rolling) -> pa.RecordBatch | None:
-    """Factors of the occurrences of whole anchors: (kind, id, doc, start, stop, ref_doc, ref_start).
+    """Factors of the occurrences of whole anchors: (kind, id, doc, start, stop, run, ref_doc, ref_start).
 
-    ``span`` rows: the greedy factors with the place they refer to. ``set`` rows: texts that refer to one
+    ``span`` rows: the greedy factors with the place they refer to; the same factor comes again, without a gap,
+    up to ``run`` characters further on. ``set`` rows: texts that refer to one
     reference window; equal sets have equal ids, whichever anchor they come from.
     """
     if not int(block.windows.sum()):
@@ -324,12 +336,12 @@ def parse(block: Block, roll: Rolling) -> pa.RecordBatch | None:
             good = found >= block.length
             y = t[good]
             begin_at = (block.place - block.lead)[x[good]] + cursor[x[good]]
-            parts.append(np.stack([block.doc[x[good]], begin_at, begin_at + found[good], block.doc[y], (block.place - block.lead)[y] + block.lead[y] - o[asking][good]], axis=1))
+            parts.append(np.stack([block.doc[x[good]], begin_at, begin_at + found[good], block.run[x[good]], block.doc[y], (block.place - block.lead)[y] + block.lead[y] - o[asking][good]], axis=1))
             # on from the first window that isn't wholly inside the factor; a literal moves one place
             step = np.where(good, np.maximum(1, found - block.length + 1), 1)
             later = np.minimum(cursor[x] + step, none - 1)
             cursor[x] = np.where(cursor[x] + step < none, ahead[x, later], none)
-    spans = np.concatenate(parts) if parts else np.zeros((0, 5), np.int64)
+    spans = np.concatenate(parts) if parts else np.zeros((0, 6), np.int64)
     zero = np.zeros(len(set_id), np.int64)
     return pa.RecordBatch.from_arrays(
         [
@@ -338,8 +350,9 @@ def parse(block: Block, roll: Rolling) -> pa.RecordBatch | None:
             pa.array(np.r_[set_doc, spans[:, 0]]),
             pa.array(np.r_[zero, spans[:, 1]]),
             pa.array(np.r_[zero, spans[:, 2]]),
-            pa.array(np.r_[ref_doc, spans[:, 3]]),
-            pa.array(np.r_[ref_start, spans[:, 4]]),
+            pa.array(np.r_[zero, spans[:, 3]]),
+            pa.array(np.r_[ref_doc, spans[:, 4]]),
+            pa.array(np.r_[ref_start, spans[:, 5]]),
         ],
         schema=_KINDS,
     )
@@ -401,7 +414,7 @@ def _factors(length: int):
 
 
 def _windows(length: int):
-    """(window, doc, place) rows of hot anchors, for the way without groups."""
+    """(window, doc, place, run) rows of hot anchors, for the way without groups."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Rolling()
@@ -409,7 +422,7 @@ def _windows(length: int):
             for i in range(0, batch.num_rows, 2000):
                 block = Block([batch.slice(i, 2000)], length)
                 key, row, at = block.hashed(roll)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(block.doc[row]), pa.array((block.place - block.lead)[row] + at)], names=["id", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(block.doc[row]), pa.array((block.place - block.lead)[row] + at), pa.array(block.run[row])], names=["id", "doc", "place", "run"])
 
     return run
 
@@ -432,14 +445,14 @@ def factors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_rows: i
     # the count combines before its shuffle: an anchor in a third of all texts is one row a task
     shared = anchors.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).where("least < most").select("h", "n")
     wanted = anchors.join(shared, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "place", "n")).alias("wanted"))
-    context = texts.join(wanted, "doc").mapInArrow(_contexts(length, gram), "h bigint, n bigint, doc bigint, place bigint, lead int, context string")
+    context = texts.join(wanted, "doc").mapInArrow(_contexts(length, gram), CONTEXT)
     cool = clustered(context.where(F.col("n") <= hot_rows).drop("n"), "h").mapInArrow(_factors(length), FACTOR)
     # a hot anchor is no group of any task: each of its windows refers to the least place that has it
-    hot = context.where(F.col("n") > hot_rows).drop("n", "h").mapInArrow(_windows(length), "id bigint, doc bigint, place bigint")
+    hot = context.where(F.col("n") > hot_rows).drop("n", "h").mapInArrow(_windows(length), "id bigint, doc bigint, place bigint, run bigint")
     both = hot.groupBy("id").agg(F.min(F.struct("doc", "place")).alias("least"), F.max(F.struct("doc", "place")).alias("most")).where("least.doc < most.doc")
     hot = hot.join(both, "id").withColumn("ref", F.when(F.col("least.doc") < F.col("doc"), F.col("least")).otherwise(F.col("most")))
     long = lambda c: F.col(c).cast("bigint") if isinstance(c, str) else F.lit(c).cast("bigint")
-    row = lambda kind, i, a, b: F.struct(F.lit(kind).alias("kind"), i.alias("id"), F.col("doc"), a.alias("start"), b.alias("stop"), F.col("ref.doc").alias("ref_doc"), F.col("ref.place").alias("ref_start"))
+    row = lambda kind, i, a, b: F.struct(F.lit(kind).alias("kind"), i.alias("id"), F.col("doc"), a.alias("start"), b.alias("stop"), F.col("run"), F.col("ref.doc").alias("ref_doc"), F.col("ref.place").alias("ref_start"))
     hot = hot.select(F.explode(F.array(row("set", F.col("id"), long(0), long(0)), row("span", long(0), F.col("place"), F.col("place") + length))).alias("x")).select("x.*")
     return cool.unionByName(hot)
 
@@ -476,7 +489,7 @@ def coverage(df: DataFrame, id_column: str, text_column: str, length: int = LENG
     docs = _documents(df, id_column, text_column, length)
     fp = docs.select("doc", F.md5("text").alias("fp")).distinct()
     copies = _classes(docs).where("n > 1").select("fp").join(fp, "fp").select("doc").distinct().withColumn("whole", F.lit(True))
-    spans = factors(docs, length, gram, hot_rows).where("kind = 'span'").select("doc", "start", "stop").distinct()
+    spans = factors(docs, length, gram, hot_rows).where("kind = 'span'").select("doc", "start", (F.col("stop") + F.col("run")).alias("stop")).distinct()
     before = Window.partitionBy("doc").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max("stop").over(before), F.lit(0))
     spans = spans.withColumn("reach", reach)

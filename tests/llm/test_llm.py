@@ -406,9 +406,24 @@ def test_factors_are_greedy_and_refer_to_equal_text(spark):
     assert {texts[r.ref_doc][r.ref_start : r.ref_start + 30] in texts[r.doc] for r in sets} == {True}
 
 
+@pytest.mark.parametrize("hot_rows", [20_000, 5])
+def test_texts_that_repeat_a_pattern(spark, hot_rows):
+    texts = [(1, "ab" * 300), (2, "xyz" + "ab" * 40 + "q" * 100 + "ab" * 30), (3, "c" * 700 + "d" + "c" * 31), (4, "c" * 45), (5, ("word " * 9 + ".") * 12), (6, "word " * 9 + ". other")]
+    t = spark.createDataFrame(texts, "id bigint, text string")
+    want, windows = _pairs(texts, 30)
+    assert {tuple(r) for r in spans.shared_pairs(t, "id", "text", 30, 12, hot_rows).collect()} == want
+    cover = {r.doc: r.shared_chars for r in spans.coverage(t, "id", "text", 30, 12, hot_rows).collect()}
+    for i, x in texts:
+        inside = set()
+        for k in range(len(x) - 29):
+            if len(windows[x[k : k + 30]]) > 1:
+                inside |= set(range(k, k + 30))
+        assert cover[i] == len(inside), i
+
+
 def test_longest_match_of_a_block():
     texts = [(1, "abcdefgh12345678zz"), (2, "xxcdefgh12345678zzq"), (2, "xxxdefgh1234567yyyy"), (3, "abcdefgh1234WWWW")]
-    batch = pa.RecordBatch.from_pydict({"h": [7] * 4, "doc": [d for d, _ in texts], "place": [4] * 4, "lead": pa.array([4] * 4, pa.int32()), "context": [t for _, t in texts]})
+    batch = pa.RecordBatch.from_pydict({"h": [7] * 4, "doc": [d for d, _ in texts], "place": [4] * 4, "run": [0] * 4, "lead": pa.array([4] * 4, pa.int32()), "context": [t for _, t in texts]})
     found = spans.parse(spans.Block([batch], 8), spans.Rolling())
     got = {tuple(r[k] for k in ("doc", "start", "stop", "ref_doc", "ref_start")) for r in found.to_pylist() if r["kind"] == "span"}
     # text 1 from its first window with text 3; the window from 5 on, at the boundary, holds another anchor
