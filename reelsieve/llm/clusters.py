@@ -4,6 +4,7 @@
    to; within a cell, blocks of rows are compared with blocks of rows and each row is linked to the
    least row of its cell it is connected to by pairs at or above the threshold. That is one link a row
    and cell (a row and pair of blocks, where a cell is cut into blocks), never all pairs.
+   Of a cell that is cut, the rows like its leader are linked to it without being compared with each other.
 2. Components of that graph. Average linkage at a threshold never merges across them: an average of
    pairs at or above it needs one pair that is.
 3. Linkage. Equal vectors are one weighted row from the start (their cosine is the largest there is, so
@@ -103,25 +104,78 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _paired_cells(count: int, width: int, seed: int, probes: int, blocks: np.ndarray):
-    """(cell, i, j, lower, id, rounded vector): each row of a cell once for every pair of its block with a block.
+class Hot:
+    """What the tasks know of the cells that are cut: a leader row each, and blocks by distance from it.
 
-    ``blocks`` holds the number of blocks of each cell; ``lower``: the row's block is i. A cell of one
-    block has the pair (0, 0) only.
+    ``blocks``: blocks of the rows unlike the leader; ``star``: (blocks of rows like it) by band of their
+    angle. At most one leader a cell; cells that aren't cut have none.
+    """
+
+    def __init__(self, threshold: float):
+        self.angle = math.degrees(math.acos(max(-1.0, min(1.0, threshold))))
+        self.threshold = threshold
+        self.leader: dict[int, tuple[int, np.ndarray]] = {}
+        self.blocks: dict[int, int] = {}
+        self.star: dict[int, dict[int, int]] = {}
+
+    def angles(self, cell: int, v: np.ndarray) -> np.ndarray:
+        """Angles to the cell's leader of rounded vectors, in degrees."""
+        u = v.astype(np.float32)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        return np.degrees(np.arccos(np.clip(u @ self.leader[cell][1], -1, 1)))
+
+
+#: Width of a band of angles, in degrees, and what rounding may add to an angle.
+BAND, SLACK = 4.0, 1.5
+
+
+def _paired_cells(count: int, width: int, seed: int, probes: int, hot: Hot):
+    """(cell, i, j, lower, id, rounded vector): the groups in which rows of a cell are compared.
+
+    A cell that isn't cut is the group (0, 0). In a cut one the rows like the leader are linked to it
+    and need no comparison with each other: each goes to one block of its band (-1 - band, block). The
+    others go once to every pair of their block with a block of others (i <= j; ``lower``: the row's block
+    is i), and to the blocks of those bands that can hold a row like them (``lower``).
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _cells(count, width, seed, probes)(batches):
-            of = blocks[batch.column(0).to_numpy()]
-            mine = (_mixed(batch.column(1).to_numpy()) % of.astype(np.uint64)).astype(np.int64)
-            step = max(1, SENT_ROWS // int(of.max(initial=1)))
-            for a in range(0, len(of), step):
-                n, m = of[a : a + step], mine[a : a + step]
-                take = np.repeat(np.arange(len(n)), n)
-                other = np.arange(len(take)) - np.repeat(np.cumsum(n) - n, n)
-                part, m = batch.slice(a, step).take(pa.array(take)), m[take]
-                i, j = np.minimum(m, other).astype(np.int32), np.maximum(m, other).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(i), pa.array(j), pa.array(m <= other), part.column(1), part.column(2)], names=["cell", "i", "j", "lower", "id", "v"])
+            cell = batch.column(0).to_numpy()
+            cut_ = np.isin(cell, list(hot.leader)) if hot.leader else np.zeros(len(cell), bool)
+            n = int((~cut_).sum())
+            if n:
+                whole = batch.filter(pa.array(~cut_))
+                zero = pa.array(np.zeros(n, np.int32))
+                yield pa.RecordBatch.from_arrays([whole.column(0), zero, zero, pa.array(np.ones(n, bool)), whole.column(1), whole.column(2)], names=["cell", "i", "j", "lower", "id", "v"])
+            for c in np.unique(cell[cut_]).tolist():
+                rows = batch.filter(pa.array(cell == c))
+                ids = rows.column(1).to_numpy()
+                far = hot.angles(c, np.frombuffer(b"".join(rows.column(2).to_pylist()), np.int8).reshape(-1, width))
+                mixed, star = _mixed(ids), hot.star[c]
+                like = far <= hot.angle
+                take, i, j, lower = [], [], [], []
+
+                def add(at, first, second, low):
+                    take.append(at), i.append(np.broadcast_to(first, at.shape)), j.append(np.broadcast_to(second, at.shape)), lower.append(np.broadcast_to(low, at.shape))
+
+                band = (far / BAND).astype(np.int64)
+                for b, m in star.items():
+                    at = np.flatnonzero(like & (np.minimum(band, max(star)) == b))
+                    add(at, -1 - b, (mixed[at] % np.uint64(m)).astype(np.int64), False)
+                    top = 180.0 if b == max(star) else (b + 1) * BAND
+                    near = np.flatnonzero(~like & (far <= top + hot.angle + SLACK))
+                    for k in range(m):
+                        add(near, -1 - b, k, True)
+                rest = np.flatnonzero(~like)
+                blocks = hot.blocks[c]
+                mine = (mixed[rest] % np.uint64(blocks)).astype(np.int64)
+                for k in range(blocks):
+                    add(rest, np.minimum(mine, k), np.maximum(mine, k), mine <= k)
+                at = np.concatenate(take)
+                columns = [np.concatenate(x) for x in (i, j, lower)]
+                for b in range(0, len(at), SENT_ROWS):
+                    part = rows.take(pa.array(at[b : b + SENT_ROWS]))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(columns[0][b : b + SENT_ROWS].astype(np.int32)), pa.array(columns[1][b : b + SENT_ROWS].astype(np.int32)), pa.array(columns[2][b : b + SENT_ROWS]), part.column(1), part.column(2)], names=["cell", "i", "j", "lower", "id", "v"])
 
     return run
 
@@ -222,21 +276,24 @@ def _joined(held: list[pa.RecordBatch], i: int) -> pa.Array:
     return held[0].column(i) if len(held) == 1 else pa.concat_arrays([h.column(i) for h in held])
 
 
-def _link_cells(width: int, threshold: float):
+def _link_cells(width: int, threshold: float, hot: Hot):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in sorted_groups(batches, 3):
+            cell, i, j = (held[0].column(k)[0].as_py() for k in range(3))
             ids = _joined(held, 4).to_numpy(zero_copy_only=False)
-            if len(ids) < 2:
-                continue
-            u = np.frombuffer(b"".join(_joined(held, 5).to_pylist()), np.int8).reshape(-1, width).astype(np.float32)
-            u /= np.linalg.norm(u, axis=1, keepdims=True)
-            order = np.argsort(ids, kind="stable")
-            if held[0].column(1)[0] == held[0].column(2)[0]:
-                a, b = links_within(ids[order], u[order], threshold - ROUNDED)
-            else:
-                a, b = links_across(ids[order], u[order], _joined(held, 3).to_numpy(zero_copy_only=False)[order], threshold - ROUNDED)
+            lower = _joined(held, 3).to_numpy(zero_copy_only=False)
+            found = []
+            if i < 0:
+                star = ids[~lower]
+                found.append((star, np.full(len(star), hot.leader[cell][0])))
+            if len(ids) > 1 and (i >= 0 or (lower.any() and not lower.all())):
+                u = np.frombuffer(b"".join(_joined(held, 5).to_pylist()), np.int8).reshape(-1, width).astype(np.float32)
+                u /= np.linalg.norm(u, axis=1, keepdims=True)
+                order = np.argsort(ids, kind="stable")
+                found.append(links_within(ids[order], u[order], threshold - ROUNDED) if i == j else links_across(ids[order], u[order], lower[order], threshold - ROUNDED))
+            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(2))
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), held[0].column(0)[0].as_py(), np.int32)), pa.array(a), pa.array(b)], names=["cell", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), cell, np.int32)), pa.array(a), pa.array(b)], names=["cell", "a", "b"])
 
     return run
 
@@ -619,35 +676,100 @@ def pivot_count(rows: int) -> int:
 
 
 def sparse_links(df: DataFrame, id_column: str, vector_column: str, threshold: float = THRESHOLD, width: int = 64, seed: int = 7, probes: int = PROBES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b) with a > b: links that connect, cell by cell, what is connected by alike pairs.
+    """(a, b): links that connect, cell by cell, what is connected by alike pairs.
 
-    A cell with more rows than ``block_rows`` is cut into blocks by a hash; every block of such a cell
-    is compared with every other and with itself, each pair in a group of its own.
+    A cell with more rows than ``block_rows`` is cut. One of its rows, the leader, is compared with all:
+    those like it are linked to it, so a hot group of like rows costs its size, not its square. Only the
+    others are compared with each other, block by block, and with those near enough to be like them.
     """
     rows = df.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{vector_column}`").alias("v"))
     n = df.count()
     count = pivot_count(n)
-    blocks = np.ones(count, np.int64)
-    if n > block_rows:
-        # one aggregate row a cell, at most MOST_PIVOTS of them. The number of blocks only spreads the work:
-        # whatever it is, all pairs of a cell are compared, so it may come from a sample of bounded size.
-        share = min(1.0, SAMPLE_ROWS / n)
-        some = rows if share == 1.0 else rows.sample(share, seed)
-        sizes = some.mapInArrow(_cells_only(count, width, seed, probes), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-        for r in sizes.where(F.col("n") / share > block_rows).collect():
-            blocks[r["cell"]] = math.ceil(r["n"] / share / block_rows)
-    cells = rows.mapInArrow(_paired_cells(count, width, seed, probes, blocks), "cell int, i int, j int, lower boolean, id bigint, v binary")
-    links = clustered(cells, "cell", "i", "j").mapInArrow(_link_cells(width, threshold), "cell int, a bigint, b bigint")
-    return links.select("a", "b").distinct()
+    hot = hot_cells(rows, n, count, width, seed, probes, threshold, block_rows) if n > block_rows else Hot(threshold)
+    cells = rows.mapInArrow(_paired_cells(count, width, seed, probes, hot), "cell int, i int, j int, lower boolean, id bigint, v binary")
+    links = clustered(cells, "cell", "i", "j").mapInArrow(_link_cells(width, threshold, hot), "cell int, a bigint, b bigint")
+    return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def hot_cells(rows: DataFrame, n: int, count: int, width: int, seed: int, probes: int, threshold: float, block_rows: int) -> Hot:
+    """The cells that are cut, from a sample of at most about SAMPLE_ROWS rows.
+
+    Whatever comes out only spreads the work: with any leader and any number of blocks the same rows end up
+    connected. The driver sees sums of one row a cell, at most MOST_PIVOTS of them.
+    """
+    hot = Hot(threshold)
+    share = min(1.0, SAMPLE_ROWS / n)
+    some = rows if share == 1.0 else rows.sample(share, seed)
+    parts = some.mapInArrow(_cells_only(count, width, seed, probes), "cell int, n bigint, total binary")
+    sizes = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.collect_list("total").alias("totals"))
+    wanted = {r["cell"]: np.sum([np.frombuffer(t) for t in r["totals"]], axis=0) for r in sizes.where(F.col("n") / share > block_rows).collect()}
+    if not wanted:
+        return hot
+    best = some.mapInArrow(_nearest(count, width, seed, probes, wanted), "cell int, id bigint, v binary, far double")
+    for r in best.groupBy("cell").agg(F.min_by(F.struct("id", "v"), F.struct("far", "id")).alias("r")).collect():
+        v = np.frombuffer(r["r"]["v"], np.int8).astype(np.float32)
+        hot.leader[r["cell"]] = (r["r"]["id"], v / np.linalg.norm(v))
+    found = some.mapInArrow(_bands(count, width, seed, probes, hot), "cell int, band int, n bigint").groupBy("cell", "band").agg(F.sum("n").alias("n")).collect()
+    blocks = lambda k: max(1, math.ceil(k / share / block_rows))
+    for c in hot.leader:
+        own = {r["band"]: r["n"] for r in found if r["cell"] == c}
+        hot.blocks[c] = blocks(own.pop(-1, 0))
+        hot.star[c] = {b: blocks(own.get(b, 0)) for b in range(int(hot.angle / BAND) + 1)}
+    return hot
+
+
+def _cells_of(batches: Iterable[pa.RecordBatch], count: int, width: int, seed: int, probes: int, wanted) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """(cell, rows, rounded vectors) of the rows in some cells."""
+    for b in _cells(count, width, seed, probes)(batches):
+        cell = b.column(0).to_numpy()
+        for c in np.intersect1d(cell, list(wanted)).tolist():
+            rows = b.filter(pa.array(cell == c))
+            yield c, rows, np.frombuffer(b"".join(rows.column(2).to_pylist()), np.int8).reshape(-1, width)
+
+
+def _nearest(count: int, width: int, seed: int, probes: int, wanted: dict[int, np.ndarray]):
+    """A task's row nearest to each cell's mean."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[float, int, bytes]] = {}
+        for c, rows, v in _cells_of(batches, count, width, seed, probes, wanted):
+            u = v / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+            at = int((u @ wanted[c]).argmax())
+            one = (-float(u[at] @ wanted[c]), rows.column(1)[at].as_py(), v[at].tobytes())
+            best[c] = min(best.get(c, one), one)
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([x[1] for x in best.values()], pa.int64()), pa.array([x[2] for x in best.values()], pa.binary()), pa.array([x[0] for x in best.values()], pa.float64())], names=["cell", "id", "v", "far"])
+
+    return run
+
+
+def _bands(count: int, width: int, seed: int, probes: int, hot: Hot):
+    """A task's rows of each cut cell by band of their angle to the leader; -1 for those unlike it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], int] = {}
+        for c, _, v in _cells_of(batches, count, width, seed, probes, hot.leader):
+            far = hot.angles(c, v)
+            for b, k in zip(*np.unique(np.where(far <= hot.angle, (far / BAND).astype(np.int64), -1), return_counts=True)):
+                seen[c, int(b)] = seen.get((c, int(b)), 0) + int(k)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in seen], pa.int32()), pa.array([b for _, b in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["cell", "band", "n"])
+
+    return run
 
 
 def _cells_only(count: int, width: int, seed: int, probes: int):
+    """(cell, n, sum of its vectors) of a task's rows."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(count, np.int64)
+        n, total = np.zeros(count, np.int64), np.zeros((count, width))
         for b in _cells(count, width, seed, probes)(batches):
-            total += np.bincount(b.column(0).to_numpy(), minlength=count)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+            cell = b.column(0).to_numpy()
+            v = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int8).reshape(-1, width).astype(np.float64)
+            n += np.bincount(cell, minlength=count)
+            np.add.at(total, cell, v / np.linalg.norm(v, axis=1, keepdims=True))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), _pack(total[at]) if len(at) else pa.array([], pa.binary())], names=["cell", "n", "total"])
 
     return run
 

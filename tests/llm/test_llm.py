@@ -190,6 +190,38 @@ def test_recall_of_cut_cells(spark):
     assert len(pairs) > 1000 and kept / len(pairs) >= 0.99
 
 
+def test_hot_groups_are_linked_to_a_leader(spark):
+    # a third of all rows alike, some at the edge of being so, some further out, and others
+    rng = np.random.default_rng(9)
+    c = np.zeros(64)
+    c[0] = 1
+
+    def at(deg, n):
+        x = rng.standard_normal((n, 64))
+        x[:, 0] = 0
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return math.cos(math.radians(deg)) * c + math.sin(math.radians(deg)) * x
+
+    u = np.concatenate([at(2, 900), at(12, 150), at(29, 40), at(33, 40), at(36, 40), at(45, 40), at(70, 40), rng.standard_normal((1400, 64))])
+    near = [u[1090 + k] + 0.05 * rng.standard_normal(64) for k in range(100)]  # like the ones further out
+    u = np.concatenate([u, near])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    ids = rng.permutation(len(u))
+    t = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, u)], "id bigint, v array<double>").cache()
+    # 8 pivots, all probed: every cell holds all rows
+    links = clusters.sparse_links(t, "id", "v", probes=8, block_rows=200)
+    hot = clusters.hot_cells(t, len(u), 8, 64, 7, 8, 0.85, 200)
+    assert len(hot.leader) == 8 and all(sum(x.values()) >= 5 for x in hot.star.values())
+    comp = {r.node: r.component for r in components.connected_components(links, "a", "b").collect()}
+    pairs = [(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(u @ u.T >= 0.85)) if i < j]
+    assert all(comp.get(a, a) == comp.get(b, -1 - b) for a, b in pairs)
+    # and nothing is connected that isn't, but for the rounding
+    loose = components.connected_components(spark.createDataFrame([(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(u @ u.T >= 0.85 - 2 * clusters.ROUNDED)) if i < j], "a bigint, b bigint"), "a", "b")
+    loose = {r.node: r.component for r in loose.collect()}
+    assert all(loose.get(r.a) == loose.get(r.b) for r in links.collect())
+    assert links.count() < 20 * len(u)
+
+
 # ---- 4 top N
 
 
