@@ -700,11 +700,12 @@ def hot_cells(rows: DataFrame, n: int, count: int, width: int, seed: int, probes
     hot = Hot(threshold)
     share = min(1.0, SAMPLE_ROWS / n)
     some = rows if share == 1.0 else rows.sample(share, seed)
-    parts = some.mapInArrow(_cells_only(count, width, seed, probes), "cell int, n bigint, total binary")
-    sizes = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.collect_list("total").alias("totals"))
-    wanted = {r["cell"]: np.sum([np.frombuffer(t) for t in r["totals"]], axis=0) for r in sizes.where(F.col("n") / share > block_rows).collect()}
-    if not wanted:
+    sizes = some.mapInArrow(_cells_only(count, width, seed, probes), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    cut_ = [r["cell"] for r in sizes.where(F.col("n") / share > block_rows).collect()]
+    if not cut_:
         return hot
+    sums = sum_vectors(some.mapInArrow(_sums_of(count, width, seed, probes, cut_), "key bigint, v binary, size double"), width)
+    wanted = {r["key"]: np.frombuffer(r["total"]) for r in sums.collect()}
     best = some.mapInArrow(_nearest(count, width, seed, probes, wanted), "cell int, id bigint, v binary, far double")
     for r in best.groupBy("cell").agg(F.min_by(F.struct("id", "v"), F.struct("far", "id")).alias("r")).collect():
         v = np.frombuffer(r["r"]["v"], np.int8).astype(np.float32)
@@ -759,17 +760,25 @@ def _bands(count: int, width: int, seed: int, probes: int, hot: Hot):
 
 
 def _cells_only(count: int, width: int, seed: int, probes: int):
-    """(cell, n, sum of its vectors) of a task's rows."""
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = np.zeros(count, np.int64), np.zeros((count, width))
+        total = np.zeros(count, np.int64)
         for b in _cells(count, width, seed, probes)(batches):
-            cell = b.column(0).to_numpy()
-            v = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int8).reshape(-1, width).astype(np.float64)
-            n += np.bincount(cell, minlength=count)
-            np.add.at(total, cell, v / np.linalg.norm(v, axis=1, keepdims=True))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), _pack(total[at]) if len(at) else pa.array([], pa.binary())], names=["cell", "n", "total"])
+            total += np.bincount(b.column(0).to_numpy(), minlength=count)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
+    return run
+
+
+def _sums_of(count: int, width: int, seed: int, probes: int, wanted: list[int]):
+    """(cell, sum of its unit vectors, 1) of a task's rows in some cells."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for c, _, v in _cells_of(batches, count, width, seed, probes, wanted):
+            total[c] = total.get(c, 0) + (v / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)).sum(axis=0)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), _pack(np.stack(list(total.values()))), pa.array(np.ones(len(total)))], names=["key", "v", "size"])
 
     return run
 
