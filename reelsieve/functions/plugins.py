@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import shutil
+import subprocess
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -71,8 +73,10 @@ def mean_difference(kept: np.ndarray, row: np.ndarray) -> np.ndarray:
 EMBEDDERS: dict[str, Callable[[], Callable]] = {"hashed": HashedVectors}
 DISTANCES: dict[str, Callable] = {"mean_difference": mean_difference}
 SOUND_MODELS: dict[str, Callable[[], Callable]] = {}
-SAMPLERS: dict[str, Callable] = {}
-DEDUPLICATORS: dict[str, Callable] = {}
+#: Take the path of a video and give (samples, rate); feature detectors take (height, width, pixels) and give a dict.
+SOUND_EXTRACTORS: dict[str, Callable] = {}
+FEATURES: dict[str, Callable[[], Callable]] = {}
+NO_FEATURES = {"has_text": False, "has_face": False, "text_density": "low"}
 
 
 def named(registry: dict[str, Callable], name: str, what: str) -> Callable:
@@ -120,6 +124,55 @@ def from_sound(df: DataFrame, key: str, samples: str, rate: str, model: str, sch
     return df.select(key, samples, rate).mapInArrow(run, out)
 
 
+def ffmpeg_sound(path: str, rate: int = 16_000) -> tuple[list[float], int] | None:
+    """The sound of a video as one channel of samples, by the ffmpeg program where there is one; None on any failure."""
+    program = shutil.which("ffmpeg")
+    if program is None:
+        return None
+    done = subprocess.run([program, "-v", "error", "-i", path, "-vn", "-ac", "1", "-ar", str(rate), "-f", "s16le", "-"], capture_output=True, timeout=600)
+    return (np.frombuffer(done.stdout, "<i2") / 32768).tolist() if done.returncode == 0 else None, rate
+
+
+SOUND_EXTRACTORS["ffmpeg"] = ffmpeg_sound
+
+
+def sound_of(df: DataFrame, key: str, path: str, extractor: str = "ffmpeg") -> DataFrame:
+    """(key, samples, rate) of videos by their paths; a video without sound, or whose sound can't be read, has nulls."""
+    take = named(SOUND_EXTRACTORS, extractor, "extractor")
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for p in b.column(1).to_pylist():
+                try:
+                    found.append((take(p) if p is not None else None) or (None, None))
+                except Exception:
+                    found.append((None, None))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.list_(pa.float32())), pa.array([r for _, r in found], pa.int32())], names=[key, "samples", "rate"])
+
+    return df.select(key, path).mapInArrow(run, f"{key} {kind}, samples array<float>, rate int")
+
+
+def detect_features(df: DataFrame, key: str, height: str, width: str, pixels: str, model: str) -> DataFrame:
+    """(key, has_text, has_face, text_density) of frames, by a model made once a partition; what fails has the defaults."""
+    make = named(FEATURES, model, "feature detector")
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for b in batches:
+            found = []
+            for h, w, p in zip(*[c.to_pylist() for c in b.columns[1:]]):
+                try:
+                    found.append(NO_FEATURES | of(h, w, p))
+                except Exception:
+                    found.append(NO_FEATURES)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([f[n] for f in found], k) for n, k in (("has_text", pa.bool_()), ("has_face", pa.bool_()), ("text_density", pa.string()))]], names=[key, *NO_FEATURES])
+
+    return df.select(key, height, width, pixels).mapInArrow(run, f"{key} {kind}, has_text boolean, has_face boolean, text_density string")
+
+
 def should_retry(error: Exception) -> bool:
     text = str(error).lower()
     return isinstance(error, (ConnectionError, TimeoutError, OSError)) or any(x in text for x in ("429", "500", "502", "503", "504", "rate limit", "overloaded", "timeout"))

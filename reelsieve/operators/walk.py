@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelsieve.functions.plugins import mean_difference
+from reelsieve.functions.plugins import mean_difference, named
 
 
 def stretches(batch: pa.RecordBatch, keys: int) -> list[tuple[tuple, int, int]]:
@@ -244,6 +244,14 @@ class BoxesKept(Kept):
         return np.maximum(0, high - low).prod(axis=1) / max(row[2] * row[3], 1e-300) > self.share
 
 
+#: Greedy deduplicators by name, each a state of a walk.
+DEDUPLICATORS: dict[str, Callable[..., object]] = {"hash": VotesKept, "structure": AlikeKept, "distance": NearKept, "cosine": UnlikeKept}
+
+
+def deduplicator(name: str) -> Callable[..., object]:
+    return named(DEDUPLICATORS, name, "deduplicator")
+
+
 class Chain:
     """Stages one after another, each over what the one before kept: how many of them a row passed."""
 

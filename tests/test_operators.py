@@ -13,7 +13,7 @@ from reelsieve.functions import expr as X
 from reelsieve.functions import kernels, plugins
 from reelsieve.operators.group_models import farthest_points, intrinsic_dimension, select_hybrid
 from reelsieve.operators.joins import first_match, range_join
-from reelsieve.operators.walk import AlikeKept, Apart, Chain, Changed, Suppress, UnlikeKept, walk
+from reelsieve.operators.walk import AlikeKept, Apart, Chain, Changed, Suppress, UnlikeKept, deduplicator, walk
 from reelsieve.sources import files
 from reelsieve.streaming import gates
 
@@ -205,6 +205,16 @@ def test_models_by_name(spark):
     plugins.SOUND_MODELS["loud"] = lambda: lambda x, r: {"bpm": max(x) * r}
     s = spark.createDataFrame([(1, [1.0, 2.0], 10), (2, None, 10)], "id int, x array<double>, rate int")
     assert {r.id: r.bpm for r in plugins.from_sound(s, "id", "x", "rate", "loud", "bpm double").collect()} == {1: 20.0, 2: None}
+    plugins.SOUND_EXTRACTORS["two"] = lambda p: ([0.5, 1.0], 8000) if p == "ok" else 1 / 0
+    v = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, None)], "id int, p string")
+    assert {r.id: (r.samples, r.rate) for r in plugins.sound_of(v, "id", "p", "two").collect()} == {1: ([0.5, 1.0], 8000), 2: (None, None), 3: (None, None)}
+    assert plugins.sound_of(v, "id", "p").where("samples is null").count() == 3
+    plugins.FEATURES["tall"] = lambda: lambda h, w, p: {"has_text": h > w, "has_face": p[0] > 0}
+    f = spark.createDataFrame([(1, 3, 2, b"1"), (2, 1, 2, None)], "id int, h int, w int, p binary")
+    assert {tuple(r) for r in plugins.detect_features(f, "id", "h", "w", "p", "tall").collect()} == {(1, True, True, "low"), (2, False, False, "low")}
+    assert deduplicator("cosine") is UnlikeKept
+    with pytest.raises(ValueError):
+        deduplicator("none")
     counts = files.result_counts(spark.createDataFrame([(1, None), (2, "x")], "id int, error string")).first()
     assert (counts.total, counts.succeeded, counts.failed) == (2, 1, 1)
 
