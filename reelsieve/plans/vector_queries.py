@@ -137,7 +137,15 @@ def e4_c10_cosine_dedup(spark: SparkSession, d: str) -> DataFrame:
     return walk(_k(spark, d), ["label"], _IN_TIME(), lambda: UnlikeKept(0.9), ["vec_id"], v=F.col("v"))
 
 
-@query()
+_CELLS = "[" + ", ".join("[" + ", ".join(str((r + i) * 8 + c + j + 1) for i in range(7) for j in range(7)) + "]" for r in (0, 1) for c in (0, 1)) + "]"
+_SSIM = "list_sum(list_transform(range(1, 5), lambda w: ((2 * k.m[w] * o.m[w] + 0.0001::DOUBLE) * (2 * 49 / 48.0::DOUBLE * (list_sum(list_transform(cells[w], lambda i: k.v[i] * o.v[i])) / 49 - k.m[w] * o.m[w]) + 0.0009::DOUBLE)) / ((k.m[w] * k.m[w] + o.m[w] * o.m[w] + 0.0001::DOUBLE) * (k.q[w] + o.q[w] + 0.0009::DOUBLE)))) / 4 > 0.92"
+
+
+@query(f"""WITH RECURSIVE {K}, g AS (SELECT *, {_CELLS} AS cells FROM e), h0 AS (SELECT *, list_transform(cells, lambda c: list_sum(list_transform(c, lambda i: v[i])) / 49) AS m FROM g),
+    h AS (SELECT *, list_transform(range(1, 5), lambda w: 49 / 48.0::DOUBLE * (list_sum(list_transform(cells[w], lambda i: v[i] * v[i])) / 49 - m[w] * m[w])) AS q, row_number() OVER (PARTITION BY label ORDER BY ts, vec_id) AS rn FROM h0),
+    r AS (SELECT label, vec_id, rn, [{{'v': v, 'm': m, 'q': q}}] AS ks, true AS kept FROM h WHERE rn = 1 UNION ALL
+    SELECT o.label, o.vec_id, o.rn, CASE WHEN z THEN list_append(r.ks, {{'v': o.v, 'm': o.m, 'q': o.q}}) ELSE r.ks END, z FROM r JOIN h o ON o.label = r.label AND o.rn = r.rn + 1, LATERAL (SELECT len(list_filter(r.ks, lambda k: {_SSIM.replace("cells[w]", "o.cells[w]")})) = 0 AS z))
+    SELECT label, vec_id FROM r WHERE kept""")
 def e5_structural_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Greedy deduplication by structural similarity, the vector as a grid of 8 by 8."""
     return walk(_k(spark, d), ["label"], _IN_TIME(), lambda: AlikeKept(0.92, 8, 1.0), ["vec_id"], v=F.col("v"))
@@ -178,7 +186,18 @@ def e17_w9_intrinsic_dimension(spark: SparkSession, d: str) -> DataFrame:
     return intrinsic_dimension(_e(spark, d), "label", "v")
 
 
-@query()
+_GAP = "round(list_sum(list_transform(range(1, 65), lambda i: (v[i] - y[i]) * (v[i] - y[i]))), 12)"
+
+
+@query(f"""WITH RECURSIVE {E}, kk AS (SELECT label, greatest(5, least(20, count(*) // 3)) AS k FROM e GROUP BY 1),
+    r AS (SELECT label, 0 AS rank, min(vec_id) AS vec_id, [arg_min(v, vec_id)] AS cs FROM e GROUP BY label UNION ALL
+    SELECT label, rank + 1, arg_min(vec_id, (-near, vec_id)), list_append(any_value(cs), arg_min(v, (-near, vec_id))) FROM (SELECT e.label, e.vec_id, e.v, r.rank, r.cs, list_min(list_transform(r.cs, lambda y: round(1 - list_cosine_similarity(e.v, y), 9))) AS near FROM r JOIN e ON e.label = r.label JOIN kk ON kk.label = r.label WHERE r.rank + 1 < k)
+    WHERE near > 0 GROUP BY label, rank),
+    l AS (SELECT label, 0 AS turn, arg_max(cs, rank) AS cs FROM r GROUP BY label UNION ALL
+    SELECT label, turn + 1, list(c ORDER BY cluster) FROM (SELECT label, turn, cluster, list(m ORDER BY pos) AS c FROM (SELECT label, turn, cluster, pos, avg(x) AS m FROM (SELECT label, turn, list_position(d, list_min(d)) AS cluster, unnest(range(1, 65)) AS pos, unnest(v) AS x
+      FROM (SELECT l.label, l.turn, e.v, list_transform(l.cs, lambda y: {_GAP}) AS d FROM l JOIN e ON e.label = l.label WHERE l.turn < 10)) GROUP BY ALL) GROUP BY ALL) GROUP BY label, turn),
+    f AS (SELECT e.label, e.vec_id, list_transform(l.cs, lambda y: {_GAP}) AS d FROM l JOIN e ON e.label = l.label WHERE l.turn = 10)
+    SELECT label, arg_min(vec_id, (round(sqrt(list_min(d)), 9), vec_id)) AS vec_id, (list_position(d, list_min(d)) - 1)::INT AS cluster FROM f GROUP BY label, list_position(d, list_min(d))""")
 def e21_kmeans_picks(spark: SparkSession, d: str) -> DataFrame:
     """The row nearest to each centre of k-means within a label: one cluster for three rows, five to twenty."""
     e = _e(spark, d)
