@@ -185,13 +185,34 @@ def e17_information_budget(spark: SparkSession, d: str) -> DataFrame:
     return found.select("video_id", "budget", "dimension", F.round("mean_step", 6).alias("mean_step"), F.round("mean_importance", 6).alias("mean_importance"))
 
 
-@query()
+_GAP = "round(list_sum(list_transform(range(1, 65), lambda i: (v[i] - y[i]) * (v[i] - y[i]))), 12)"
+#: Labels of the rows ``x`` (label, vec_id, v, k): fr (label, vec_id, cluster, far).
+_LABELS = f"""r0 AS (SELECT label, 0 AS rank, min(vec_id) AS vec_id, [arg_min(v, vec_id)] AS cs FROM x GROUP BY label UNION ALL
+    SELECT label, rank + 1, arg_min(vec_id, (-near, vec_id)), list_append(any_value(cs), arg_min(v, (-near, vec_id))) FROM (SELECT x.label, x.vec_id, x.v, r0.rank, r0.cs, list_min(list_transform(r0.cs, lambda y: round(1 - list_cosine_similarity(x.v, y), 9))) AS near FROM r0 JOIN x ON x.label = r0.label WHERE r0.rank + 1 < x.k)
+    WHERE near > 0 GROUP BY label, rank),
+    l0 AS (SELECT label, 0 AS turn, arg_max(cs, rank) AS cs FROM r0 GROUP BY label UNION ALL
+    SELECT label, turn + 1, list(c ORDER BY cluster) FROM (SELECT label, turn, cluster, list(m ORDER BY pos) AS c FROM (SELECT label, turn, cluster, pos, avg(z) AS m FROM (SELECT label, turn, list_position(d, list_min(d)) AS cluster, unnest(range(1, 65)) AS pos, unnest(v) AS z
+      FROM (SELECT l0.label, l0.turn, x.v, list_transform(l0.cs, lambda y: {_GAP}) AS d FROM l0 JOIN x ON x.label = l0.label WHERE l0.turn < 10)) GROUP BY ALL) GROUP BY ALL) GROUP BY label, turn),
+    fr AS (SELECT label, vec_id, list_position(d, list_min(d)) AS cluster, sqrt(list_min(d)) AS far FROM (SELECT x.label, x.vec_id, list_transform(l0.cs, lambda y: {_GAP}) AS d FROM l0 JOIN x ON x.label = l0.label WHERE l0.turn = 10))"""
+_ONE = "SELECT video_id, arg_min(scene, (scene, candidate_id)) AS scene, arg_min(candidate_id, (scene, candidate_id)) AS candidate_id FROM u1 GROUP BY video_id, ts"
+
+
+@query(f"""WITH RECURSIVE {_ALLOCATED}, rg AS (SELECT *, count(*) OVER (PARTITION BY video_id, scene) AS m, n - (SELECT count(*) FROM al y WHERE y.video_id = al.video_id AND y.scene = al.scene AND y.forced) AS slots FROM al WHERE NOT forced AND NOT whole),
+    x AS (SELECT concat(video_id, '/', scene) AS label, candidate_id AS vec_id, e AS v, least(slots, m)::BIGINT AS k, imp, ts, video_id, scene FROM rg WHERE slots > 0), {_LABELS},
+    mx AS (SELECT label, cluster, max(far) AS most FROM fr GROUP BY ALL),
+    p1 AS (SELECT video_id, scene, vec_id AS candidate_id, ts, row_number() OVER (PARTITION BY label, cluster ORDER BY round(0.6::DOUBLE * imp + 0.4::DOUBLE * (1 - far / CASE WHEN most > 0 THEN most ELSE 1 END), 9) DESC, ts, vec_id) AS q FROM fr JOIN mx USING (label, cluster) JOIN x USING (label, vec_id)),
+    u1 AS (SELECT video_id, scene, candidate_id, ts FROM al WHERE forced OR whole UNION ALL SELECT video_id, scene, candidate_id, ts FROM p1 WHERE q = 1) {_ONE}""")
 def e13_e16_kmeans_in_scenes(spark: SparkSession, d: str) -> DataFrame:
     """Selection by k-means within scenes."""
     return S.selected(_placed(spark, d), "kmeans").select("video_id", "scene", "candidate_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_KEPT}, x AS (SELECT concat(video_id, '/', scene) AS label, candidate_id AS vec_id, e AS v, least(n, count(*) OVER (PARTITION BY video_id, scene))::BIGINT AS k, imp, ts, video_id, scene, forced FROM al WHERE NOT whole), {_LABELS},
+    lb AS (SELECT fr.*, x.imp, x.forced, r.kept FROM fr JOIN x USING (label, vec_id) JOIN r ON r.candidate_id = fr.vec_id),
+    ms AS (SELECT label, list(b ORDER BY b.s DESC, b.i) AS missing FROM (SELECT label, cluster, arg_max({{'s': imp, 'i': vec_id}}, (imp, -vec_id)) FILTER (WHERE NOT forced) AS b, bool_or(kept) AS have FROM lb GROUP BY ALL) WHERE NOT have AND b IS NOT NULL GROUP BY label),
+    pk AS (SELECT label, list({{'s': imp, 'i': vec_id}} ORDER BY imp, vec_id) AS picks FROM lb WHERE kept AND NOT forced GROUP BY label),
+    sw AS (SELECT label, CASE WHEN missing IS NULL THEN picks ELSE list_reduce(missing, lambda acc, b: CASE WHEN len(acc) > 0 AND b.s >= 0.7::DOUBLE * acc[1].s THEN list_sort(list_append(acc[2:], b)) ELSE acc END, picks) END AS done FROM pk LEFT JOIN ms USING (label)),
+    u0 AS (SELECT candidate_id FROM al WHERE forced OR whole UNION SELECT d.i FROM (SELECT unnest(done) AS d FROM sw)), u1 AS (SELECT video_id, scene, candidate_id, ts FROM al WHERE candidate_id IN (FROM u0)) {_ONE}""")
 def e14_e16_hybrid_in_scenes(spark: SparkSession, d: str) -> DataFrame:
     """Selection by suppression with clusters it misses exchanged in, within scenes."""
     return S.selected(_placed(spark, d), "hybrid").select("video_id", "scene", "candidate_id")
