@@ -161,5 +161,37 @@ def p2_schema_tables(spark: SparkSession, d: str) -> DataFrame:
     return schema_tables(both).select("schema_path", "parent_path", "n_nodes", "n_null", F.array_join("node_kinds", ",").alias("node_kinds"))
 
 
+#: Documents as JSON; a JSON text inside JSON counts as that document.
+_DOCS = "v AS (SELECT result_id, CASE WHEN json_type(j) = 'VARCHAR' THEN (CASE WHEN json_valid(j ->> '$') THEN (j ->> '$')::JSON END) ELSE j END AS j FROM (SELECT result_id, result_doc::JSON AS j FROM video_results WHERE json_valid(result_doc)))"
+P2_TABLES_SQL = f"""
+WITH {_DOCS}, b AS (SELECT j FROM v WHERE j IS NOT NULL UNION ALL SELECT to_json(extraction_data) FROM ablation_metrics WHERE extraction_data IS NOT NULL),
+t AS (SELECT regexp_replace(regexp_replace(fullkey, '\\[\\d+\\]', '[]', 'g'), '\\."([^"]*)"', '["\\1"]', 'g') AS schema_path, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind FROM b, json_tree(b.j))
+SELECT schema_path, CASE WHEN schema_path <> '$' THEN regexp_replace(schema_path, '(?:\\.[^.\\[\\]"]+|\\["[^"]*"\\]|\\[\\])$', '') END AS parent_path, count(*) AS n_nodes, count_if(kind = 'null')::BIGINT AS n_null, string_agg(DISTINCT kind, ',' ORDER BY kind) AS node_kinds FROM t GROUP BY 1
+"""
+_TIMES = ", ".join(f"'{k}'" for k in TIME_KEYS)
+
+
+def _number_sql(x: str) -> str:
+    """A JSON value as a number of 0 or more, from a number or a text that writes one."""
+    text = f"trim({x} ->> '$', e' \\t\\n\\r\u00a0')"
+    return f"(CASE WHEN json_type({x}) IN ('UBIGINT', 'BIGINT', 'DOUBLE') OR (json_type({x}) = 'VARCHAR' AND regexp_full_match({text}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')) THEN TRY_CAST({text} AS DOUBLE) END)"
+
+
+P2_SQL = f"""
+WITH {_DOCS}, m AS (SELECT DISTINCT result_id, CASE WHEN json_type(v.j, '$.methods') = 'OBJECT' THEN e.key WHEN json_type(e.value, '$.name') = 'VARCHAR' THEN e.value ->> '$.name' WHEN json_type(e.value, '$.method') = 'VARCHAR' THEN e.value ->> '$.method' END AS method, e.value::JSON AS x
+    FROM v, json_each(v.j, '$.methods') e WHERE v.j IS NOT NULL AND json_type(v.j, '$.methods') IN ('OBJECT', 'ARRAY')),
+l0 AS (SELECT result_id, method, x -> '$.extraction.brand.logo_timestamps' AS l FROM m),
+l1 AS (SELECT result_id, method, e.key::INT AS pos, e.value::JSON AS y FROM l0, json_each(l0.l) e WHERE json_type(l0.l) = 'ARRAY' UNION ALL SELECT result_id, method, 0, l FROM l0 WHERE json_type(l) <> 'ARRAY'),
+l2 AS (SELECT result_id, method, pos, CASE WHEN json_type(y) = 'OBJECT' THEN y -> list_filter([{_TIMES}], lambda k: list_contains(json_keys(y), k))[1] ELSE y END AS y FROM l1),
+a AS (SELECT metric_id, method, extraction_data.brand.logo_timestamps AS l, extraction_data.promotion.promo_present AS p FROM ablation_metrics),
+found AS (SELECT 'video_results' AS record_table, result_id AS record_id, method, 'logo' AS child_kind, pos FROM l2 WHERE {_number_sql('y')} >= 0
+    UNION ALL SELECT 'video_results', result_id, method, 'promo', 0 FROM (SELECT *, x -> '$.extraction.promotion.promo_present' AS p FROM m) WHERE (json_type(p) = 'BOOLEAN' AND p::VARCHAR = 'true') OR (json_type(p) IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND (p ->> '$')::DOUBLE <> 0) OR (json_type(p) = 'VARCHAR' AND lower(trim(p ->> '$')) IN ({", ".join(f"'{y}'" for y in YES)}))
+    UNION ALL SELECT 'video_results', result_id, method, 'selection', 0 FROM m, json_tree(m.x) t WHERE t.key = 'selection_time_seconds' AND {_number_sql('t.value::JSON')} >= 0
+    UNION ALL SELECT 'ablation_metrics', metric_id, method, 'logo', (i - 1)::INT FROM a, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) WHERE isfinite(l[i]) AND l[i] >= 0
+    UNION ALL SELECT 'ablation_metrics', metric_id, method, 'promo', 0 FROM a WHERE p)
+SELECT DISTINCT record_table, record_id, method, child_kind, pos FROM found WHERE method IS NOT NULL OR record_table = 'ablation_metrics'
+"""
+
+
 QUERIES = {"p2_found": p2_found, "p2_schema_tables": p2_schema_tables, "p2_demo_steps": p2_demo_steps, "p2_method_table": p2_method_table}
-SQL = {"p2_demo_steps": P2_STEPS_SQL}
+SQL = {"p2_demo_steps": P2_STEPS_SQL, "p2_schema_tables": P2_TABLES_SQL, "p2_found": P2_SQL}
