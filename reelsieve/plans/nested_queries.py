@@ -193,5 +193,13 @@ SELECT DISTINCT record_table, record_id, method, child_kind, pos FROM found WHER
 """
 
 
+_KIND = "CASE json_type(x) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END"
+P2_METHODS_SQL = f"""
+WITH {_DOCS}, m AS (SELECT DISTINCT result_id, list_position(json_keys(v.j), 'methods') - 1 AS a, CASE WHEN json_type(v.j, '$.methods') = 'OBJECT' THEN list_position(json_keys(v.j, '$.methods'), e.key) - 1 ELSE e.key::BIGINT END AS b, CASE WHEN json_type(v.j, '$.methods') = 'OBJECT' THEN e.key END AS method, e.value::JSON AS x
+    FROM v, json_each(v.j, '$.methods') e WHERE v.j IS NOT NULL AND json_type(v.j, '$.methods') IN ('OBJECT', 'ARRAY'))
+SELECT result_id, concat(a, '.', b) AS dewey, a::VARCHAR AS parent_dewey, method, {_KIND} AS node_kind, {", ".join(f"CASE WHEN json_type(x, '$.{n}') NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN x ->> '$.{n}' END AS {n}" for n in ("final_frames", "selection_time_seconds", "extraction_time_seconds"))} FROM m
+"""
+
+
 QUERIES = {"p2_found": p2_found, "p2_schema_tables": p2_schema_tables, "p2_demo_steps": p2_demo_steps, "p2_method_table": p2_method_table}
-SQL = {"p2_demo_steps": P2_STEPS_SQL, "p2_schema_tables": P2_TABLES_SQL, "p2_found": P2_SQL}
+SQL = {"p2_demo_steps": P2_STEPS_SQL, "p2_schema_tables": P2_TABLES_SQL, "p2_found": P2_SQL, "p2_method_table": P2_METHODS_SQL}
