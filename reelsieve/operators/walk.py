@@ -212,11 +212,24 @@ class NearKept(Kept):
 
 
 class AlikeKept(Kept):
-    """Like: a structural similarity of square grids above the threshold."""
+    """Like: a structural similarity of square grids above the threshold.
+
+    It is a mean over windows, none above 1, so with few windows none of a like pair is below ``floor``. A window's similarity
+    is at most the cosine of its cells without their mean and with a constant: one product of matrices finds the pairs that can
+    be alike in the first window, and only those are compared. Grids of more windows are compared with every kept one.
+    """
 
     def __init__(self, threshold: float, side: int, top: float):
         super().__init__()
         self.threshold, self.side, self.top = threshold, side, top
+        width = min(7, side)
+        count = side - width + 1
+        self.floor = 1 - count * count * (1 - threshold) if count <= 4 else 0
+        if self.floor > 0:
+            band = np.tril(np.triu(np.ones((count, side))), width - 1)
+            self.windows = np.kron(band, band)  # a row for each window: 1 for its cells
+            self.c1, self.c2, self.fix = (0.01 * top) ** 2, (0.03 * top) ** 2, width**2 / max(1, width**2 - 1)
+            self.described: list[np.ndarray] = []
 
     def read(self, batch: pa.RecordBatch) -> np.ndarray:
         x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -228,6 +241,79 @@ class AlikeKept(Kept):
         grid = lambda x: x.reshape(self.side, self.side)
         return np.array([structural_similarity(grid(k), grid(row), top=self.top) for k in kept]) > self.threshold
 
+    def _describe(self, rows: np.ndarray) -> list[np.ndarray]:
+        """The rows, means and variances of their windows, and their first windows as unit vectors for the product."""
+        n = self.windows[0].sum()
+        m = rows @ self.windows.T / n
+        q = self.fix * ((rows * rows) @ self.windows.T / n - m * m)
+        first = rows[:, self.windows[0] > 0]
+        first = (first - first.mean(axis=1, keepdims=True)) * np.sqrt(self.fix / n)
+        first = np.column_stack([first, np.full(len(rows), np.sqrt(self.c2 / 2))])
+        return [rows, m, q, (first / np.linalg.norm(first, axis=1, keepdims=True)).astype(np.float32)]
+
+    def _similarity(self, products: np.ndarray, ma: np.ndarray, mb: np.ndarray, qa: np.ndarray, qb: np.ndarray) -> np.ndarray:
+        """Of windows, from the sums of their cells' products (which are written over), their means and variances."""
+        both = 2 * ma * mb
+        products *= 2 * self.fix / self.windows[0].sum()
+        products -= self.fix * both
+        products += self.c2
+        both += self.c1
+        products *= both
+        products /= ((ma * ma + self.c1) + mb * mb) * ((qa + self.c2) + qb)
+        return products
+
+    def _alike(self, these: list[np.ndarray], those: list[np.ndarray]) -> np.ndarray:
+        """Each of these rows with each of those."""
+        (x, mx, qx, fx), (y, my, qy, fy) = these, those
+        near = fx @ fy.T
+        alike = np.abs(near, out=near) > self.floor - 1e-4  # far beyond the product's rounding
+        if 16 * np.count_nonzero(alike) <= alike.size:
+            i, j = np.divmod(np.flatnonzero(alike), max(1, len(y)))
+            s = self._similarity((x[i] * y[j]) @ self.windows.T, mx[i], my[j], qx[i], qy[j]).mean(axis=1)
+            alike[i, j] = s > self.threshold
+            close = np.abs(s - self.threshold) < 1e-9
+            i, j = i[close], j[close]
+        else:
+            s = sum(self._similarity(x[:, w] @ y[:, w].T, mx[:, k, None], my[:, k], qx[:, k, None], qy[:, k]) for k, w in enumerate(self.windows > 0))
+            s /= len(self.windows)
+            alike = s > self.threshold
+            s -= self.threshold
+            i, j = np.nonzero(np.abs(s, out=s) < 1e-9)
+        for a, b in zip(i, j):  # rounding must not depend on the way taken
+            alike[a, b] = self.like(y[b, None], x[a])[0]
+        return alike
+
+    def take(self, batch: pa.RecordBatch) -> np.ndarray:
+        if self.floor <= 0:
+            return super().take(batch)
+        rows = self.read(batch)
+        keep = np.zeros(len(rows), bool)
+        for b in range(0, len(rows), 256):
+            part, free = self._describe(rows[b : b + 256]), np.arange(len(rows[b : b + 256]))
+            for k in range(0, self.n, 512):
+                free = free[~self._alike([x[free] for x in part], [x[k : min(k + 512, self.n)] for x in self.described]).any(axis=1)]
+                if not len(free):
+                    break
+            part = [x[free] for x in part]
+            own, chosen = self._alike(part, part), []
+            for i in range(len(free)):
+                if not own[i, chosen].any():
+                    chosen.append(i)
+            keep[b + free[chosen]] = True
+            self._add([x[chosen] for x in part])
+        return keep
+
+    def _add(self, part: list[np.ndarray]) -> None:
+        n = self.n + len(part[0])
+        if not self.described or n > len(self.described[0]):
+            grown = [np.zeros((max(16, n, 2 * self.n), x.shape[1]), x.dtype) for x in part]
+            for g, x in zip(grown, self.described):
+                g[: self.n] = x[: self.n]
+            self.described = grown
+        for x, p in zip(self.described, part):
+            x[self.n : n] = p
+        self.n = n
+
 
 class BoxesKept(Kept):
     """Like: more than a share of the box's own area lies in a kept one. Columns x, y, w, h."""

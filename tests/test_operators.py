@@ -4,6 +4,7 @@ import json
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -252,3 +253,20 @@ def test_structural_walk(spark):
     t = spark.createDataFrame(rows, "g int, i int, v array<double>")
     kept = [r.i for r in walk(t, ["g"], [F.col("i")], lambda: AlikeKept(0.92, 8, 1.0), ["i"], v=F.col("v")).collect()]
     assert sorted(kept) == [0, 1, 2]
+
+
+@pytest.mark.parametrize(("noise", "side", "threshold"), [(0.1, 8, 0.92), (0.5, 8, 0.92), (0.3, 8, 0.8), (0.3, 4, 0.9)])
+def test_structural_walk_compares_few(monkeypatch, noise, side, threshold):
+    rng, one, calls = np.random.default_rng(7), kernels.structural_similarity, []
+    v = rng.standard_normal((8, 64))[rng.integers(0, 8, 150)] * rng.uniform(0.5, 2, (150, 1)) * rng.choice([-1, 1], (150, 1)) + rng.choice([-1, 0, 1, 9], (150, 1)) + noise * rng.standard_normal((150, 64))
+    v = np.concatenate([v, np.zeros((2, 64)), np.full((2, 64), 5.0), np.eye(64)[[0, 0, 9, 63]], -np.eye(64)[[0, 9]]])[rng.permutation(160), : side * side]
+    grids, want = v.reshape(-1, side, side), []
+    for i, g in enumerate(grids):
+        if not any(one(grids[k], g, top=1.0) > threshold for k in want):
+            want.append(i)
+    monkeypatch.setattr(kernels, "structural_similarity", lambda *a, **k: calls.append(1) or one(*a, **k))
+    state, took = AlikeKept(threshold, side, 1.0), []
+    for a, b in ((0, 1), (1, 60), (60, 160)):
+        took.append(state.take(pa.RecordBatch.from_arrays([pa.array(v[a:b].tolist())], names=["v"])))
+    assert np.flatnonzero(np.concatenate(took)).tolist() == want and 1 < len(want) < 160
+    assert len(calls) < 160  # not every row with every kept one
